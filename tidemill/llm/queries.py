@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemill.llm import ogg, packing
+from tidemill.llm import mixing, ogg, packing
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_mixing": mixing.op3_mixing,
     "op10_ogg": ogg.op10_ogg,
 }
 
