@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing, ogg, packing
+from tidemill.llm import chat, mixing, ogg, packing, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
+    "op6_chat": chat.op6_chat,
+    "op7_warc": warc.op7_warc,
     "op10_ogg": ogg.op10_ogg,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.OP7_SQL,
+}
