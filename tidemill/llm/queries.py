@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.llm import chat, mixing, ogg, packing, warc
+from tidemill.llm import chat, mixing, ogg, packing, quality, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
     "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
+    "op9_quality": quality.op9_quality,
     "op10_ogg": ogg.op10_ogg,
 }
 
