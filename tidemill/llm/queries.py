@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.llm import chat, mixing, ogg, packing, quality, warc
+from tidemill.llm import chat, mixing, ogg, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
     "op6_chat": chat.op6_chat,
