@@ -1,0 +1,75 @@
+"""From candidate links between sets to verified ones.
+
+Candidates are joined to clusters, and every two sets of a cluster whose sizes allow it are compared exactly. A large
+cluster is cut into blocks by size and hash, and each two blocks that can hold similar sets are a task's work, so no
+cluster has to fit a task. A task gives only as many links as connect its sets: components need no more.
+"""
+
+from __future__ import annotations
+
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.llm.common import stored
+from tidemill.llm.components import components
+from tidemill.llm.shingles import forest, linked_pairs, set_id, shingle_set
+
+BLOCK = 256
+
+
+def size_class(n, percent: int):
+    """Sets that can be similar lie in the same class or the next (classes are a little wider than the least ratio)."""
+    return F.floor(F.log(n.cast("double")) / F.lit(-math.log((percent - 1) / 100))).cast("int")
+
+
+def blocks(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """members (component, item, n and more) once for each pair of blocks they take part in: adds task and side (0, 1, or 2 for both)."""
+    cells = members.withColumn("cell", size_class(F.col("n"), percent))
+    counts = cells.groupBy("component", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    counts = stored(counts, "cluster-cells")
+    up = counts.select("component", (F.col("cell") - 1).alias("cell"), F.col("parts").alias("parts_up"))
+    down = counts.select("component", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("parts_down"))
+    around = counts.join(up, ["component", "cell"], "left").join(down, ["component", "cell"], "left").na.fill(0)
+    rows = cells.join(around, ["component", "cell"]).withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    key = lambda c1, p1, c2, p2: F.struct(c1.alias("c1"), p1.alias("p1"), c2.alias("c2"), p2.alias("p2"))
+    cell, part = F.col("cell"), F.col("part")
+    some = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(some(F.col("parts")), lambda j: F.struct(key(cell, F.least(part, j), cell, F.greatest(part, j)).alias("k"), F.when(part == j, 2).when(part < j, 0).otherwise(1).alias("side")))
+    none = F.slice(own, 1, 0)
+    above = F.when(F.col("parts_up") > 0, F.transform(some(F.col("parts_up")), lambda j: F.struct(key(cell, part, cell + 1, j).alias("k"), F.lit(0).alias("side")))).otherwise(none)
+    below = F.when(F.col("parts_down") > 0, F.transform(some(F.col("parts_down")), lambda j: F.struct(key(cell - 1, j, cell, part).alias("k"), F.lit(1).alias("side")))).otherwise(none)
+    rows = rows.withColumn("t", F.explode(F.concat(own, above, below)))
+    return rows.withColumn("task", F.xxhash64("component", "t.k")).withColumn("side", F.col("t.side")).drop("t", "cell", "parts", "parts_up", "parts_down", "part")
+
+
+def verified(candidates: DataFrame, items: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what is similar. candidates: (a, b) of items. items: item, n, doc_id, h, start, length
+    (where an instance of it lies: a document and its text's hash, and bytes of it; length -1: all). docs: doc_id, text."""
+    groups = components(candidates)
+    members = groups.withColumnRenamed("node", "item").join(items, "item")
+    members = stored(members, "cluster-members")
+    wanted = members.select("item", "component", "n", F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"), "start", "length")
+    texts = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    near = texts.join(wanted, (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    raw = F.col("text").cast("binary")
+    near = near.select("component", "item", "n", F.when(F.col("length") < 0, raw).otherwise(F.substring(raw, F.col("start") + 1, F.col("length"))).cast("string").alias("text"))
+    tasks = blocks(near, percent, block).select("task", "side", "item", "text")
+
+    def compare(t: pa.Table) -> pa.Table:
+        sides: dict[int, dict[int, object]] = {0: {}, 1: {}, 2: {}}
+        for side, item, text in zip(t.column("side").to_pylist(), t.column("item").to_pylist(), t.column("text").to_pylist()):
+            if item not in sides[side]:
+                s = shingle_set(text, k)
+                if set_id(s) == item:
+                    sides[side][item] = s
+        own, left, right = (list(sides[i]) for i in (2, 0, 1))
+        pairs = [(own[a], own[b]) for a, b in linked_pairs([sides[2][i] for i in own], None, percent)]
+        if left and right:
+            pairs += [(left[a], right[b]) for a, b in linked_pairs([sides[0][i] for i in left], [sides[1][i] for i in right], percent)]
+        kept = forest(pairs)
+        return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
+
+    return tasks.groupBy("task").applyInArrow(compare, "a long, b long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import chat, mixing, ogg, packing, quality, toxicity, warc
+from tidemill.llm import chat, mixing, ngram_join, ogg, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_ogg": ogg.op10_ogg,
 }
