@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemill.llm import chat, mixing, ngram_join, ogg, packing, quality, toxicity, warc
+from tidemill.llm import chat, mixing, ngram_join, ogg, packing, paragraph_dedup, quality, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
+    "op5_paragraph_dedup": paragraph_dedup.op5_paragraph_dedup,
     "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
     "op8_ngram_join": ngram_join.op8_ngram_join,
