@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tidemill.llm import chat, mixing, ngram_join, ogg, packing, paragraph_dedup, quality, toxicity, warc
+import corpus_pipeline
+from tidemill.llm import chat, mixing, ngram_join, ogg, packing, paragraph_dedup, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_paragraph_dedup": paragraph_dedup.op5_paragraph_dedup,
     "op6_chat": chat.op6_chat,
     "op7_warc": warc.op7_warc,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_ogg": ogg.op10_ogg,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
