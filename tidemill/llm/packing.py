@@ -117,7 +117,7 @@ class WordTokens:
                 stems.update(cut[w])
             else:
                 stems.add(w)
-        stems -= self.known.keys()
+        stems = {s for s in stems if s not in self.known}
         plain = [s for s in stems if s.isalpha() and s.islower()]
         for s in plain:
             self.known[s] = np.array([t.id for t in self.tokenizer.model.tokenize(s.decode())], "<u4").tobytes()
@@ -137,7 +137,7 @@ class WordTokens:
             except KeyError:
                 if len(self.known) > CACHE_WORDS:
                     self.known.clear()
-                self.learn(set(words) - self.known.keys())
+                self.learn({w for w in words if w not in self.known})
                 out.append(b"".join(map(self.known.__getitem__, words)))
         return out
 
