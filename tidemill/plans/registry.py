@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.plans import delegated, owned
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["a04_sort_page"](spark, sf_dir)
+    return owned.QUERIES["g11_email"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q[0] for name, q in owned.QUERIES.items()} | {name: delegated.query(name) for name in delegated.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q[1] for name, q in owned.QUERIES.items() if q[1]} | {name: sql[-1] for name, sql in delegated.SQL.items()}
