@@ -1,7 +1,8 @@
-"""A SQLite file as a Spark data source. Read-only; split by rowid ranges; simple filters and columns go into its SQL.
+"""A SQLite file as a Spark data source. Read-only; split by rowid ranges; columns, and simple filters if wanted, go into its SQL.
 
 spark.dataSource.register(SqliteSource); spark.read.format("sqlite").option("path", file).option("table", name).load()
-The file must be in a folder that all executors have.
+Filters are pushed with the option pushdown, which needs spark.sql.python.filterPushdown.enabled. The file must be in a
+folder that all executors have.
 """
 
 from __future__ import annotations
@@ -55,24 +56,14 @@ class SqliteSource(DataSource):
         return T.StructType([T.StructField(r[1], spark_type(r[2] or ""), not r[3]) for r in rows if r[6] != 1])
 
     def reader(self, schema: T.StructType) -> SqliteReader:
-        return SqliteReader(dict(self.options), schema)
+        pushes = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (PushingReader if pushes else SqliteReader)(dict(self.options), schema)
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.schema, self.where, self.values = options, schema, [], []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for f in filters:
-            if type(f) in signs and isinstance(f.value, (int, str)) and len(f.attribute) == 1:
-                self.where.append(f"{quoted(f.attribute[0])} {signs[type(f)]} ?")
-                self.values.append(f.value)
-            elif isinstance(f, IsNotNull) and len(f.attribute) == 1:
-                self.where.append(f"{quoted(f.attribute[0])} IS NOT NULL")
-            else:
-                yield f
-
     def partitions(self) -> list[Range]:
         parts = int(self.options.get("partitions", 4))
         with opened(self.options["path"]) as con:
@@ -106,3 +97,16 @@ class SqliteReader(DataSourceReader):
         if isinstance(kind, T.BinaryType):
             return lambda v: v if isinstance(v, bytes) else str(v).encode()
         return lambda v: v if isinstance(v, str) else v.hex() if isinstance(v, bytes) else str(v)
+
+
+class PushingReader(SqliteReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            if type(f) in signs and isinstance(f.value, (int, str)) and len(f.attribute) == 1:
+                self.where.append(f"{quoted(f.attribute[0])} {signs[type(f)]} ?")
+                self.values.append(f.value)
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1:
+                self.where.append(f"{quoted(f.attribute[0])} IS NOT NULL")
+            else:
+                yield f
