@@ -26,7 +26,7 @@ from tidemill.llm.common import table
 
 WINDOW, STRIDE = 40, 30
 WORDS, TRIGRAMS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTEND = 1 << 13, 1 << 13, 8, 16, 12, 8
-SAMPLE, SAMPLE_CHARS, UPDATES, BATCH, SHARP, RARE, DECAY = 1200, 6000, 300, 24, 2.0, 4, 1e-4
+SAMPLE, SAMPLE_CHARS, UPDATES, BATCH, SHARP, RARE, DECAY = 1200, 6000, 240, 16, 2.0, 4, 1e-4
 LONGEST_WORD, CACHE_WORDS, MOST_WINDOWS = 48, 120_000, 2048
 _STRIP = b".,;:!?\"'()[]{}"
 
