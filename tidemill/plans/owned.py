@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
-from tidemill.operators import edits, paging, ranking, usage
-from tidemill.operators.privacy import detect, policy, protect
+from tidemill.operators import edits, knowledge, paging, ranking, usage
+from tidemill.operators.privacy import detect, policy, protect, values
 from tidemill.plans import catalog
 from tidemill.streaming import answers
 
@@ -494,3 +494,47 @@ def j02(spark, d):
 def j07(spark, d):
     e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return answers.windowed_counts(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- knowledge and known values ---
+
+
+@query("a41_uncached", "SELECT DISTINCT sha1(text) AS key, text FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 2 = 0)")
+def a41(spark, d):
+    docs = t(spark, d, "documents")
+    cache = docs.where("doc_id % 2 = 0").select(F.lit("m").alias("model"), F.sha1("text").alias("key"))
+    return knowledge.uncached(docs, cache, "m")
+
+
+@query("f06_learnt")
+def f06(spark, d):
+    e = t(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("meaning"), (F.col("event_id") % 4).cast("int").alias("rank"), "ts")
+    return knowledge.learnt(e)
+
+
+@query("f16_outline", "SELECT 'x' AS name, 'x' AS domain WHERE false")
+def f16(spark, d):
+    return knowledge.outline(spark.createDataFrame([(n,) for n in catalog.TABLES], "name string"), catalog.edges(spark))
+
+
+@query("f21_values", "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment = 'BUILDING'")
+def f21(spark, d):
+    known = t(spark, d, "customer").select(F.col("c_mktsegment").alias("value")).distinct().withColumns({"column": F.lit("c_mktsegment"), "weight": F.lit(1.0)})
+    return knowledge.recalled_values(known, F.lit("How many building customers?")).select("value")
+
+
+@query("g17_known_values", "WITH v AS (SELECT DISTINCT lang AS value FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) SELECT doc_id, w AS value, 'STATE' AS type, count(*) AS n FROM w WHERE w IN ('the', 'auch', 'pour') GROUP BY doc_id, w")
+def g17(spark, d):
+    known = spark.createDataFrame([("the", "STATE"), ("auch", "STATE"), ("pour", "STATE"), ("de", "STATE")], "value string, type string")
+    return values.known_values(t(spark, d, "documents").select("doc_id", "text"), known, "doc_id")
+
+
+@query("g19_column_type", "SELECT 'URL' AS type, CAST(20 AS BIGINT) AS votes")
+def g19(spark, d):
+    return values.inferred_column(t(spark, d, "pages"), "url")
+
+
+@query("g63_greedy_spans")
+def g63(spark, d):
+    e = t(spark, d, "events").select("user_id", F.struct((F.col("event_id") % 50).cast("int").alias("start"), (F.col("event_id") % 50 + F.col("event_id") % 7 + 1).cast("int").alias("end"), (F.col("value") / 100).alias("score"), F.col("event_type").alias("label")).alias("s"))
+    return e.groupBy("user_id").agg(F.size(values.greedy(F.collect_list("s"), 0.1)).alias("n"))
