@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import marked, marks, stored
 from tidemill.llm.components import components
 from tidemill.llm.shingles import forest, linked_pairs, set_id, shingle_set
 
@@ -26,8 +26,10 @@ def size_class(n, percent: int):
 
 
 def blocks(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """members (component, item, n and more) once for each pair of blocks they take part in: adds task and side (0, 1, or 2 for both)."""
-    cells = members.withColumn("cell", size_class(F.col("n"), percent))
+    """members (component, item, n and more) once for each pair of blocks they take part in: adds task and side (0, 1, or 2 for both).
+    A cluster that fits a block is one."""
+    sizes = members.groupBy("component").agg((F.count(F.lit(1)) > block).alias("large"))
+    cells = members.join(sizes, "component").withColumn("cell", F.when(F.col("large"), size_class(F.col("n"), percent)).otherwise(0)).drop("large")
     counts = cells.groupBy("component", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     counts = stored(counts, "cluster-cells")
     up = counts.select("component", (F.col("cell") - 1).alias("cell"), F.col("parts").alias("parts_up"))
@@ -51,12 +53,13 @@ def verified(candidates: DataFrame, items: DataFrame, docs: DataFrame, k: int, p
     groups = components(candidates)
     members = groups.withColumnRenamed("node", "item").join(items, "item")
     members = stored(members, "cluster-members")
-    wanted = members.select("item", "component", "n", F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"), "start", "length")
-    texts = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-    near = texts.join(wanted, (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    wanted = stored(blocks(members, percent, block), "cluster-tasks")
+    wanted = wanted.select("task", "side", "item", F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"), "start", "length")
+    texts = marked(docs.select("doc_id", "text"), marks(members, "cluster-marks")).where("marked").withColumn("h", F.xxhash64("text"))
+    near = texts.join(wanted.hint("merge"), (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     raw = F.col("text").cast("binary")
-    near = near.select("component", "item", "n", F.when(F.col("length") < 0, raw).otherwise(F.substring(raw, F.col("start") + 1, F.col("length"))).cast("string").alias("text"))
-    tasks = blocks(near, percent, block).select("task", "side", "item", "text")
+    text = F.when(F.col("length") < 0, raw).otherwise(F.substring(raw, F.col("start") + 1, F.col("length"))).cast("string")
+    tasks = near.select("task", "side", "item", text.alias("text"))
 
     def compare(t: pa.Table) -> pa.Table:
         sides: dict[int, dict[int, object]] = {0: {}, 1: {}, 2: {}}

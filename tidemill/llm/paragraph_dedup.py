@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.clusters import verified
-from tidemill.llm.common import stored, table
+from tidemill.llm.common import marked, marks, stored, table
 from tidemill.llm.components import components
 from tidemill.llm.ngram_join import candidates
 from tidemill.llm.shingles import mixed, set_id, shingles, word_hashes
@@ -172,13 +172,22 @@ def cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(left), gone, len(runs)
 
 
+def _marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    own = marked(rows.select(F.struct("*").alias("__row"), F.col("__key").alias("doc_id")), bits)
+    return own.select("__row.*", F.col("marked").alias("__marked"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with n_bytes (before), n_removed, n_spans, kept_with (ids of the documents that keep what is removed here) and the text that is left."""
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_with", "text")]
-    gone = removals(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    rows = rows.withColumn("__hash", F.xxhash64("__text")).join(gone, (F.col("__hash") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "__spans", "__text")
+    gone = stored(removals(docs), "dedup-removals")
+    touched = gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).hint("merge")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("long").alias("__key"), F.col("text").cast("string").alias("__text"))
+    rows = _marked(rows, marks(gone, "dedup-marks"))
+    met = rows.where("__marked").withColumn("__hash", F.xxhash64("__text")).join(touched, (F.col("__hash") == F.col("__h")) & F.col("__key").eqNullSafe(F.col("__id")), "left")
+    names = [*[F.col(f"`{c}`") for c in keep], "__spans", "__text"]
+    clean = rows.where("NOT __marked").withColumn("__spans", F.lit(None).cast(gone.schema["spans"].dataType))
+    rows = met.select(*names).unionByName(clean.select(*names))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
