@@ -63,10 +63,10 @@ def test_real_documents(spark):
 
 
 def test_empty_table_and_kept_documents(spark):
-    df = spark.createDataFrame([(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "", "z"), (4, None, "z"), (None, "q r", "n")], "doc_id long, text string, component_id string")
+    df = spark.createDataFrame([(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "", "z"), (4, None, "z"), (None, "q r", "n"), (1, "a b c d e f g", "y"), (9, "Q R", "gone?")], "doc_id long, text string, component_id string")
     assert J.joined(df.limit(0)).count() == 0
     kept = J.kept_documents(df)
-    assert kept.columns == df.columns and sorted(r.component_id for r in kept.collect()) == ["n", "y", "z", "z"]
+    assert kept.columns == df.columns and sorted(r.component_id for r in kept.collect()) == ["gone?", "y", "z", "z"]
 
 
 def test_blocks_of_a_large_cluster(spark):

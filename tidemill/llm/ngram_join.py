@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.clusters import verified
-from tidemill.llm.common import stored, table
+from tidemill.llm.common import marked, marks, stored, table
 from tidemill.llm.components import components
 from tidemill.llm.shingles import mixed, set_id, shingle_set
 
@@ -179,8 +179,15 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those rows whose component has a row with a smaller doc_id. Rows with a null doc_id stay if alone."""
-    rows = joined(docs, k, percent).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "component_id")
-    first = rows.where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__h").distinct()
-    out = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string"))).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left_semi")
-    return out.drop("__text_hash")
+    """docs without those rows whose component has a row with a smaller doc_id, and each row once. Rows with a null doc_id
+    stay if no row of their component has an id."""
+    rows = stored(joined(docs, k, percent), "join-rows")
+    keeps = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.where(keeps).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct().hint("merge")
+    # only documents that may have to go meet the others; the rest passes by
+    own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"))
+    again = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    own = marked(own, marks(rows.where(~keeps).select("doc_id").unionByName(again), "join-marks"))
+    some = own.where("marked").withColumn("__hash", F.xxhash64(F.col("__row.text").cast("string")))
+    stay = some.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    return own.where("NOT marked").select("__row.*").unionByName(stay.dropDuplicates(["doc_id", "__hash"]).select("__row.*"))
