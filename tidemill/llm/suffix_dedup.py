@@ -13,7 +13,7 @@ strings have equal keys. Starts that follow each other with one key are a fragme
 
 Documents are ordered by doc_id, a null one last, and those with equal ids by their texts' hashes; rows with equal ids
 and texts are one document. A null text is empty. Only documents with something covered are shuffled for the result;
-which those are is told by bits of hashed ids, at most MARK_BITS of them, so the bits' size is bounded.
+which those are is told by bits of hashed ids, whose size is bounded.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import stored, table
+from tidemill.llm.common import marked, marks, stored, table
 from tidemill.llm.shingles import mixed
 
-LENGTH, KGRAM = 100, 16
-CHUNK_BYTES, BUCKET_BYTES, HOT, MARK_BITS = 1 << 20, 1 << 20, 4000, 1 << 25
+LENGTH, KGRAM = 100, 32
+CHUNK_BYTES, BUCKET_BYTES, HOT = 1 << 20, 1 << 20, 4000
 _BYTE = mixed(np.arange(256, dtype=np.uint64), 77)
 _P = 0x9E3779B97F4A7C15
 
@@ -126,18 +126,20 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` symbols at least (0..256), by doubling from packed prefixes of four."""
+    """Suffixes in order of their first `depth` symbols at least (0..256), by doubling from packed prefixes of seven."""
     n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(4, np.int64)])
-    rank = ((padded[:n] * 512 + padded[1 : n + 1]) * 512 + padded[2 : n + 2]) * 512 + padded[3 : n + 3]
-    order = np.argsort(rank, kind="stable")
+    known = 7
+    padded = np.concatenate([symbols, np.zeros(known, np.int64)])
+    rank = np.zeros(n, np.int64)
+    for i in range(known):
+        rank = rank * 512 + padded[i : n + i]
+    order = np.argsort(rank)
     rank[order] = np.cumsum(np.append(0, rank[order[1:]] != rank[order[:-1]]))
-    known = 4
     while known < depth and rank[order[-1]] < n - 1:
         second = np.zeros(n, np.int64)
         second[: n - known] = rank[known:] + 1
         both = rank * (n + 1) + second
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, both[order[1:]] != both[order[:-1]]))
         known *= 2
@@ -156,7 +158,7 @@ def long_common_prefixes(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.
     order = sorted_suffixes(symbols, length)
     before = symbols[order - 1]  # the transform
     to = np.empty(n, np.int64)
-    to[np.argsort(before, kind="stable")] = np.arange(n)
+    to[np.argsort(before.astype(np.uint16), kind="stable")] = np.arange(n)
     first = symbols[order]
     valued = np.zeros(n + 1, bool)
     valued[0] = valued[n] = True  # both ends
@@ -168,10 +170,11 @@ def long_common_prefixes(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.
         sizes = high - low + 1
         which = np.repeat(np.arange(len(low)), sizes)
         at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - low, sizes)
-        owner[:] = -1
-        owner[to[at]] = which
-        held = np.flatnonzero(owner >= 0)
-        new = np.append(True, (held[1:] != held[:-1] + 1) | (owner[held[1:]] != owner[held[:-1]]) | (first[held[1:]] != first[held[:-1]]))
+        held = to[at]
+        owner[held] = which
+        held = np.sort(held)
+        own = owner[held]
+        new = np.append(True, (held[1:] != held[:-1] + 1) | (own[1:] != own[:-1]) | (first[held[1:]] != first[held[:-1]]))
         begin = np.flatnonzero(new)
         low, high = held[begin], held[np.append(begin[1:], len(held)) - 1]
         last = high == n - 1
@@ -248,24 +251,6 @@ def hashed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.join(least, "digest").where(place > F.col("first")).select("doc_id", "h", "start", F.lit(1).alias("starts"))
 
 
-def marks(rows: DataFrame, name: str) -> DataFrame:
-    """bucket, bits: the hashed ids of rows (doc_id). At most MARK_BITS / 8 bytes."""
-    x = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)) + 1
-    bits = rows.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    return stored(bits, name)
-
-
-def marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
-    """docs with `marked`: false only if the row's doc_id is not among the marked ones."""
-    x = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)) + 1
-    at = F.bitmap_bit_position(x)
-    own = docs.withColumn("__bucket", F.bitmap_bucket_number(x)).withColumn("__at", at)
-    own = own.join(F.broadcast(bits.withColumnRenamed("bucket", "__bucket")), "__bucket", "left")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    bit = F.expr("shiftright(b, cast(__at % 8 AS int)) & 1")
-    return own.withColumn("b", byte).withColumn("marked", F.coalesce(bit == 1, F.lit(False))).drop("bits", "b", "__bucket", "__at")
-
-
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """COVERED rows of docs (doc_id, h, text): starts whose string also starts earlier; some may come twice."""
     rows = stored(cut(docs, length), "suffix-fragments")
