@@ -86,3 +86,56 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "w " * 30 + "x y z", "c"), (1, "w " * 30 + "x y z", "c")], "doc_id long, text string, lang string")
     assert [r.n_removed for r in P.deduplicated(df).collect()] == [0, 0]
     assert P.deduplicated(df.limit(0)).count() == 0
+
+
+def kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in P.deduplicated(df).orderBy("doc_id").collect()]
+
+
+def numbered(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_near_copies_of_any_length(spark):
+    """All pairs of lines and sentences, short ones too, by sets of plain word tuples."""
+    rng = random.Random(3)
+    texts = []
+    for n in [*range(1, 30), 40, 55]:
+        unit = numbered(rng, n)
+        texts += [" ".join(unit), " ".join(numbered(rng, 20)) + ". " + " ".join(unit[:-1] + ["new"]), " ".join(unit)]
+    grams = lambda w: {tuple(w[i : i + P.K]) for i in range(max(1, len(w) - P.K + 1))}
+    alike = lambda a, b: 100 * len(a & b) >= P.PERCENT * len(a | b)
+    got, earlier, similar = kept(spark, texts), [], 0
+    for text, left in zip(texts, got):
+        for unit in text.split(". "):
+            s = grams(unit.split())
+            known = any(alike(s, x) for x in earlier)
+            assert (unit not in left) == known, (unit, left)
+            similar += known and s not in earlier
+            earlier.append(s)
+    assert similar == 19  # from 13 words on, one changed word at the end leaves 80 percent
+
+
+def test_passages_not_at_boundaries(spark):
+    rng = random.Random(4)
+    passage, long = numbered(rng, 60), numbered(rng, 200)
+    short = [w + "." * (i % 4 == 3) for i, w in enumerate(numbered(rng, 60))]
+    near = long[:100] + ["changed"] + long[101:]
+    host = lambda x: " ".join(numbered(rng, 37) + x + numbered(rng, 41))
+    texts = [host(x) for x in (passage, short, long, passage, short, near)] + ["one " + "and again " * 200 + "end"]
+    got = kept(spark, texts)
+    assert got[:3] == texts[:3] and got[6].startswith("one and again")
+    for at, x in ((3, passage), (4, short)):
+        rest = got[at].split()
+        # what lies before the first and after the last window is the limit that the README states
+        assert sum(w in x for w in rest) <= 2 * (P.STEP + P.SHORT) and len(rest) >= 78 and rest[:37] == texts[at].split()[:37]
+    assert sum(w in near for w in got[5].split()) <= 4 * (P.STEP + P.SHORT)
+
+
+def test_every_run_has_a_shared_window():
+    rng = random.Random(5)
+    for n in (P.SHORT + P.STEP - 1, 40, 90):
+        run = numbered(rng, n)
+        found = [{s.tobytes() for _, _, banded, s in P.measured_units(" ".join(numbered(rng, 31) + run + numbered(rng, 29)).encode()) if not banded} for _ in range(2)]
+        assert found[0] & found[1]

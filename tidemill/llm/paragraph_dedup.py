@@ -1,11 +1,18 @@
 """Substring dedup by paragraphs.
 
 A text's lines are its paragraphs, and the sentences of a line that has several are paragraphs of a finer cut, so that
-a passage set inside a longer line is met too. Units of fewer than LEAST_WORDS words are left alone. Lines of at least
-BANDED_WORDS words get MinHash signatures of their 5-word shingles in bands, as many as tuned() finds for the recall
-wanted; lines that collide in a band are compared exactly (Jaccard similarity of at least 80 percent), and what is
-similar, or similar to similar ones, is a class. Shorter lines, and sentences, are in a class if their shingles are
-equal. Of each class the first unit (by doc_id and place) stays, and the others go from their texts.
+a passage set inside a longer line is met too. For passages that keep to no such boundaries there are windows, placed by
+content, so that copies have the same ones wherever they lie: of SHORT words from the least shingle of each STEP
+successive ones, and of LONG words from each shingle that is the least of REACH on either side. Any run of
+SHORT + STEP - 1 words that texts share has a short window that they share, and so has any passage that is similar and
+at least 49 words long, if words in it were replaced.
+
+Lines, sentences and long windows, of any length, get MinHash signatures of their 5-word shingles in bands, as many as
+tuned() finds for the recall wanted; those that collide in a band are compared exactly (Jaccard similarity of at least
+80 percent), and what is similar, or similar to similar ones, is a class. Sets of under LEAST_BANDED shingles can only
+be similar if they are equal, and need no bands. Short windows, and long ones
+that are similar to a line or sentence that they overlap, are in a class if their shingles are equal. Of each class
+the first unit (by doc_id and place) stays, and the others go from their texts, but for those that overlap the first.
 
 Equal units are one item from the start, so groups of copies cost little. A null text is empty; a null doc_id comes
 after all others; repeated rows (same id and text) share one decision, and so do not remove each other.
@@ -28,7 +35,10 @@ from tidemill.llm.components import components
 from tidemill.llm.ngram_join import candidates
 from tidemill.llm.shingles import mixed, set_id, shingles, word_hashes
 
-K, PERCENT, LEAST_WORDS, BANDED_WORDS, RECALL, MOST_HASHES = 5, 80, 8, 24, 0.995, 32
+K, PERCENT, RECALL, MOST_HASHES = 5, 80, 0.995, 32
+SHORT, STEP, LONG, REACH = 16, 8, 64, 16
+#: n / (n + 1) is the most that unequal sets reach of which the smaller has n.
+LEAST_BANDED = PERCENT // (100 - PERCENT)
 _SENTENCE = re.compile(rb"[.!?]+[\x20\x09-\x0D]+")
 
 
@@ -57,12 +67,67 @@ def units(raw: bytes) -> list[tuple[int, int, bool]]:
     return out
 
 
+def anchors(values: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Places whose value is the least of some `before + after + 1` successive ones if before is 0 (at least one of every
+    so many is taken), and else of those around it."""
+    n = before + after + 1
+    if len(values) < n:
+        return np.zeros(0, np.int64)
+    around = np.lib.stride_tricks.sliding_window_view(values, n)
+    least = around.argmin(axis=1)
+    return np.flatnonzero(least == before) + before if before else np.unique(least + np.arange(len(least)))
+
+
+def windows(grams: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first word, words) of the windows of a text with these shingles. Of windows of one text with equal shingles that
+    overlap, the first is taken."""
+    order = mixed(grams, 1)
+    for words, at in ((SHORT, anchors(order, 0, STEP - 1)), (LONG, anchors(order, REACH, REACH))):
+        at = at[at + words - K < len(grams)]
+        if not len(at):
+            continue
+        sets = np.sort(np.lib.stride_tricks.sliding_window_view(grams, words - K + 1)[at], axis=1)
+        ends: dict[bytes, int] = {}
+        for place, own in zip(at.tolist(), sets):
+            # sets, not lists: a short window of a period's words has fewer shingles than places
+            key = (np.unique(own) if (own[1:] == own[:-1]).any() else own).tobytes()
+            if place >= ends.get(key, 0):
+                ends[key] = place + words
+                yield place, words
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
 def measured_units(raw: bytes) -> Iterator[tuple[int, int, bool, np.ndarray]]:
-    """Units of at least LEAST_WORDS words, with their distinct shingles, sorted."""
-    for start, end, line in units(raw):
-        words = raw[start:end].lower().split()
-        if len(words) >= LEAST_WORDS:
-            yield start, end - start, line and len(words) >= BANDED_WORDS, np.unique(shingles(word_hashes(words), K))
+    """(start, length, whether similar ones count, not only equal ones, distinct shingles, sorted) of units with a word."""
+    words = word_hashes(raw.lower().split())
+    if not len(words):
+        return
+    grams = shingles(words, K)
+    letters = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate(([False], (letters != 32) & ((letters < 9) | (letters > 13)), [False]))
+    first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    found = units(raw)
+    at = np.searchsorted(first, np.array([u[:2] for u in found], np.int64)).tolist()
+    distinct = lambda x: np.unique(x) if (x[1:] == x[:-1]).any() else x
+    wide = []
+    for (start, end, _), (a, b) in zip(found, at):
+        if b > a:
+            own = distinct(np.sort(grams[a : b - K + 1] if b - a >= K else shingles(words[a:b], K)))
+            yield start, end - start, True, own
+            if b - a > LONG // 2:
+                wide.append((a, b, own))
+    if len(words) >= K:
+        for a, n in windows(grams):
+            own = distinct(np.sort(grams[a : a + n - K + 1]))
+            # a window that is nearly a line or sentence of its own text is no copy of it, and the line stands for it
+            banded = n == LONG and not any(x < a + n and a < y and alike(own, s) for x, y, s in wide)
+            yield int(first[a]), int(last[a + n - 1] - first[a]), banded, own
 
 
 def found_units(docs: DataFrame) -> DataFrame:
@@ -84,7 +149,7 @@ def found_units(docs: DataFrame) -> DataFrame:
 
 
 def bands(docs: DataFrame) -> DataFrame:
-    """token, item, n: the band keys of the lines that are banded."""
+    """token, item, n: the band keys of the units that are banded."""
     seeds = range(10, 10 + BANDS * ROWS)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +157,8 @@ def bands(docs: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 seen: dict[int, np.ndarray] = {}
                 for text in batch.column(0).slice(i, 500).to_pylist():
-                    raw = (text or "").encode()
-                    for line in raw.split(b"\n"):
-                        words = line.lower().split()
-                        if len(words) >= BANDED_WORDS:
-                            s = np.unique(shingles(word_hashes(words), K))
+                    for _, _, banded, s in measured_units((text or "").encode()):
+                        if banded and len(s) >= LEAST_BANDED:
                             seen.setdefault(set_id(s), s)
                 if not seen:
                     continue
@@ -143,9 +205,10 @@ def removals(docs: DataFrame) -> DataFrame:
     """doc_id, h, and spans (start, end in bytes, first_doc_id and first_start of the unit that stays) to remove."""
     members, found = classes(docs)
     hit = found.join(members, "item")
-    same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("h") == F.col("first.h")) & (F.col("start") == F.col("first.start"))
+    same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("h") == F.col("first.h"))
+    over = (F.col("start") < F.col("first.start") + F.col("first.length")) & (F.col("first.start") < F.col("start") + F.col("length"))
     # a line of one sentence only is one unit; a line and its sentences overlap, and are joined when they are cut out
-    hit = hit.where(~same).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    hit = hit.where(~(same & over)).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     return hit.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id", "first_start"))).alias("spans"))
 
 
