@@ -402,6 +402,13 @@ def g46(spark, d):
     return protect.restored(out, vault, "doc_id").where("NOT text RLIKE '[0-9A-Z]'").select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("g46_restore_all")
+def g46_all(spark, d):
+    """Every document; what was redacted or masked can't come back, so its markers stay."""
+    out, vault = protect.protected(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "key")
+    return protect.restored(out, vault, "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
 @query("g51_report")
 def g51(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
