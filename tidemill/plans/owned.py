@@ -186,6 +186,34 @@ def d07(spark, d):
     return ranking.fused(lexical, semantic, "vec_id").select("vec_id", F.round("score", 8).alias("score"))
 
 
+# the same for every query row of the job: ids divisible by 20 (SQL above has the first of them)
+
+
+@query("d04_bm25_all")
+def d04_all(spark, d):
+    q = t(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    return ranking.bm25(documents_tokens(spark, d), q, "doc_id", "toks", "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def all_nearest(spark, d):
+    v = t(spark, d, "embeddings")
+    found = ranking.cosines(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "embedding", "query_id")
+    return found.withColumn("score", F.round("score", 5))
+
+
+@query("d06_cosine_all")
+def d06_all(spark, d):
+    return all_nearest(spark, d)
+
+
+@query("d07_rrf_all")
+def d07_all(spark, d):
+    v = t(spark, d, "embeddings")
+    lexical = v.select("vec_id", F.col("label").cast("double").alias("score"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query_id"))
+    return ranking.fused(lexical, all_nearest(spark, d), "vec_id", queries=asked).withColumn("score", F.round("score", 8))
+
+
 @query("d10_hubs", f"WITH b AS (SELECT from_table AS name, to_table AS other FROM {EDGE_SQL} UNION SELECT to_table, from_table FROM {EDGE_SQL}) SELECT name, CAST(0 AS BIGINT) AS n_rows, count(DISTINCT other) AS degree FROM b GROUP BY name ORDER BY degree DESC, name LIMIT 8")
 def d10(spark, d):
     e = catalog.edges(spark)
