@@ -103,3 +103,18 @@ def test_real_documents(spark):
     rows = [(r.doc_id, r.text, 0) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = sorted((tuple(r) for r in D.op4_suffix_dedup(spark, "/root/testdata/sf0.001").collect()), key=repr)
     assert got == brute(rows, D.LENGTH)
+
+
+def test_long_runs_of_one_key_go_in_slices(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(D, "HOT_BYTES", 3000, raising=False)
+    monkeypatch.setattr(D, "SLICE_BYTES", 700, raising=False)
+    monkeypatch.setattr(D, "SLICE_STARTS", 300, raising=False)
+    own = D.compared
+    monkeypatch.setattr(D, "compared", lambda parts, length: met.append(parts) or own(parts, length))
+    texts_ = ["ab " * 3000, "x" * 1500 + " tail " + "ab " * 1200 + "end", "one word " * 800, "y" + "x" * 1000, "nothing that repeats " + "z" * 120]
+    rows = [(i, t, 0) for i, t in enumerate(texts_)]
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.text).hexdigest()) for r in D.deduplicated(df).collect()), key=repr)
+    assert got == brute(rows, D.LENGTH)
+    assert max([len(r.content) for r in met[0].collect()], default=0) <= 3000

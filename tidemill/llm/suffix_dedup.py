@@ -9,7 +9,8 @@ strings have equal keys. Starts that follow each other with one key are a fragme
    fragments are sorted as deep as needed, and intervals of the Burrows-Wheeler transform are extended backward, breadth
    first: each step finds the suffixes whose common prefix with the one before is one byte longer, and the search stops
    at LENGTH. What then has no value shares LENGTH bytes. Of each such group of starts the first stays.
-4. A key with more than HOT fragments would not fit a task: there, starts meet by 128-bit hashes of their strings.
+4. A key with more than HOT fragments, or of more than HOT_BYTES, would not fit a task: there, starts meet by 128-bit
+   hashes of their strings, and long fragments are cut in slices that overlap by LENGTH - 1 bytes.
 
 Documents are ordered by doc_id, a null one last, and those with equal ids by their texts' hashes; rows with equal ids
 and texts are one document. A null text is empty. Only documents with something covered are shuffled for the result;
@@ -32,6 +33,7 @@ from tidemill.llm.shingles import mixed
 
 LENGTH, KGRAM = 100, 32
 CHUNK_BYTES, BUCKET_BYTES, HOT = 1 << 20, 1 << 20, 4000
+HOT_BYTES, SLICE_BYTES, SLICE_STARTS = 4 << 20, 1 << 20, 1 << 16
 _BYTE = mixed(np.arange(256, dtype=np.uint64), 77)
 _P = 0x9E3779B97F4A7C15
 
@@ -235,20 +237,35 @@ def compared(parts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def hashed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """COVERED rows from parts of keys with very many fragments: by the hash of each start's string."""
+    """COVERED rows from parts of keys with very many or very long fragments: by the hash of each start's string."""
+    size = F.octet_length("content")
+    total = parts.agg(F.sum(size)).first()[0] or 0
+    at = F.sequence(F.lit(0), size - length, F.lit(SLICE_BYTES))
+    slices = F.transform(at, lambda i: F.struct((F.col("start") + i).alias("start"), F.substring(F.col("content"), i + 1, F.lit(SLICE_BYTES + length - 1)).alias("content")))
+    cut_up = parts.select("doc_id", "h", F.explode(slices).alias("s")).select("doc_id", "h", "s.*").repartition(int(total // HOT_BYTES + 1), "doc_id", "h", "start")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, h, start, content in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(content) - length + 1
-                view = memoryview(content)
-                digests = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc_id] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], names=["digest", "doc_id", "h", "start"])
+                view, starts = memoryview(content), len(content) - length + 1
+                for first in range(0, starts, SLICE_STARTS):
+                    n = min(SLICE_STARTS, starts - first)
+                    digests = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(first, first + n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc_id] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(range(start + first, start + first + n), pa.int32())], names=["digest", "doc_id", "h", "start"])
 
-    rows = parts.select("doc_id", "h", "start", "content").mapInArrow(tasks, "digest binary, doc_id long, h long, start int")
+    rows = cut_up.select("doc_id", "h", "start", "content").mapInArrow(tasks, "digest binary, doc_id long, h long, start int")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start")
     least = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(least, "digest").where(place > F.col("first")).select("doc_id", "h", "start", F.lit(1).alias("starts"))
+    found = rows.join(least, "digest").where(place > F.col("first"))
+    # starts in a row are one row, so that a long text's spans stay few
+    found = found.groupBy("doc_id", "h", F.floor(F.col("start") / SLICE_STARTS).alias("slice")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(d, h, a, n) for d, h, s in zip(*(c.to_pylist() for c in batch.columns)) for a, n in runs(np.array(s, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "h", "start", "starts"])
+
+    return found.select("doc_id", "h", "starts").mapInArrow(joined, COVERED)
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -263,7 +280,7 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = stored(met.withColumn("equal", place > F.col("first")).select("key", "doc_id", "h", "start", "starts", "equal"), "suffix-met")
     equal = met.where("equal").select("doc_id", "h", "start", "starts")
     differ = met.where("NOT equal")
-    counts = differ.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+    counts = differ.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("starts").cast("long") + length).alias("bytes")).where((F.col("n") > HOT) | (F.col("bytes") > HOT_BYTES)).select("key", F.lit(True).alias("hot"))
     counts = stored(counts, "suffix-hot")
     total = differ.agg(F.sum(F.col("starts") + length)).first()[0] or 0
     differ = differ.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "key", "left")
