@@ -47,8 +47,8 @@ def texts(seed, n):
 
 @pytest.mark.parametrize("k,percent,group", [(3, 90, 32), (5, 80, 32), (3, 90, 4)])
 def test_against_all_pairs(spark, monkeypatch, k, percent, group):
-    monkeypatch.setattr(J, "GROUP", group)
     monkeypatch.setattr(J.candidates, "__defaults__", (J.ORDERS, group))
+    monkeypatch.setattr(J.prefixes, "__defaults__", (group // 4,))
     rows = texts(k + percent, 260) + [(2000, ""), (2001, None), (2002, " \n"), (None, "only here " * 9), (None, None), (2003, "a"), (2004, "A"), (2005, "x " * 3000), (2006, "x " * 10)]
     rows += [rows[0], rows[0]]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n long")
@@ -69,20 +69,42 @@ def test_empty_table_and_kept_documents(spark):
     assert kept.columns == df.columns and sorted(r.component_id for r in kept.collect()) == ["gone?", "y", "z", "z"]
 
 
-def test_blocks_of_a_large_cluster(spark):
-    from tidemill.llm import clusters
+@pytest.mark.parametrize("block", [7, 256])
+def test_hot_candidates(spark, block):
+    """All sets hang on one hot token, of which few are similar: leaders, then blocks, find all."""
+    from tidemill.llm import pairs
 
     rows = texts(9, 200)
-    sets = {S.set_id(s): s for s in (S.shingle_set(t, 3) for _, t in rows)}
+    sets = {S.set_id(s)[0]: s for s in (S.shingle_set(t, 3) for _, t in rows)}
     names = sorted(sets)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    items = J.profiles(docs, 3).where("part IS NULL").groupBy("item").agg(J.F.max("n").alias("n"), J.F.first(J.F.struct("doc_id", "h")).alias("at")).selectExpr("item", "n", "at.doc_id", "at.h", "0 AS start", "-1 AS length")
-    chain = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
-    links = clusters.verified(chain, items, docs, 3, 90, block=7)
-    got = {frozenset(v) for v in by_component(links).values()}
-    pairs = S.linked_pairs([sets[x] for x in names], None, 90)
-    want = {frozenset(v) for v in by_component(spark.createDataFrame([(names[a], names[b]) for a, b in pairs], "a long, b long")).values()}
-    assert got == want and len(want) > 3
+    held = spark.createDataFrame([(n, len(s), bytearray(s.tobytes())) for n, s in sets.items()], "item long, n int, values binary")
+    star = spark.createDataFrame([(names[0], n, True) for n in names[1:]], "a long, b long, hot boolean")
+    want = {frozenset(v) for v in by_component(spark.createDataFrame([(names[a], names[b]) for a, b in S.linked_pairs([sets[x] for x in names], None, 90)], "a long, b long")).values()}
+    rare = np.zeros(J.BUCKETS, np.uint8)
+    for screen in (None, lambda s: J.prefix_tokens(s, rare, 90)):
+        links = pairs.linked(star, held, 90, screen, block=block)
+        assert {frozenset(v) for v in by_component(links).values()} == want and len(want) > 3
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Many copies of a text with some words changed each, whose links all hang on hot tokens."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows.append((5000, " ".join(base[:100] + [f"y{i}" for i in range(100)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [S.shingle_set(t, 5) for _, t in rows]
+    parent = list(range(len(rows)))
+    for a, b in S.forest(S.linked_pairs(sets, None, 80)):
+        root = lambda x: x if parent[x] == x else root(parent[x])
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted((d, rows[root(i)][0]) for i, (d, _) in enumerate(rows))
+    assert sorted((r.doc_id, r.component_id) for r in J.joined(df).collect()) == want
 
 
 def by_component(links):

@@ -1,7 +1,7 @@
 """Connected components of links, by alternating large and small stars.
 
-Each round replaces links by links to least neighbours, until only stars are left. A node's links meet in joins and
-aggregates that split (a hub is no group of one task); rounds are stored in the shared folder.
+Each round replaces links by links to least neighbours, until only stars are left. Neighbours are added up before they
+are shuffled, and the least ones are stored before links meet them, so that adaptive execution can split a hub's links.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ MOST_ROUNDS = 40
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """links point downward (a > b)."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -4,10 +4,13 @@ A document's set is that of its k-word shingles. In any order of all shingles, t
 least t share one of the first n - ceil(t * n) + 1 of their n elements. Here there are ORDERS orders, all of which put
 rare shingles first (by counts over the whole corpus, in BUCKETS hashed buckets) and differ among equally rare ones.
 Candidates share a prefix element in each order: pairs of each order are intersected before any set is compared.
-An element that more than GROUP sets share in a prefix gives no pairs but links to its least set, which count as
-candidates as they are. Then `clusters` compares exactly what candidates connect.
 
-Equal sets are one item from the start. Shingles are known by 64-bit hashes. Empty sets link with nothing.
+An element that more than LOCAL sets of a chunk or GROUP of all share in a prefix is hot: it gives no pairs but links to
+its least set, in each chunk and then over chunks, so its rows are few when they meet. `pairs` compares candidates, and
+sets that hot elements connect are first screened by the same prefixes, in every order.
+
+Equal sets are one item from the start, by 128-bit hashes; shingles and the items among candidates, which are few of
+all, are known by 64 bits. Empty sets link with nothing.
 Nulls: a null text is empty; a null doc_id is a document, and alone its own component (null).
 """
 
@@ -21,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.clusters import verified
 from tidemill.llm.common import marked, marks, stored, table
 from tidemill.llm.components import components
+from tidemill.llm.pairs import item_sets, linked
 from tidemill.llm.shingles import mixed, set_id, shingle_set
 
-ORDERS, BUCKETS, PARTS, GROUP, SALTS = 2, 1 << 22, 16, 32, 16
+ORDERS, BUCKETS, PARTS, GROUP, LOCAL, SALTS = 2, 1 << 22, 16, 32, 8, 16
 CHUNK_ROWS = 2000
+#: Added to a row's size: it stands for more rows with its token.
+STANDS = 1 << 30
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -35,11 +40,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, h (the text's hash), n, item (the set) of each row; and rows with part and counts (of a bucket range), task by task."""
+    """doc_id, h (the text's hash), n, item and more (the set's 128 bits) of each row; and rows with part and counts (of a bucket range), task by task."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "h", "n", "item", "part", "counts"]
+        names = ["doc_id", "h", "n", "item", "more", "part", "counts"]
         for batch in batches:
             sizes, items = [], []
             for text in batch.column(2):
@@ -48,13 +53,13 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 items.append(set_id(s))
                 counts[(s % np.uint64(BUCKETS)).astype(np.int64)] += 1  # two shingles of a text in one bucket count once
             empty = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(items, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *[pa.array([x[j] for x in items], pa.int64()) for j in (0, 1)], empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
         data = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(PARTS, -1)]
         none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(range(PARTS), pa.int32()), pa.array(data, pa.binary())], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
-    return rows.mapInArrow(tasks, "doc_id long, h long, n long, item long, part int, counts binary")
+    return rows.mapInArrow(tasks, "doc_id long, h long, n long, item long, more long, part int, counts binary")
 
 
 def rarity(counted: DataFrame) -> np.ndarray:
@@ -79,63 +84,96 @@ def rarity(counted: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, rare: np.ndarray, k: int, percent: int) -> DataFrame:
-    """token, item, n: each set's prefix in each order; the token's last bits tell the order."""
-    table_ = docs.sparkSession.sparkContext.broadcast(rare)
+def prefix_tokens(s: np.ndarray, classes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """A sorted set's prefix in each order; a token's last bits tell the order."""
+    p = prefix_length(len(s), percent)
+    of_class = classes[(s % np.uint64(BUCKETS)).astype(np.int64)]
+    out = []
+    for o in range(ORDERS):
+        own = mixed(s, o + 1)
+        out.append((own[np.lexsort((own, of_class))[:p]] & np.uint64(2**64 - ORDERS) | np.uint64(o)).view(np.int64))
+    return out
+
+
+TOKEN = "token long, item long, n int"
+
+
+def thinned(token: np.ndarray, item: np.ndarray, n: np.ndarray, most: int) -> pa.RecordBatch:
+    """TOKEN rows of a chunk. Of a token with more than `most` items only the least goes on, and stands for them; each of
+    the others is a row with n = -1, which links it to that one (in token's place)."""
+    order = np.lexsort((item, token))
+    token, item, n = token[order], item[order], n[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (item[1:] != item[:-1]))[: len(token)]
+    token, item, n = token[new], item[new], n[new]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(token)))
+    hot = np.repeat(sizes > most, sizes)
+    first = np.zeros(len(token), bool)
+    first[starts] = True
+    to, own = np.repeat(item[starts], sizes)[hot & ~first], item[hot & ~first]
+    order = np.lexsort((own, to))
+    to, own = to[order], own[order]
+    new = np.append(True, (to[1:] != to[:-1]) | (own[1:] != own[:-1]))[: len(to)]
+    keep = ~hot | first
+    n = np.where(hot, n + STANDS, n)[keep].astype(np.int32)
+    columns = [np.concatenate([token[keep], to[new]]), np.concatenate([item[keep], own[new]]), np.concatenate([n, np.full(new.sum(), -1, np.int32)])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "item", "n"])
+
+
+def prefixes(docs: DataFrame, rare, k: int, percent: int, local: int = LOCAL) -> DataFrame:
+    """TOKEN rows: each set's prefix in each order. rare: rarity(), broadcast (BUCKETS bytes)."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = table_.value
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNK_ROWS):
                 tokens, items, sizes, seen = [], [], [], set()
                 for text in batch.column(0).slice(i, CHUNK_ROWS):
                     s = shingle_set(text.as_py(), k)
-                    item = set_id(s)
+                    item = set_id(s)[0]
                     if not len(s) or item in seen:
                         continue
                     seen.add(item)
-                    p = prefix_length(len(s), percent)
-                    of_class = classes[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                    for o in range(ORDERS):
-                        own = mixed(s, o + 1)
-                        first = np.lexsort((own, of_class))[:p]
-                        tokens.append((own[first] & np.uint64(2**64 - ORDERS) | np.uint64(o)).view(np.int64))
-                        items.append(np.full(p, item, np.int64))
-                        sizes.append(np.full(p, len(s), np.int32))
+                    own = np.concatenate(prefix_tokens(s, rare.value, percent))
+                    tokens.append(own)
+                    items.append(np.full(len(own), item, np.int64))
+                    sizes.append(np.full(len(own), len(s), np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, items, sizes)], names=["token", "item", "n"])
+                    yield thinned(*(np.concatenate(x) for x in (tokens, items, sizes)), local)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(tasks, "token long, item long, n int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tasks, TOKEN)
 
 
 def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int = GROUP) -> DataFrame:
-    """(a, b) of items that share a token in every order, or a token with more than `group` items. orders 1: any token."""
+    """(a, b, hot) from TOKEN rows: items that share a token in every order (orders 1: any token), and the links of hot tokens."""
     every = (1 << orders) - 1
     rows = tokens.repartition("token").sortWithinPartitions("token", "n", "item")
 
     def pairs(token: np.ndarray, item: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of whole groups, sorted."""
-        new = np.append(True, (token[1:] != token[:-1]) | (item[1:] != item[:-1]))
-        token, item, n = token[new], item[new], n[new].astype(np.int64)
-        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        sizes = np.diff(np.append(starts, len(token)))
-        mask = 1 << (token % orders) if orders > 1 else np.ones(len(token), np.int64)
-        of_size = np.repeat(sizes, sizes)
-        large = of_size > group
-        least = np.repeat(np.minimum.reduceat(item, starts), sizes)
-        out = [(least[large], item[large], np.full(large.sum(), every))]
-        small = np.flatnonzero(~large & (of_size > 1))
-        token, item, n, mask = token[small], item[small], n[small], mask[small]
-        for d in range(1, group):
-            same = np.flatnonzero(token[d:] == token[:-d])
-            if not len(same):
-                break
-            fits = 100 * n[same] >= percent * n[same + d]
-            same = same[fits]
-            out.append((np.minimum(item[same], item[same + d]), np.maximum(item[same], item[same + d]), mask[same]))
-        a, b, m = (np.concatenate(x) for x in zip(*out))
+        link = n < 0
+        out = [(np.minimum(token[link], item[link]), np.maximum(token[link], item[link]), np.full(link.sum(), every), np.full(link.sum(), True))]
+        token, item, n = token[~link], item[~link], n[~link].astype(np.int64)
+        stands, n = n >= STANDS, n % STANDS
+        if len(token):
+            new = np.append(True, (token[1:] != token[:-1]) | (item[1:] != item[:-1]))
+            token, item, n, stands = token[new], item[new], n[new], stands[new]
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(starts, len(token)))
+            mask = 1 << (token % orders) if orders > 1 else np.ones(len(token), np.int64)
+            large = np.repeat((sizes > group) | np.logical_or.reduceat(stands, starts), sizes)
+            least = np.repeat(np.minimum.reduceat(item, starts), sizes)
+            out.append((least[large], item[large], np.full(large.sum(), every), np.full(large.sum(), True)))
+            small = np.flatnonzero(~large & (np.repeat(sizes, sizes) > 1))
+            token, item, n, mask = token[small], item[small], n[small], mask[small]
+            for d in range(1, group):
+                same = np.flatnonzero(token[d:] == token[:-d])
+                if not len(same):
+                    break
+                same = same[100 * n[same] >= percent * n[same + d]]
+                out.append((np.minimum(item[same], item[same + d]), np.maximum(item[same], item[same + d]), mask[same], np.zeros(len(same), bool)))
+        a, b, m, hot = (np.concatenate(x) for x in zip(*out))
         keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(m[keep].astype(np.int32))], names=["a", "b", "mask"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(m[keep].astype(np.int32)), pa.array(hot[keep])], names=["a", "b", "mask", "hot"])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -148,28 +186,36 @@ def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int
             if cut > 100_000:
                 yield from pairs(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
+            elif len(held[0]) - cut > 1_000_000:  # a hot token: its least item so far stands for what has come
+                yield from pairs(*held)
+                at = cut + int(held[1][cut:].argmin())
+                held = [held[0][at : at + 1], held[1][at : at + 1], np.array([STANDS], np.int32)]
         if held and len(held[0]):
             yield from pairs(*held)
 
-    found = rows.mapInArrow(tasks, "a long, b long, mask int")
-    return found.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.col("mask") == every).select("a", "b")
+    found = rows.mapInArrow(tasks, "a long, b long, mask int, hot boolean")
+    found = found.groupBy("a", "b").agg(F.bit_or("mask").alias("mask"), F.bool_or("hot").alias("hot"))
+    return found.where(F.col("mask") == every).select("a", "b", "hot")
 
 
 def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, h, n_shingles, component_id (the least doc_id that links lead to) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = stored(profiles(docs, k), "join-profiles")
-    known = rows.where("part IS NULL").select("doc_id", "h", "n", "item")
-    tokens = prefixes(docs, rarity(rows.where("part IS NOT NULL")), k, percent)
-    found = stored(candidates(tokens, percent), "join-candidates")
+    known = rows.where("part IS NULL").drop("part", "counts")
+    rare = docs.sparkSession.sparkContext.broadcast(rarity(rows.where("part IS NOT NULL")))
+    found = stored(candidates(prefixes(docs, rare, k, percent), percent), "join-candidates")
     filled = known.where("n > 0")
-    items = filled.groupBy("item").agg(F.max("n").alias("n"), F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("at"))
-    items = items.select("item", "n", "at.doc_id", "at.h", F.lit(0).alias("start"), F.lit(-1).alias("length"))
-    links = verified(found, items, docs, k, percent)
+    met = found.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    items = filled.join(met, "item").groupBy("item").agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("at"))
+    items = stored(items.select("item", "at.doc_id", "at.h", F.lit(0).alias("start"), F.lit(-1).alias("length")), "join-items")
+    sets = stored(item_sets(items, docs, k), "join-sets")
+    links = linked(found, sets, percent, lambda s: prefix_tokens(s, rare.value, percent))
     groups = stored(components(links), "join-components")
-    grouped = filled.join(groups, filled["item"] == groups["node"], "left").withColumn("c", F.coalesce("component", "item"))
-    least = grouped.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(least, "c").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
+    grouped = filled.join(groups.hint("merge"), filled["item"] == groups["node"], "left")
+    grouped = grouped.select("doc_id", "h", "n", F.coalesce("component", "item").alias("c"), F.when(F.col("component").isNull(), F.col("more")).otherwise(0).alias("more"))
+    least = stored(grouped.groupBy("c", "more").agg(F.min("doc_id").alias("component_id")), "join-least")
+    out = grouped.join(least.hint("merge"), ["c", "more"]).select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(known.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

@@ -1,27 +1,29 @@
 """Substring dedup by paragraphs.
 
 A text's lines are its paragraphs, and the sentences of a line that has several are paragraphs of a finer cut, so that
-a passage set inside a longer line is met too. For passages that keep to no such boundaries there are windows, placed by
-content, so that copies have the same ones wherever they lie: of SHORT words from the least shingle of each STEP
-successive ones, and of LONG words from each shingle that is the least of REACH on either side. Any run of
-SHORT + STEP - 1 words that texts share has a short window that they share, and so has any passage that is similar and
-at least 49 words long, if words in it were replaced.
-
-Lines, sentences and long windows, of any length, get MinHash signatures of their 5-word shingles in bands, as many as
-tuned() finds for the recall wanted; those that collide in a band are compared exactly (Jaccard similarity of at least
-80 percent), and what is similar, or similar to similar ones, is a class. Sets of under LEAST_BANDED shingles can only
-be similar if they are equal, and need no bands. Short windows, and long ones
-that are similar to a line or sentence that they overlap, are in a class if their shingles are equal. Of each class
-the first unit (by doc_id and place) stays, and the others go from their texts, but for those that overlap the first.
-
-Equal units are one item from the start, so groups of copies cost little. A null text is empty; a null doc_id comes
-after all others; repeated rows (same id and text) share one decision, and so do not remove each other.
+near copies inside longer lines are met too. Each of LEAST words or more gets a MinHash signature of its 5-word
+shingles, in as many bands as tuned() finds for the recall wanted; those that collide in a band are compared exactly
+(Jaccard similarity of at least 80 percent), and what is similar, or similar to similar ones, is a class. Sets of under
+LEAST_BANDED shingles can only be similar if they are equal, and need no bands. Shorter paragraphs than LEAST words are
+no passages by themselves; `least_words` sets another bound.
+
+For passages that keep to no such boundaries there are windows of WINDOW words, placed by content: at the least shingle
+of each STEP successive ones, so that any run of WINDOW + STEP - 1 words that texts share has a window that they share.
+Windows, paragraphs too, are in one class if their words are equal. From a window that goes, the cut is widened by the
+words on either side that equal those of the window that stays, STEP - 1 at most, so a shared run goes whole.
+
+Of each class the first unit (by doc_id and place) stays, and the others go from their texts, but for those that overlap
+the first. Equal units are one item from the start, so groups of copies cost little. A null text is empty; a null doc_id
+comes after all others; repeated rows (same id and text) share one decision, and so do not remove each other.
+
+Units are cut from many texts at once, and never stored but for those that have a counterpart: a first pass counts items
+(128-bit hashes), a second one gives bands, a third one the units of items that repeat or have candidates.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.clusters import verified
 from tidemill.llm.common import marked, marks, stored, table
 from tidemill.llm.components import components
-from tidemill.llm.ngram_join import candidates
-from tidemill.llm.shingles import mixed, set_id, shingles, word_hashes
+from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, thinned
+from tidemill.llm.pairs import item_sets, linked
+from tidemill.llm.shingles import mixed, shingles, word_hashes
 
-K, PERCENT, RECALL, MOST_HASHES = 5, 80, 0.995, 32
-SHORT, STEP, LONG, REACH = 16, 8, 64, 16
+K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 32, 13
+WINDOW, STEP = 26, 24
 #: n / (n + 1) is the most that unequal sets reach of which the smaller has n.
 LEAST_BANDED = PERCENT // (100 - PERCENT)
-_SENTENCE = re.compile(rb"[.!?]+[\x20\x09-\x0D]+")
+CHUNK_BYTES = 1 << 20
 
 
 def tuned(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -52,164 +54,220 @@ def tuned(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) ->
 
 
 BANDS, ROWS = tuned(PERCENT / 100)
-
-
-def units(raw: bytes) -> list[tuple[int, int, bool]]:
-    """(start, end, is a line) of the lines of a text, and of the sentences of lines that have more than one."""
-    out, at = [], 0
-    for line in raw.split(b"\n"):
-        end = at + len(line)
-        out.append((at, end, True))
-        cuts = [m.end() for m in _SENTENCE.finditer(line) if m.end() < len(line)]
-        if cuts:
-            out += [(at + a, at + b, False) for a, b in zip([0, *cuts], [*cuts, len(line)])]
-        at = end + 1
-    return out
-
-
-def anchors(values: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Places whose value is the least of some `before + after + 1` successive ones if before is 0 (at least one of every
-    so many is taken), and else of those around it."""
-    n = before + after + 1
-    if len(values) < n:
+_XOR = mixed(np.arange(BANDS * ROWS, dtype=np.uint64), 31)
+_TIMES = mixed(np.arange(BANDS * ROWS, dtype=np.uint64), 32) | np.uint64(1)
+
+
+class Units(NamedTuple):
+    """Units of some texts: arrays by unit, and of the shingles of all texts end to end."""
+
+    text: np.ndarray
+    start: np.ndarray  # in bytes of the text
+    length: np.ndarray
+    item: np.ndarray  # 128 bits, as two signed numbers
+    more: np.ndarray
+    window: np.ndarray  # whether it is one
+    first: np.ndarray  # shingles of it, from first to before last; first = last: under K words
+    last: np.ndarray
+    word: np.ndarray  # words of it
+    end_word: np.ndarray
+    grams: np.ndarray
+    hashes: np.ndarray  # of words
+    text_words: np.ndarray  # where each text's words begin, and the end
+
+
+def anchors(order: np.ndarray, step: int = STEP) -> np.ndarray:
+    """For each `step` successive values the place of the least (the first of equal ones)."""
+    if len(order) < step:
         return np.zeros(0, np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(values, n)
-    least = around.argmin(axis=1)
-    return np.flatnonzero(least == before) + before if before else np.unique(least + np.arange(len(least)))
-
-
-def windows(grams: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first word, words) of the windows of a text with these shingles. Of windows of one text with equal shingles that
-    overlap, the first is taken."""
-    order = mixed(grams, 1)
-    for words, at in ((SHORT, anchors(order, 0, STEP - 1)), (LONG, anchors(order, REACH, REACH))):
-        at = at[at + words - K < len(grams)]
-        if not len(at):
-            continue
-        sets = np.sort(np.lib.stride_tricks.sliding_window_view(grams, words - K + 1)[at], axis=1)
-        ends: dict[bytes, int] = {}
-        for place, own in zip(at.tolist(), sets):
-            # sets, not lists: a short window of a period's words has fewer shingles than places
-            key = (np.unique(own) if (own[1:] == own[:-1]).any() else own).tobytes()
-            if place >= ends.get(key, 0):
-                ends[key] = place + words
-                yield place, words
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
-
-
-def measured_units(raw: bytes) -> Iterator[tuple[int, int, bool, np.ndarray]]:
-    """(start, length, whether similar ones count, not only equal ones, distinct shingles, sorted) of units with a word."""
-    words = word_hashes(raw.lower().split())
-    if not len(words):
-        return
-    grams = shingles(words, K)
-    letters = np.frombuffer(raw, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(order, step).argmin(axis=1) + np.arange(len(order) - step + 1)
+
+
+def placed_windows(grams: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """First words of the windows. Of windows with equal words that overlap in a chain, one in WINDOW words is taken."""
+    at = anchors(mixed(grams, 1))
+    own = np.arange(len(at))
+    at = np.unique(at[text_of[own] == text_of[own + STEP + K - 2]])  # what the least is taken of lies in one text
+    at = at[at + WINDOW <= len(text_of)]
+    at = at[text_of[at] == text_of[at + WINDOW - 1]]
+    if len(at) < 2:
+        return at
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(grams, 22))))
+    key = sums[at + WINDOW - K + 1] - sums[at]
+    by = np.lexsort((at, key))
+    place, key = at[by], key[by]
+    new = np.append(True, (key[1:] != key[:-1]) | (place[1:] - place[:-1] >= WINDOW))
+    turn = (place - place[new][np.cumsum(new) - 1]) // WINDOW
+    return np.sort(place[new | np.append(True, turn[1:] != turn[:-1])])
+
+
+def units(raws: list[bytes], least_words: int = LEAST) -> Units:
+    """The units of texts with a word, text by text: lines, then sentences of lines with several, then windows."""
+    joined = b"\n".join(raws)
+    letters = np.frombuffer(joined, np.uint8)
     inside = np.concatenate(([False], (letters != 32) & ((letters < 9) | (letters > 13)), [False]))
-    first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
-    found = units(raw)
-    at = np.searchsorted(first, np.array([u[:2] for u in found], np.int64)).tolist()
-    distinct = lambda x: np.unique(x) if (x[1:] == x[:-1]).any() else x
-    wide = []
-    for (start, end, _), (a, b) in zip(found, at):
-        if b > a:
-            own = distinct(np.sort(grams[a : b - K + 1] if b - a >= K else shingles(words[a:b], K)))
-            yield start, end - start, True, own
-            if b - a > LONG // 2:
-                wide.append((a, b, own))
-    if len(words) >= K:
-        for a, n in windows(grams):
-            own = distinct(np.sort(grams[a : a + n - K + 1]))
-            # a window that is nearly a line or sentence of its own text is no copy of it, and the line stands for it
-            banded = n == LONG and not any(x < a + n and a < y and alike(own, s) for x, y, s in wide)
-            yield int(first[a]), int(last[a + n - 1] - first[a]), banded, own
-
-
-def found_units(docs: DataFrame) -> DataFrame:
-    """item, n, doc_id, h (the text's hash), start, length (in bytes), banded of each unit."""
+    first_byte, last_byte = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    hashes = word_hashes(joined.lower().split())
+    n = len(hashes)
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    text_words = np.append(np.searchsorted(first_byte, begins), n)
+    text_of = np.repeat(np.arange(len(raws)), np.diff(text_words))
+    line_bytes = np.append(np.concatenate(([0], np.flatnonzero(letters == 10) + 1)), len(joined) + 1)
+    line_words = np.append(np.searchsorted(first_byte, line_bytes[:-1]), n)
+    line_of = np.repeat(np.arange(len(line_words) - 1), np.diff(line_words))
+    full = np.unique(line_words)
+    stops = (letters[last_byte - 1] == 33) | (letters[last_byte - 1] == 46) | (letters[last_byte - 1] == 63)
+    cuts = np.unique(np.concatenate((full, np.flatnonzero(stops) + 1))) if n else full
+    sentences = np.stack([cuts[:-1], cuts[1:]])
+    sentences = sentences[:, ~(np.isin(sentences[0], full) & np.isin(sentences[1], full))]
+    grams = shingles(hashes, K) if n >= K else np.zeros(0, np.uint64)
+    at = placed_windows(grams, text_of)
+    a = np.concatenate((full[:-1], sentences[0], at))
+    b = np.concatenate((full[1:], sentences[1], at + WINDOW))
+    window = np.arange(len(a)) >= len(a) - len(at)
+    keep = b - a >= least_words
+    a, b, window = a[keep], b[keep], window[keep]
+    first, last = np.minimum(a, len(grams)), np.maximum(np.minimum(a, len(grams)), b - K + 1)
+    ids = []
+    for seed in (21, 22):
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(grams, seed))))
+        own = sums[last] - sums[first]
+        for width in range(1, K):
+            few = np.flatnonzero(b - a == width)
+            if len(few):
+                own[few] = mixed(shingles(hashes, width), seed)[a[few]]
+        ids.append(mixed(own, seed).view(np.int64))
+    # a unit goes with the white space up to the next word of its line, or with the rest of the line
+    own_line, end_line = line_of[a] if n else a, line_of[b - 1] if n else a
+    start = np.where(a == line_words[own_line], line_bytes[own_line], first_byte[a] if n else a)
+    following = np.append(first_byte, len(joined))[b] if n else b
+    end = np.where(b == line_words[end_line + 1], line_bytes[end_line + 1] - 1, following) if n else b
+    text = text_of[a] if n else a
+    return Units(text, start - begins[text], end - start, *ids, window, first, last, a, b, grams, hashes, text_words)
+
+
+def band_keys(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """(token, unit): the keys of the units that are banded."""
+    own = np.flatnonzero(~u.window & (u.last - u.first >= LEAST_BANDED))
+    if not len(own):
+        return np.zeros(0, np.int64), own
+    ranges = np.stack([u.first[own], u.last[own]], axis=1).ravel()
+    key, keys = None, []
+    for i, (x, t) in enumerate(zip(_XOR, _TIMES)):
+        order = np.append((u.grams ^ x) * t, ~np.uint64(0))
+        least = np.minimum.reduceat(order, ranges)[::2]
+        key = mixed((np.full(len(own), np.uint64(i)) if i % ROWS == 0 else key) ^ least, i)
+        if i % ROWS == ROWS - 1:
+            keys.append(key.view(np.int64))
+    return np.concatenate(keys), np.tile(own, BANDS)
+
+
+def chunks(batch: pa.RecordBatch, least_words: int) -> Iterator[tuple[int, Units]]:
+    """(first row, units) of about CHUNK_BYTES of text, the last column. One text is never cut."""
+    raws, size, first = [], 0, 0
+    for row, text in enumerate(batch.column(batch.num_columns - 1)):
+        raws.append((text.as_py() or "").encode())
+        size += len(raws[-1])
+        if size >= CHUNK_BYTES or row == batch.num_rows - 1:
+            yield first, units(raws, least_words)
+            raws, size, first = [], 0, row + 1
+
+
+def counted_items(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
+    """item, more: of units that there are several of."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["item", "n", "doc_id", "h", "start", "length", "banded"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = []
-                for doc_id, h, text in zip(*(c.slice(i, 500).to_pylist() for c in batch.columns)):
-                    rows += [(set_id(s), len(s), doc_id, h, start, length, banded) for start, length, banded, s in measured_units((text or "").encode())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            for first, u in chunks(batch, least_words):
+                yield pa.RecordBatch.from_arrays([pa.array(u.item), pa.array(u.more)], names=["item", "more"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tasks, "item long, more long")
+    return rows.groupBy("item", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item", "more")
+
+
+def bands(docs: DataFrame, least_words: int = LEAST, local: int = LOCAL) -> DataFrame:
+    """TOKEN rows: the band keys of the units that are banded. Sizes are left to the comparison."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, u in chunks(batch, least_words):
+                token, unit = band_keys(u)
+                yield thinned(token, u.item[unit], np.ones(len(token), np.int32), local)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(tasks, TOKEN)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
-    return rows.mapInArrow(tasks, "item long, n int, doc_id long, h long, start int, length int, banded boolean")
 
+FOUND = "item long, more long, doc_id long, h long, start int, length int, window boolean, before binary, after binary"
 
-def bands(docs: DataFrame) -> DataFrame:
-    """token, item, n: the band keys of the units that are banded."""
-    seeds = range(10, 10 + BANDS * ROWS)
+
+def found_units(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
+    """FOUND rows, one for each unit: where it lies (h: the text's hash), and the STEP - 1 words around a window, as 32-bit hashes."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in FOUND.split(", ")]
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                seen: dict[int, np.ndarray] = {}
-                for text in batch.column(0).slice(i, 500).to_pylist():
-                    for _, _, banded, s in measured_units((text or "").encode()):
-                        if banded and len(s) >= LEAST_BANDED:
-                            seen.setdefault(set_id(s), s)
-                if not seen:
-                    continue
-                sets = list(seen.values())
-                sizes = np.array([len(s) for s in sets])
-                values, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                least = np.stack([np.minimum.reduceat(mixed(values, s), starts) for s in seeds])
-                keys = []
-                for b in range(BANDS):
-                    key = np.full(len(sets), np.uint64(b))
-                    for r in range(ROWS):
-                        key = mixed(key ^ least[b * ROWS + r], b)
-                    keys.append(key.view(np.int64))
-                items = np.fromiter(seen, np.int64, len(seen))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(items, BANDS)), pa.array(np.tile(sizes, BANDS).astype(np.int32))], names=["token", "item", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(tasks, "token long, item long, n int")
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, found): item, first (of its class: doc_id, h, start, length), class_size of items in classes of more than one unit; all units."""
-    found = found_units(docs)
-    found = stored(found, "dedup-units")
+            for first, u in chunks(batch, least_words):
+                short = u.hashes.astype(np.uint32)
+                low, high = np.maximum(u.word - STEP + 1, u.text_words[u.text]), np.minimum(u.end_word + STEP - 1, u.text_words[u.text + 1])
+                before = [short[a:b].tobytes() if w else None for a, b, w in zip(low.tolist(), u.word.tolist(), u.window.tolist())]
+                after = [short[a:b].tobytes() if w else None for a, b, w in zip(u.end_word.tolist(), high.tolist(), u.window.tolist())]
+                at = pa.array(u.text + first)
+                columns = [pa.array(u.item), pa.array(u.more), batch.column(0).take(at), batch.column(1).take(at), pa.array(u.start.astype(np.int32)), pa.array(u.length.astype(np.int32)), pa.array(u.window)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
+    return rows.mapInArrow(tasks, FOUND)
+
+
+def classes(docs: DataFrame, least_words: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(units of classes of several: FOUND without the item, and class, more_class; first unit of each class, with the words around)."""
+    items = stored(counted_items(docs, least_words), "dedup-items")
+    pairs = stored(candidates(bands(docs, least_words), 0, orders=1), "dedup-candidates")
+    in_pairs = stored(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "dedup-in-pairs")
+    wanted = items.select(F.col("item").alias("doc_id")).unionByName(in_pairs.select(F.col("item").alias("doc_id")))
+    named = found_units(docs, least_words).select(F.struct("*").alias("u"), F.col("item").alias("doc_id"))
+    found = stored(marked(named, marks(wanted, "dedup-wanted")).where("marked").select("u.*"), "dedup-units")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start", "length")
-    items = found.groupBy("item").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("units"), F.min(place).alias("first"))
-    items = stored(items.where("units > 1").select("item", "units", "first"), "dedup-items")
-    pairs = stored(candidates(bands(docs), PERCENT, orders=1), "dedup-candidates")
-    in_pairs = pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item"))).distinct()
-    paired = found.where("banded").join(in_pairs, "item").groupBy("item").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("units"), F.min(place).alias("first"))
-    paired = stored(paired, "dedup-paired")
-    links = verified(pairs, paired.select("item", "n", "first.doc_id", "first.h", "first.start", "first.length"), docs, K, PERCENT)
-    groups = components(links).withColumnRenamed("node", "item").withColumnRenamed("component", "class")
+    paired = found.where("NOT window").join(in_pairs.hint("merge"), "item").groupBy("item").agg(F.min(place).alias("first"))
+    sets = stored(item_sets(paired.select("item", "first.doc_id", "first.h", "first.start", "first.length"), docs, K), "dedup-sets")
+    groups = components(linked(pairs, sets, PERCENT)).withColumnRenamed("node", "item").withColumnRenamed("component", "class")
     groups = stored(groups, "dedup-components")
-    # a sentence can equal a line of a class, so units are counted over all that have the item
-    of_groups = groups.join(items, "item", "left").join(paired.select("item", F.col("units").alias("u"), F.col("first").alias("f")), "item", "left")
-    of_groups = of_groups.select("item", "class", F.coalesce("units", "u").alias("units"), F.coalesce("first", "f").alias("first"))
-    alone = items.join(groups, "item", "left_anti").select("item", F.col("item").alias("class"), "units", "first")
-    every = of_groups.unionByName(alone)
-    total = every.groupBy("class").agg(F.min("first").alias("first"), F.sum("units").alias("class_size"))
-    return stored(every.select("item", "class").join(total, "class").select("item", "first", "class_size"), "dedup-classes"), found
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, h, and spans (start, end in bytes, first_doc_id and first_start of the unit that stays) to remove."""
-    members, found = classes(docs)
-    hit = found.join(members, "item")
+    # units of an item that is in a class, and of one that repeats
+    several = found.join(groups.hint("merge"), "item", "left").join(items.withColumn("again", F.lit(True)).hint("merge"), ["item", "more"], "left").where("again OR class IS NOT NULL")
+    several = several.withColumn("more_class", F.when(F.col("class").isNull(), F.col("more")).otherwise(0)).withColumn("class", F.coalesce("class", "item"))
+    several = stored(several.drop("item", "more", "again"), "dedup-several")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start", "length", "window", "before", "after")
+    firsts = stored(several.groupBy("class", "more_class").agg(F.min(first).alias("first")), "dedup-classes")
+    return several, firsts
+
+
+def removals(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
+    """doc_id, h, and spans to remove: start, end in bytes, how many words more to the left and right, and first_doc_id that keeps them."""
+    several, firsts = classes(docs, least_words)
+    hit = several.join(firsts.hint("merge"), ["class", "more_class"])
     same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("h") == F.col("first.h"))
     over = (F.col("start") < F.col("first.start") + F.col("first.length")) & (F.col("first.start") < F.col("start") + F.col("length"))
-    # a line of one sentence only is one unit; a line and its sentences overlap, and are joined when they are cut out
-    hit = hit.where(~(same & over)).select("doc_id", "h", "start", (F.col("start") + F.col("length")).alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    return hit.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id", "first_start"))).alias("spans"))
+    both = F.col("window") & F.col("first.window")
+    hit = hit.where(~(same & over)).select("doc_id", "h", "start", "length", F.col("first.doc_id").alias("first_doc_id"), *[F.when(both, c).alias(n) for n, c in (("b", F.col("before")), ("fb", F.col("first.before")), ("a", F.col("after")), ("fa", F.col("first.after")))])
+
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lambda x: np.frombuffer(x or b"", np.uint32)
+
+        def alike(x: np.ndarray, y: np.ndarray) -> int:
+            n = min(len(x), len(y))
+            other = np.flatnonzero(x[:n] != y[:n])
+            return int(other[0]) if len(other) else n
+
+        for batch in batches:
+            b, fb, a, fa = (batch.column(i).to_pylist() for i in range(5, 9))
+            left = [alike(words(x)[::-1], words(y)[::-1]) for x, y in zip(b, fb)]
+            right = [alike(words(x), words(y)) for x, y in zip(a, fa)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["doc_id", "h", "start", "length", "first_doc_id", "left", "right"])
+
+    hit = hit.mapInArrow(widened, "doc_id long, h long, start int, length int, first_doc_id long, left int, right int")
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "left", "right", "first_doc_id")
+    return hit.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_with array<long>, text string"
@@ -217,12 +275,32 @@ SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_with array<long>, tex
 
 def cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """What is left, the bytes removed, and in how many runs. A line that goes takes its newline along."""
+    if any(s["left"] or s["right"] for s in spans):
+        letters = np.frombuffer(raw, np.uint8)
+        inside = np.concatenate(([False], (letters != 32) & ((letters < 9) | (letters > 13))))
+        words = np.flatnonzero(inside[1:] & ~inside[:-1])  # where each begins
+
+        def wide(s: dict) -> tuple[int, int]:
+            a, b = s["start"], s["end"]
+            if s["left"]:
+                a = int(words[np.searchsorted(words, a) - s["left"]])
+            if s["right"]:
+                last = int(np.searchsorted(words, b)) + s["right"]
+                b = int(words[last]) if last < len(words) else len(raw)
+                done = a + len(raw[a:b].rstrip())
+                line = raw[done:b].find(b"\n")  # white space up to the next word goes too, but not beyond the line
+                b = done + line if line >= 0 else b
+            return a, b
+
+        ends = sorted(map(wide, spans))
+    else:
+        ends = [(s["start"], s["end"]) for s in spans]
     runs: list[list[int]] = []
-    for s in spans:
-        if runs and s["start"] <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], s["end"])
+    for a, b in ends:
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
         else:
-            runs.append([s["start"], s["end"]])
+            runs.append([a, b])
     left, at, gone = [], 0, 0
     for a, b in runs:
         if (a == 0 or raw[a - 1 : a] == b"\n") and raw[b : b + 1] == b"\n":
@@ -240,10 +318,10 @@ def _marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return own.select("__row.*", F.col("marked").alias("__marked"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
     """docs with n_bytes (before), n_removed, n_spans, kept_with (ids of the documents that keep what is removed here) and the text that is left."""
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_with", "text")]
-    gone = stored(removals(docs), "dedup-removals")
+    gone = stored(removals(docs, least_words), "dedup-removals")
     touched = gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).hint("merge")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("long").alias("__key"), F.col("text").cast("string").alias("__text"))
     rows = _marked(rows, marks(gone, "dedup-marks"))

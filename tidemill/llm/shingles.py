@@ -17,9 +17,9 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _S3)
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """A-Z lower-cased; split at ASCII white space."""
-    return (text or "").encode().lower().split()
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -38,46 +38,50 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
+def shingle_set(text: str | bytes | None, k: int) -> np.ndarray:
     """Distinct shingles, sorted."""
     return np.unique(shingles(word_hashes(words_of(text)), k))
 
 
-def set_id(values: np.ndarray) -> int:
-    """A signed 64-bit number for a sorted set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))))
+def set_id(values: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a sorted set, as two signed numbers. The first alone names sets among candidates, which are few."""
+    x = xxhash.xxh3_128_intdigest(values.tobytes())
+    return (x & (2**64 - 1)) - (x & 2**63) * 2, (x >> 64) - (x >> 127 << 64)
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """(i, j) of sorted sets with 100 * intersection >= percent * union; without right, of left with itself, i < j.
-
-    Shared elements are counted by products of 0/1 matrices, some columns at a time; elements of one set don't count.
-    """
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None, columns: int = 4096) -> np.ndarray:
+    """How many values each two sorted sets share; without right, of left with itself. Counted by products of 0/1 matrices,
+    some columns at a time; values of one set don't count."""
     both = left if right is None else left + right
+    n = len(left)
+    shared = np.zeros((n, len(both) if right is None else len(right)), np.float32)
     sizes = np.array([len(s) for s in both], np.int64)
-    if len(both) < 2 or not sizes.sum():
-        return []
+    if not sizes.sum():
+        return shared.astype(np.int64)
     owner = np.repeat(np.arange(len(both)), sizes)
     values = np.concatenate(both)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    new = np.append(True, values[1:] != values[:-1])
-    number = np.cumsum(new) - 1
+    number = np.cumsum(np.append(True, values[1:] != values[:-1])) - 1
     often = np.bincount(number) > 1
     keep = often[number]
     column = (np.cumsum(often) - 1)[number[keep]]
     owner = owner[keep]
-    n = len(left)
-    shared = np.zeros((n, len(both) if right is None else len(right)), np.float32)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, b = np.searchsorted(column, [c, c + columns])
         m = np.zeros((len(both), columns), np.float32)
         m[owner[a:b], column[a:b] - c] = 1
         shared += m[:n] @ (m if right is None else m[n:]).T
-    shared = shared.astype(np.int64)
-    other = sizes if right is None else sizes[n:]
-    union = sizes[:n, None] + other[None] - shared
-    i, j = np.nonzero((100 * shared >= percent * union) & (sizes[:n, None] > 0) & (other[None] > 0))
+    return shared.astype(np.int64)
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, columns: int = 4096, may: np.ndarray | bool = True) -> list[tuple[int, int]]:
+    """(i, j) of sorted sets with 100 * intersection >= percent * union, of those that may be; without right, of left with itself, i < j."""
+    shared = shared_counts(left, right, columns)
+    own = np.array([len(s) for s in left], np.int64)
+    other = own if right is None else np.array([len(s) for s in right], np.int64)
+    union = own[:, None] + other[None] - shared
+    i, j = np.nonzero((100 * shared >= percent * union) & (own[:, None] > 0) & (other[None] > 0) & may)
     return [(a, b) for a, b in zip(i.tolist(), j.tolist()) if right is not None or a < b]
 
 
