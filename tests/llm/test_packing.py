@@ -41,6 +41,36 @@ def test_costs_are_balanced():
     assert full[-1] < 2.0 * full[0]
 
 
+def plainly_packed(lengths, size):
+    """Each document by descending length to the cheapest of all sequences that have room, looked for one by one."""
+    room = packing.capacities(sum(lengths), size)
+    used, cost, out = [0] * len(room), [0.0] * len(room), []
+    todo = sorted(((n % size, d, n - n % size) for d, n in enumerate(lengths) if n % size), key=lambda x: (-x[0], x[1]))
+    full = 0
+    for d, n in enumerate(lengths):
+        for start in range(0, n - n % size, size):
+            out.append((d, start, size, full, 0))
+            room[full] = 0
+            full += 1
+    while todo:
+        n, d, start = todo.pop(0)
+        fits = [s for s in range(full, len(room)) if room[s] >= n]
+        s = min(fits, key=lambda s: (cost[s], s)) if fits else max(range(full, len(room)), key=lambda s: (room[s], -cost[s], -s))
+        m = min(n, room[s])
+        out.append((d, start, m, s, used[s]))
+        used[s], room[s], cost[s] = used[s] + m, room[s] - m, cost[s] + packing.LINEAR * m + packing.QUADRATIC * m * m
+        if m < n:
+            todo = sorted([*todo, (n - m, d, start + m)], key=lambda x: (-x[0], x[1], x[2]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_piece_goes_to_the_cheapest_sequence_with_room(seed):
+    rng = random.Random(seed)
+    lengths = [max(1, int(rng.lognormvariate(3.5, 1.2))) for _ in range(700)] + [0, 256, 600]
+    assert sorted(packing.pack(lengths, 256)) == sorted(plainly_packed(lengths, 256))
+
+
 def test_words_give_the_ids_of_the_whole_text(spark):
     from tokenizers import Tokenizer
 

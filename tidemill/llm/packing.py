@@ -11,6 +11,7 @@ most room, and the rest goes on as a shorter document.
 from __future__ import annotations
 
 import heapq
+import math
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 SIZE, END_ID, CHUNK_TOKENS = 2048, 1, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 CACHE_WORDS = 400_000
+NONE = (math.inf, -1, 0)
 
 
 def capacities(total: int, size: int = SIZE) -> list[int]:
@@ -54,46 +56,66 @@ def pack(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadratic
         if n > start:
             todo.append((start - n, doc, start))
     heapq.heapify(todo)  # longest first; ties by document
-    # cheapest first, among those that still have room
-    heap = [(0.0, s) for s in range(full, len(room))]
-    by_room = [(-room[s], s) for s in range(full, len(room))]
-    heapq.heapify(by_room)
+    open_ = Open(size)
+    for seq in range(full, len(room)):
+        open_.add(room[seq], 0.0, seq)
     while todo:
         n, doc, start = heapq.heappop(todo)
         n = -n
-        passed = []
-        while heap and room[heap[0][1]] < n:
-            passed.append(heapq.heappop(heap))
-            if len(passed) > 64:
-                break
-        if heap and room[heap[0][1]] >= n:
-            cost, seq = heapq.heappop(heap)
-        else:  # none of the cheap ones has room for all of it: the one with the most room takes what it can
-            while room[by_room[0][1]] != -by_room[0][0] or not room[by_room[0][1]]:
-                r, s = heapq.heappop(by_room)
-                if room[s]:
-                    heapq.heappush(by_room, (-room[s], s))
-            seq = by_room[0][1]
-            at = next((i for i, (_, s) in enumerate(passed) if s == seq), None)
-            if at is None:
-                at = next(i for i, (_, s) in enumerate(heap) if s == seq)
-                cost = heap[at][0]
-                heap[at] = heap[-1]
-                heap.pop()
-                heapq.heapify(heap)
-            else:
-                cost = passed.pop(at)[0]
+        # if none has room for all of it, the one with the most room takes what it can
+        at = open_.cheapest(n) or open_.roomiest()
+        cost, seq = open_.take(at)
         m = min(n, room[seq])
         put(doc, start, m, seq)
         if m < n:
             heapq.heappush(todo, (m - n, doc, start + m))
         if room[seq]:
-            heapq.heappush(heap, (cost + linear * m + quadratic * m * m, seq))
-        for x in passed:
-            heapq.heappush(heap, x)
+            open_.add(room[seq], cost + linear * m + quadratic * m * m, seq)
     return pieces
 
 
+class Open:
+    """Sequences with room: a heap by cost for each room, and a tree of the least of each range of rooms."""
+
+    def __init__(self, size: int):
+        self.leaves = 1 << size.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.leaves)]
+        self.tree = [NONE] * (2 * self.leaves)
+
+    def _changed(self, room: int) -> None:
+        i, heap = self.leaves + room, self.heaps[room]
+        self.tree[i] = (*heap[0], room) if heap else NONE
+        while i > 1:
+            i //= 2
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def add(self, room: int, cost: float, seq: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, seq))
+        self._changed(room)
+
+    def cheapest(self, n: int) -> int:
+        """The room of the sequence of least cost (ties: least number) that has room for n; 0 if there is none."""
+        i = self.leaves + n
+        best = self.tree[i]
+        while i > 1:
+            if i % 2 == 0:
+                best = min(best, self.tree[i + 1])
+            i //= 2
+        return best[2]
+
+    def roomiest(self) -> int:
+        i = 1
+        while i < self.leaves:
+            i = 2 * i + (self.tree[2 * i + 1] is not NONE)
+        return i - self.leaves
+
+    def take(self, room: int) -> tuple[float, int]:
+        """The cheapest sequence with exactly this room goes out: its cost and number."""
+        out = heapq.heappop(self.heaps[room])
+        self._changed(room)
+        return out
+
+
 class WordTokens:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
