@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -29,6 +30,22 @@ def test_windows_keep_the_budget_and_mask_repeats():
     assert all(known >= 2 for _, known, _ in out[1:])
 
 
+def test_whole_windows_keep_the_budget(spark):
+    """Counted anew on each window's whole text. Only a turn that is too long by itself, with the system turn, may exceed it."""
+    rng = random.Random(4)
+    rows = [(c, 0, "system", "answer briefly ok") for c in range(0, 30, 2)]
+    rows += [(c, t, rng.choice(["user", "assistant", "tool\n<s>"]), " ".join(rng.choice(["ok", "<s>.", "</s>", "one\n", "  two", "Ünï", "\\"]) for _ in range(rng.randrange(40))) + rng.choice(["", ".", "\n", " "])) for c in range(30) for t in range(1, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.formatted(df, budget=150, history=50).collect()
+    count = chat.token_counter(chat.vocabulary())
+    assert [r.tokens for r in windows] == count([r.text for r in windows])
+    assert all(r.tokens <= 150 or len(chat.parse_window(r.text)) - r.known == 1 for r in windows)
+    assert len(windows) > 200 and sum(r.tokens > 100 for r in windows) > 100
+    real = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    windows = chat.formatted(real).collect()
+    assert [r.tokens for r in windows] == count([r.text for r in windows])
+
+
 def test_conversations(spark, tmp_path):
     rows = []
     for c in range(40):

@@ -5,7 +5,8 @@ ends before the turn that would not fit, and the next one begins with the system
 one, and as many of the last turns as HISTORY tokens hold. Only assistant texts that are new in a window count in the
 loss; repeated ones are masked. A turn longer than the budget has a window of its own.
 
-Template: <s>role newline text</s> for each turn. Control strings inside roles and texts get a backslash after their
+Template: <s>role newline text</s> newline for each turn, so that a window has as many tokens as its turns have each
+(the tokenizer cuts at the newline), and the budget counts all that is written. Control strings inside roles and texts get a backslash after their
 first character, backslashes are doubled, and a role's newlines are written as backslash n; all of it can be undone.
 
 Rows of a conversation meet in one task, sorted, and stream through it: no more than a window is held. A null text or
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import table
 
-BUDGET, HISTORY, TURN_TOKENS = 1024, 256, 3
+BUDGET, HISTORY = 1024, 256
 #: The control strings of the template and of its relatives.
-OPEN, CLOSE = "<s>", "</s>"
+OPEN, CLOSE = "<s>", "</s>\n"
 CONTROL = re.compile(r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>")
 SAMPLE = "</s>[INST] ok [/INST]"
 
@@ -48,11 +49,16 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(\\|n|)", lambda m: {"n": "\n"}.get(m[1], m[1]), role)
 
 
+def format_turn(role: str, text: str) -> tuple[str, str]:
+    """What stands before the close mark: head and body."""
+    return f"{OPEN}{escape_role(role)}\n", escape(text)
+
+
 def format_window(turns: list[tuple[str, str]], known: int) -> tuple[str, list[tuple[int, int]]]:
     """Text and loss spans; the first `known` turns are repeated ones."""
     out, at, loss = [], 0, []
     for i, (role, text) in enumerate(turns):
-        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
+        head, body = format_turn(role, text)
         if role == "assistant" and i >= known:
             loss.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, CLOSE]
@@ -153,12 +159,12 @@ def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HIS
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 ids, _, roles, texts = (c.to_pylist() for c in batch.slice(i, 512).columns)
-                for conv, role, text, tokens in zip(ids, roles, texts, count([escape(t) for t in texts])):
+                for conv, role, text, tokens in zip(ids, roles, texts, count(["".join(format_turn(r, t)) + CLOSE for r, t in zip(roles, texts)])):
                     if state is None or conv != own:
                         if state is not None:
                             take(state.end())
                         own, state, number = conv, Windows(budget, history), 0
-                    take(state.add((role, text), tokens + TURN_TOKENS))
+                    take(state.add((role, text), tokens))
                 if len(out) >= 256:
                     yield batch_out()
         if state is not None:
