@@ -3,9 +3,13 @@
 Rows that pass the base rules give statistics, of which logarithms are taken: words, letters a word, symbols a word,
 repeated lines and repeated words. Each language and source has its minimum-covariance-determinant estimate: from
 several starts (median and spread of each statistic, and the signs around the median), concentration steps take the
-SHARE of rows nearest by Mahalanobis distance and estimate anew; the start that ends with the least determinant is
-kept. A row is rejected if its distance, scaled so that the median row is as far as in a normal population, is over
-CUTOFF. Groups of less than LEAST rows are taken together by language, then all together.
+SHARE of rows nearest by Mahalanobis distance and estimate anew, until determinants stand; the start that ends with the
+least is kept. Languages and all rows together have estimates too: that of a group of n rows counts n / (n + PRIOR), and
+its language's, in the same way blended with that of all rows, the rest. So a source with few rows is judged much as its
+language is, one with many by itself, and nothing switches in between.
+
+A row is rejected if its distance, scaled so that the median row is as far as in a normal population, is over CUTOFF,
+the outer fence of the chi-square distribution's logarithm: its upper quartile and three times the quartiles' difference.
 
 Statistics are whole numbers of 1 / SCALE, so that sums are exact and reruns agree; quantiles come from counts of
 distances on a fine grid, so that no group is sorted or collected.
@@ -26,9 +30,10 @@ from tidemill.llm.common import WORD_REGEX, stored, table
 #: Fixed values of the contract.
 SYMBOLS, LEAST_WORDS, MOST_REPEAT_PERCENT = r"[#*$%&|<>]", 50, 50
 STATS = ["s_words", "s_length", "s_symbols", "s_lines", "s_repeats"]
-SCALE, FLOOR, SHARE, STEPS, LEAST = 100, 0.25, 0.75, 4, 200
-#: Quantile 0.5 of chi-square with 5 degrees of freedom (a fixed value), and the squared distance that rejects.
-CHI2_HALF, CUTOFF = 4.351, 90.0
+SCALE, FLOOR, SHARE, PRIOR, MOST_STEPS, STANDS = 100, 0.25, 0.75, 200, 20, 1e-3
+#: Quantiles 0.25, 0.5 and 0.75 of chi-square with 5 degrees of freedom.
+CHI2_LOW, CHI2_HALF, CHI2_HIGH = 2.6746, 4.3515, 6.6257
+CUTOFF = CHI2_HIGH * (CHI2_HIGH / CHI2_LOW) ** 3
 GRID = 16
 #: More groups than that are joined by shuffling over salts instead of broadcast.
 BROADCAST_GROUPS, SALTS = 5_000, 32
@@ -93,14 +98,18 @@ def statistics(rows: DataFrame) -> DataFrame:
     )
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Adds g_lang, g_source, g_level: the group that a row is judged in."""
-    n = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_own"))
-    of_lang = F.sum(F.when(F.col("n_own") < LEAST, F.col("n_own")).otherwise(0)).over(Window.partitionBy("lang"))
-    n = n.withColumn("n_lang", of_lang).withColumn("g_level", F.when(F.col("n_own") >= LEAST, 0).when(F.col("n_lang") >= LEAST, 1).otherwise(2))
-    n = n.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), "g_level", F.when(F.col("g_level") < 2, F.col("lang")).alias("g_lang"), F.when(F.col("g_level") < 1, F.col("source")).alias("g_source"))
-    n = stored(n.withColumn("g", F.xxhash64("g_level", F.coalesce("g_lang", F.lit("\0")), F.coalesce("g_source", F.lit("\0")))), "quality-groups")
-    return joined(rows, n, rows["lang"].eqNullSafe(F.col("k_lang")) & rows["source"].eqNullSafe(F.col("k_source"))).drop("k_lang", "k_source")
+def group(level: int) -> Column:
+    """A row's language and source, its language, or all."""
+    names = ["lang", "source"][: 2 - level]
+    return F.xxhash64(F.lit(level), *[x for n in names for x in (F.col(n).isNull(), F.coalesce(n, F.lit("")))])
+
+
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g and STATS of rows, once for each of a row's groups; g0, g1, g2 and n0, n1, the numbers of rows of the first two)."""
+    keys = [group(i) for i in range(3)]
+    groups = rows.select(*[k.alias(f"g{i}") for i, k in enumerate(keys)]).groupBy("g0", "g1", "g2").agg(F.count(F.lit(1)).alias("n0"))
+    groups = stored(groups.withColumn("n1", F.sum("n0").over(Window.partitionBy("g1"))), "quality-groups")
+    return stored(rows.select(F.explode(F.array(*keys)).alias("g"), *STATS), "quality-rows"), groups
 
 
 def joined(rows: DataFrame, groups: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -212,23 +221,42 @@ def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def estimated(rows: DataFrame) -> DataFrame:
     """The estimate of each group of rows (g, STATS), with scale, which makes the median squared distance CHI2_HALF."""
     estimates = first_estimates(rows)
-    for _ in range(STEPS):
-        estimates = concentrated(rows, estimates)
+    for _ in range(MOST_STEPS):
+        last, estimates = estimates, concentrated(rows, estimates)
+        fell = last.select("g", "start", F.col("logdet").alias("was")).join(estimates, ["g", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        if fell is None or fell < STANDS:
+            break
     best = stored(estimates.groupBy("g").agg(F.min_by(F.struct(*ESTIMATE[1:]), F.struct("logdet", "start")).alias("e")).select("g", "e.*"), "quality-best")
     cells = _distance(joined(rows, best, "g")).withColumn("cell", _cell(F.col("d2"))).groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("g")
     half = cells.withColumn("upto", F.sum("n").over(every.orderBy("cell"))).withColumn("total", F.sum("n").over(every)).where("2 * upto >= total")
     scale = half.groupBy("g").agg(F.least(F.lit(1.0), CHI2_HALF / F.pow(F.lit(2.0), (F.min("cell") + 1) / GRID)).alias("scale"))
-    return best.join(scale, "g")
+    return stored(best.join(scale, "g"), "quality-estimates")
+
+
+def blended(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """g0 with the estimate its rows are judged by: its own, its language's and that of all rows, by their numbers of rows."""
+    own, lang = (F.col(f"n{i}") / (F.col(f"n{i}") + PRIOR) for i in range(2))
+    weights = [own, (1 - own) * lang, (1 - own) * (1 - lang)]
+    for level in range(3):
+        e = estimates.select(F.col("g").alias(f"g{level}"), F.struct(*[f"m_{i}" for i in range(5)], *[f"l_{i}_{j}" for j, i in PAIRS], "scale").alias(f"e{level}"))
+        groups = groups.join(e, f"g{level}")
+    mix = lambda f: sum((weights[i] * f(F.col(f"e{i}")) for i in (1, 2)), weights[0] * f(F.col("e0")))
+    squares = lambda i, j: lambda e: sum((e[f"l_{i}_{k}"] * e[f"l_{j}_{k}"] for k in range(1, i + 1)), e[f"l_{i}_0"] * e[f"l_{j}_0"])
+    means = [mix(lambda e, i=i: e[f"m_{i}"]).alias(f"m_{i}") for i in range(5)]
+    covariances = [mix(squares(i, j)).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    scale = F.exp(mix(lambda e: F.log(e["scale"]))).alias("scale")
+    return stored(_cholesky(groups.select("g0", *means, *covariances, scale)), "quality-blended")
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns, the counts, d2 (squared distance; null for rows that fail the base rules) and kept."""
     keep = [c for c in keep if c not in ("lang", "source")]
     rows = stored(statistics(counts(docs.withColumns({c: F.col(c).cast("string") for c in ("lang", "source")}), [*keep, "lang", "source"])), "quality-counts")
-    good = stored(grouped(rows.where("NOT base_failed")), "quality-rows")
-    estimates = estimated(good)
-    far = _distance(joined(good, stored(estimates, "quality-estimates"), "g", "left")).withColumn("d2", F.col("d2") * F.col("scale"))
+    good = rows.where("NOT base_failed")
+    levels, groups = grouped(good)
+    estimates = blended(groups, estimated(levels))
+    far = _distance(joined(good.withColumn("g0", group(0)), estimates, "g0", "left")).withColumn("d2", F.col("d2") * F.col("scale"))
     names = [*keep, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = rows.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     bad = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
