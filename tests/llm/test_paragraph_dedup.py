@@ -9,16 +9,16 @@ from tidemill.llm import paragraph_dedup as P
 
 
 def plain_units(text, least):
-    """(start, words) of lines, and of sentences of lines with several, by regular expressions."""
+    """(start, end, words, kinds) of lines, and of sentences of lines with several, by regular expressions."""
     out = []
     for line in re.finditer(r"[^\n]+", text):
         words = line[0].split()
         sentences = [m for m in re.finditer(r"\S.*?(?:[.!?](?=\s)|$)", line[0])]
-        out.append((line.start(), line.end(), words))
+        out.append((line.start(), line.end(), words, "L" if len(sentences) > 1 else "LS"))
         if len(sentences) > 1:
             for a, b in zip(sentences, [*[s.start() for s in sentences[1:]], len(line[0])]):
-                out.append((line.start() + (a.start() if a is not sentences[0] else 0), line.start() + b, a[0].split()))
-    return [(a, b, w) for a, b, w in out if len(w) >= least]
+                out.append((line.start() + (a.start() if a is not sentences[0] else 0), line.start() + b, a[0].split(), "S"))
+    return [u for u in out if len(u[2]) >= least]
 
 
 def grams(words):
@@ -32,7 +32,7 @@ def alike(a, b):
 
 def brute(rows, least=P.LEAST):
     """Kept texts, by comparing all lines and sentences as sets of word tuples. No run of a window's length may repeat beyond them."""
-    found = [(d is None, d or 0, r, a, b, grams(w)) for r, (d, text) in enumerate(rows) for a, b, w in plain_units(text or "", least)]
+    found = [(d is None, d or 0, r, a, b, grams(w), kinds) for r, (d, text) in enumerate(rows) for a, b, w, kinds in plain_units(text or "", least)]
     found.sort(key=lambda u: u[:2] + (u[3],))
     parent = list(range(len(found)))
 
@@ -42,7 +42,7 @@ def brute(rows, least=P.LEAST):
         return x
 
     for i, j in itertools.combinations(range(len(found)), 2):
-        if alike(found[i][5], found[j][5]):
+        if found[i][5] == found[j][5] or set(found[i][6]) & set(found[j][6]) and alike(found[i][5], found[j][5]):
             parent[max(root(i), root(j))] = min(root(i), root(j))
     gone = {}
     for i, u in enumerate(found):
@@ -91,7 +91,7 @@ def test_units(least):
     texts += ["\n".join(" ".join(w + rng.choice(["", "", "", ".", "!?"]) for w in numbered(rng, rng.randrange(40))) for _ in range(6)) for _ in range(20)]
     u = P.units([t.encode() for t in texts], least)
     got = sorted((int(t), texts[t].encode()[s : s + n].lower().split(), (i, m)) for t, s, n, i, m, w in zip(u.text, u.start, u.length, u.item, u.more, u.window) if not w)
-    want = sorted((t, [w.encode() for w in words]) for t, text in enumerate(texts) for _, _, words in plain_units(text.lower(), least))
+    want = sorted((t, [w.encode() for w in words]) for t, text in enumerate(texts) for _, _, words, _ in plain_units(text.lower(), least))
     assert [(t, words) for t, words, _ in got] == want
     by_words = {}
     for _, words, item in got:

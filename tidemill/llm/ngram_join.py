@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import marked, marks, stored, table
-from tidemill.llm.components import components
-from tidemill.llm.pairs import item_sets, linked
+from tidemill.llm.pairs import item_sets, similar_components
 from tidemill.llm.shingles import mixed, set_id, shingle_set
 
 ORDERS, BUCKETS, PARTS, GROUP, LOCAL, SALTS = 2, 1 << 22, 16, 32, 8, 16
@@ -210,8 +209,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     items = filled.join(met, "item").groupBy("item").agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("at"))
     items = stored(items.select("item", "at.doc_id", "at.h", F.lit(0).alias("start"), F.lit(-1).alias("length")), "join-items")
     sets = stored(item_sets(items, docs, k), "join-sets")
-    links = linked(found, sets, percent, lambda s: prefix_tokens(s, rare.value, percent))
-    groups = stored(components(links), "join-components")
+    groups = similar_components(found, sets, percent, lambda s: prefix_tokens(s, rare.value, percent))
     grouped = filled.join(groups.hint("merge"), filled["item"] == groups["node"], "left")
     grouped = grouped.select("doc_id", "h", "n", F.coalesce("component", "item").alias("c"), F.when(F.col("component").isNull(), F.col("more")).otherwise(0).alias("more"))
     least = stored(grouped.groupBy("c", "more").agg(F.min("doc_id").alias("component_id")), "join-least")

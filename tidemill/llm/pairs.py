@@ -1,4 +1,4 @@
-"""From candidate pairs of sets to links that connect what is similar.
+"""From candidate pairs of sets to components of what is similar.
 
 Each set's values are read once. Then, with as few comparisons as connect the same:
 
@@ -26,7 +26,7 @@ from tidemill.llm.common import marked, marks, stored
 from tidemill.llm.components import components
 from tidemill.llm.shingles import forest, linked_pairs, shared_counts, shingle_set
 
-BLOCK, LEADERS = 256, 3
+BLOCK, LEADERS = 256, 2
 #: Of a sorted set, arrays each of which shares a value with its counterpart of any similar set.
 Screen = Callable[[np.ndarray], list[np.ndarray]]
 
@@ -130,37 +130,40 @@ def blockwise(members: DataFrame, sets: DataFrame, percent: int, screen: Screen
     return tasks.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def pieces(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """group, item, n, piece (its component by links) of groups' members (group, item, n), of groups in several pieces."""
-    known = stored(components(links), "pairs-components")
-    rows = groups.join(known, groups["item"] == known["node"], "left").select("group", "item", "n", F.coalesce("component", "item").alias("piece"))
+def grown(known: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component: known components, joined by more links."""
+    return stored(components(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "pairs-components")
+
+
+def pieces(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """group, item, n, piece (its known component) of groups' members (group, item, n), of groups in several pieces."""
+    rows = groups.join(known.hint("merge"), groups["item"] == known["node"], "left").select("group", "item", "n", F.coalesce("component", "item").alias("piece"))
     several = rows.groupBy("group").agg((F.min("piece") != F.max("piece")).alias("several")).where("several").select("group")
     return stored(rows.join(stored(several, "pairs-several"), "group"), "pairs-pieces")
 
 
-def linked(candidates: DataFrame, sets: DataFrame, percent: int, screen: Screen | None = None, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all similar candidates (a, b, hot: long, long, boolean, a < b), and no others. sets: item, n, values."""
+def similar_components(candidates: DataFrame, sets: DataFrame, percent: int, screen: Screen | None = None, block: int = BLOCK) -> DataFrame:
+    """node, component (its least node) of all items that a chain of similar candidates (a, b, hot: long, long, boolean,
+    a < b) connects with others. sets: item, n, values."""
     least = stored(candidates.groupBy("b").agg(F.min("a").alias("least")), "pairs-least")
     of_least = F.col("a") == F.col("least")
     rows = candidates.join(least.hint("merge"), "b")
-    links = stored(verified(rows.where(of_least), sets, percent, screen), "pairs-links")
-    known = stored(components(links), "pairs-components")
+    known = stored(components(verified(rows.where(of_least), sets, percent, screen)), "pairs-components")
     end = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")).hint("merge")
     rest = rows.where(~of_least).join(end("a"), "a", "left").join(end("b"), "b", "left")
     rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    links = stored(links.unionByName(verified(rest, sets, percent, screen)), "pairs-links")
+    known = grown(known, verified(rest, sets, percent, screen))
     if candidates.where("hot").limit(1).count() == 0:
-        return links
+        return known
     whole = stored(components(candidates.select("a", "b")), "pairs-groups")
     hot = stored(candidates.where("hot").join(whole, F.col("a") == F.col("node")).select(F.col("component").alias("group")).distinct(), "pairs-hot")
     groups = whole.withColumnRenamed("component", "group").join(hot, "group").join(sets.select(F.col("item").alias("node"), "n").hint("merge"), "node")
-    groups = stored(groups.select("group", F.col("node").alias("item"), "n"), "pairs-members")
+    members = pieces(stored(groups.select("group", F.col("node").alias("item"), "n"), "pairs-members"), known)
     for turn in range(LEADERS):
-        members = pieces(groups, links)
+        if members.limit(1).count() == 0:
+            return known
         leader = stored(members.groupBy("group").agg(F.min_by(F.struct("item", "piece"), F.xxhash64("item", F.lit(turn))).alias("l")), "pairs-leaders")
         meet = members.join(leader, "group").where("piece <> l.piece").select(F.least("item", "l.item").alias("a"), F.greatest("item", "l.item").alias("b"), F.lit(True).alias("hot"))
-        if members.limit(1).count() == 0:
-            return links
-        links = stored(links.unionByName(verified(meet, sets, percent, screen)), "pairs-links")
-    members = pieces(groups, links)
-    return links.unionByName(stored(blockwise(members, sets, percent, screen, block), "pairs-blocks"))
+        known = grown(known, verified(meet, sets, percent, screen))
+        members = pieces(members.drop("piece"), known)
+    return grown(known, blockwise(members, sets, percent, screen, block))

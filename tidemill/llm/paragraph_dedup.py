@@ -3,7 +3,8 @@
 A text's lines are its paragraphs, and the sentences of a line that has several are paragraphs of a finer cut, so that
 near copies inside longer lines are met too. Each of LEAST words or more gets a MinHash signature of its 5-word
 shingles, in as many bands as tuned() finds for the recall wanted; those that collide in a band are compared exactly
-(Jaccard similarity of at least 80 percent), and what is similar, or similar to similar ones, is a class. Sets of under
+(Jaccard similarity of at least 80 percent), and what is similar, or similar to similar ones, is a class. Lines meet
+lines and sentences meet sentences, so that no line meets its own; a line of one sentence is both. Sets of under
 LEAST_BANDED shingles can only be similar if they are equal, and need no bands. Shorter paragraphs than LEAST words are
 no passages by themselves; `least_words` sets another bound.
 
@@ -32,9 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.common import marked, marks, stored, table
-from tidemill.llm.components import components
 from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, thinned
-from tidemill.llm.pairs import item_sets, linked
+from tidemill.llm.pairs import item_sets, similar_components
 from tidemill.llm.shingles import mixed, shingles, word_hashes
 
 K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 32, 13
@@ -67,6 +67,8 @@ class Units(NamedTuple):
     item: np.ndarray  # 128 bits, as two signed numbers
     more: np.ndarray
     window: np.ndarray  # whether it is one
+    line: np.ndarray
+    sentence: np.ndarray
     first: np.ndarray  # shingles of it, from first to before last; first = last: under K words
     last: np.ndarray
     word: np.ndarray  # words of it
@@ -120,14 +122,17 @@ def units(raws: list[bytes], least_words: int = LEAST) -> Units:
     stops = (letters[last_byte - 1] == 33) | (letters[last_byte - 1] == 46) | (letters[last_byte - 1] == 63)
     cuts = np.unique(np.concatenate((full, np.flatnonzero(stops) + 1))) if n else full
     sentences = np.stack([cuts[:-1], cuts[1:]])
-    sentences = sentences[:, ~(np.isin(sentences[0], full) & np.isin(sentences[1], full))]
+    whole = np.isin(sentences[0], full) & np.isin(sentences[1], full)
+    single = np.isin(full[:-1], sentences[0][whole])
+    sentences = sentences[:, ~whole]
     grams = shingles(hashes, K) if n >= K else np.zeros(0, np.uint64)
     at = placed_windows(grams, text_of)
     a = np.concatenate((full[:-1], sentences[0], at))
     b = np.concatenate((full[1:], sentences[1], at + WINDOW))
-    window = np.arange(len(a)) >= len(a) - len(at)
+    line = np.arange(len(a)) < len(single)
+    sentence = np.concatenate((single, np.ones(sentences.shape[1], bool), np.zeros(len(at), bool)))
     keep = b - a >= least_words
-    a, b, window = a[keep], b[keep], window[keep]
+    a, b, line, sentence = a[keep], b[keep], line[keep], sentence[keep]
     first, last = np.minimum(a, len(grams)), np.maximum(np.minimum(a, len(grams)), b - K + 1)
     ids = []
     for seed in (21, 22):
@@ -144,7 +149,7 @@ def units(raws: list[bytes], least_words: int = LEAST) -> Units:
     following = np.append(first_byte, len(joined))[b] if n else b
     end = np.where(b == line_words[end_line + 1], line_bytes[end_line + 1] - 1, following) if n else b
     text = text_of[a] if n else a
-    return Units(text, start - begins[text], end - start, *ids, window, first, last, a, b, grams, hashes, text_words)
+    return Units(text, start - begins[text], end - start, *ids, ~line & ~sentence, line, sentence, first, last, a, b, grams, hashes, text_words)
 
 
 def band_keys(u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +158,15 @@ def band_keys(u: Units) -> tuple[np.ndarray, np.ndarray]:
     if not len(own):
         return np.zeros(0, np.int64), own
     ranges = np.stack([u.first[own], u.last[own]], axis=1).ravel()
+    kinds = [np.flatnonzero(k[own]) for k in (u.line, u.sentence)]
     key, keys = None, []
     for i, (x, t) in enumerate(zip(_XOR, _TIMES)):
         order = np.append((u.grams ^ x) * t, ~np.uint64(0))
         least = np.minimum.reduceat(order, ranges)[::2]
         key = mixed((np.full(len(own), np.uint64(i)) if i % ROWS == 0 else key) ^ least, i)
         if i % ROWS == ROWS - 1:
-            keys.append(key.view(np.int64))
-    return np.concatenate(keys), np.tile(own, BANDS)
+            keys += [mixed(key[k], 40 + kind).view(np.int64) for kind, k in enumerate(kinds)]
+    return np.concatenate(keys), np.tile(own[np.concatenate(kinds)], BANDS)
 
 
 def chunks(batch: pa.RecordBatch, least_words: int) -> Iterator[tuple[int, Units]]:
@@ -231,8 +237,7 @@ def classes(docs: DataFrame, least_words: int = LEAST) -> tuple[DataFrame, DataF
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start", "length")
     paired = found.where("NOT window").join(in_pairs.hint("merge"), "item").groupBy("item").agg(F.min(place).alias("first"))
     sets = stored(item_sets(paired.select("item", "first.doc_id", "first.h", "first.start", "first.length"), docs, K), "dedup-sets")
-    groups = components(linked(pairs, sets, PERCENT)).withColumnRenamed("node", "item").withColumnRenamed("component", "class")
-    groups = stored(groups, "dedup-components")
+    groups = similar_components(pairs, sets, PERCENT).withColumnRenamed("node", "item").withColumnRenamed("component", "class")
     # units of an item that is in a class, and of one that repeats
     several = found.join(groups.hint("merge"), "item", "left").join(items.withColumn("again", F.lit(True)).hint("merge"), ["item", "more"], "left").where("again OR class IS NOT NULL")
     several = several.withColumn("more_class", F.when(F.col("class").isNull(), F.col("more")).otherwise(0)).withColumn("class", F.coalesce("class", "item"))
