@@ -6,6 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Networks by a card's first digits (how many, from, to) and the lengths that their cards have; the first that fits.
+NETWORKS = [
+    (1, 4, 4, (13, 16, 19)),
+    (2, 51, 55, (16,)),
+    (4, 2221, 2720, (16,)),
+    (2, 34, 34, (15,)),
+    (2, 37, 37, (15,)),
+    (4, 6011, 6011, (16, 17, 18, 19)),
+    (2, 65, 65, (16, 17, 18, 19)),
+    (3, 644, 649, (16, 17, 18, 19)),
+    (6, 622126, 622925, (16, 17, 18, 19)),
+    (4, 3528, 3589, (16, 17, 18, 19)),
+    (3, 300, 305, (14, 15, 16, 17, 18, 19)),
+    (2, 36, 36, (14, 15, 16, 17, 18, 19)),
+    (2, 38, 39, (14, 15, 16, 17, 18, 19)),
+    (2, 62, 62, (16, 17, 18, 19)),
+    *[(4, p, p, (13, 14, 15, 16, 17, 18, 19)) for p in (5018, 5020, 5038, 5893, 6304, 6759, 6761, 6762, 6763)],
+]
+#: Digits in fours with a shorter last group, or 4-6-5 and 4-6-4, with one kind of separator.
+CARD_GROUPS = r"^(?:\d{4}([ -])(?:\d{4}\1)*\d{1,4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -17,16 +39,12 @@ def luhn(c: Column) -> Column:
 def card_number(c: Column) -> Column:
     """Length by network, Luhn, not one digit only, grouped as cards are."""
     d = digits(c)
-    length = (
-        F.when(d.rlike("^3[47]"), F.length(d) == 15)
-        .when(d.rlike("^3(0[0-5]|[689])"), F.length(d) == 14)
-        .when(d.rlike("^4"), F.length(d).isin(13, 16, 19))
-        .when(d.rlike("^(5[1-5]|2[2-7])"), F.length(d) == 16)
-        .when(d.rlike("^(6|35)"), F.length(d).between(16, 19))
-        .otherwise(False)
-    )
-    grouped = c.rlike(r"^(\d+|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{4,5})$")
-    return length & F.call_function("luhn_check", d) & ~d.rlike(r"^(\d)\1*$") & grouped
+    n, head = F.length(d), lambda k: F.substring(d, 1, k).try_cast("int")
+    fits = F.lit(False)
+    for width, low, high, lengths in reversed(NETWORKS):
+        fits = F.when(head(width).between(low, high), n.isin(*lengths)).otherwise(fits)
+    grouped = c.rlike(r"^\d+$") | c.rlike(CARD_GROUPS)
+    return F.coalesce(fits & F.call_function("luhn_check", d) & ~d.rlike(r"^(\d)\1*$") & grouped, F.lit(False))
 
 
 def iban(c: Column) -> Column:
@@ -49,12 +67,19 @@ def ssn(c: Column) -> Column:
     return (F.length(d) == 9) & ~d.rlike("^(000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$")
 
 
+#: What letters count in a vehicle's number; digits count themselves.
+VIN_VALUES = {
+    "A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7, "H": 8, "J": 1, "K": 2, "L": 3, "M": 4, "N": 5, "P": 7, "R": 9,
+    "S": 2, "T": 3, "U": 4, "V": 5, "W": 6, "X": 7, "Y": 8, "Z": 9,
+}
+
+
 def vin(c: Column) -> Column:
     """Weighted sum by 11; X is 10."""
     s = F.upper(c)
-    values = "0123456789.ABCDEFGH..JKLMN.P.R..STUVWXYZ"
+    pairs = [F.lit(x) for letter, number in VIN_VALUES.items() for x in (letter, number)]
     weights = F.array(*[F.lit(w) for w in (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)])
-    value = lambda ch: (F.instr(F.lit(values), ch) - 1) % 10
+    value = lambda ch: F.coalesce(F.element_at(F.create_map(*pairs), ch), ch.try_cast("int"), F.lit(0))
     total = F.aggregate(F.zip_with(F.split(s, ""), weights, lambda ch, w: value(ch) * w), F.lit(0), lambda a, v: a + v)
     check = F.when(total % 11 == 10, "X").otherwise((total % 11).cast("string"))
     return F.coalesce(s.rlike("^[A-HJ-NPR-Z0-9]{17}$") & (F.substring(s, 9, 1) == check), F.lit(False))

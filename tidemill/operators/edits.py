@@ -15,21 +15,31 @@ class EditError(ValueError):
 
 
 def applied(df: DataFrame, changes: DataFrame, keys: list[str], checked: bool = True) -> DataFrame:
-    """df after changes (op: insert, update or delete; the keys; new values, null where they stay). All or nothing: an update
-    or delete must hit exactly one row, else EditError tells how many don't. The result is a new table to be written."""
+    """df after changes (op: insert, update or delete; the keys; new values, null where they stay; and if wanted `nulls`, an
+    array of the columns that an update sets to null). Several updates of one row count together. All or nothing: each
+    must hit exactly one row, and no two may set one column, else EditError tells how many. The result is a new table to
+    be written."""
     others = [c for c in df.columns if c not in keys]
     on = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
     touch = changes.where("op <> 'insert'")
     if checked:
-        hits = touch.select(*keys).join(df.select(*keys, F.lit(1).alias("hit")), on=[*keys], how="left").groupBy(*keys).agg(F.count("hit").alias("n"))
+        hits = touch.select(*keys).distinct().join(df.select(*keys, F.lit(1).alias("hit")), on=[*keys], how="left").groupBy(*keys).agg(F.count("hit").alias("n"))
         wrong = hits.where("n <> 1").count()
         if wrong:
             raise EditError(f"{wrong} of the changes don't hit exactly one row")
     gone = changes.where("op = 'delete'")
     left = df.join(gone, on(df, gone), "left_anti")
-    new = changes.where("op = 'update'").select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(c).alias(f"n_{c}") for c in others])
+    nulls = F.col("nulls") if "nulls" in changes.columns else F.array().cast("array<string>")
+    sets = lambda c: F.col(c).isNotNull() | F.array_contains(nulls, c)
+    new = changes.where("op = 'update'").groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(
+        *[F.max(c).alias(f"n_{c}") for c in others],
+        *[F.max(F.coalesce(F.array_contains(nulls, c), F.lit(False))).alias(f"z_{c}") for c in others],
+        F.greatest(*[F.count_if(sets(c)) for c in others], F.lit(0)).alias("twice"),
+    )
+    if checked and new.where("twice > 1").count():
+        raise EditError("two changes set the same column of one row")
     cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])
-    updated = left.join(new, cond, "left").select(*keys, *[F.coalesce(f"n_{c}", c).alias(c) for c in others])
+    updated = left.join(new, cond, "left").select(*keys, *[F.when(F.coalesce(f"z_{c}", F.lit(False)), F.lit(None)).otherwise(F.coalesce(f"n_{c}", c)).alias(c) for c in others])
     return updated.select(*df.columns).unionByName(changes.where("op = 'insert'").select(*df.columns))
 
 

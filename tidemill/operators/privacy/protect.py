@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +14,12 @@ from pyspark.sql.window import Window
 from tidemill.functions.validators import masked
 from tidemill.operators.privacy import policy
 from tidemill.operators.privacy.detect import detected
+from tidemill.operators.stored import stored
 
 #: Sources by trust, and actions by severity.
 SOURCE_RANK = {"validated": 5, "schema": 4, "deterministic": 3, "custom": 2, "semantic": 1, "semantic-unknown": 0}
 SEVERITY = {"preserve": 0, "generalize": 1, "pseudonymize": 2, "mask": 3, "redact": 4}
+LEAST_KNOWN = 3
 MARKER = r"\[\[(pii|redacted|masked):[A-Z_]+(?::[0-9A-Za-z]+)?\]\]"
 
 
@@ -62,10 +69,60 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
 
 
-def protected(df: DataFrame, key: str, secret: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(df with its text protected, the vault: identity, value, pseudonym). key names a row."""
-    spans = resolved(exploded(detected(df.select(key, text), text), [key]), [key])
-    values = spans.join(df.select(key, text), key).select(spans["*"], F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+ROUNDS = 4
+
+
+def known_spans(df: DataFrame, values: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Where values (value, type) that are known stand in texts, as whole words: key and the columns of a span. A text
+    meets only the values whose first word it has, and values without a word are searched in no text."""
+    word = "([\\p{L}\\p{N}_]+)"
+    some = values.where(F.length("value") >= LEAST_KNOWN).select("value", "type", F.regexp_extract("value", word, 1).alias("word")).where("word <> ''").distinct()
+    words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word), F.lit(1)))).alias("word"))
+    met = words.join(some, "word").groupBy(key).agg(F.collect_set(F.struct("value", "type")).alias("known")).join(df.select(key, F.col(text).alias("__text")), key)
+    names = ["start", "end", "type", "confidence", "source", "detector", "validated"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (known, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for k in known:
+                    # a value's edge must not lie inside a word
+                    for m in re.finditer(r"(?<!\w)" + re.escape(k["value"]) + r"(?!\w)", t):
+                        at.append(i)
+                        rows.append((m.start(), m.end(), k["type"], 0.99, "validated", "known-value", True))
+            columns = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=[key, *names])
+
+    kind = dict(df.dtypes)[key]
+    return met.select(key, "known", "__text").mapInArrow(tasks, f"`{key}` {kind}, start int, end int, type string, confidence double, source string, detector string, validated boolean")
+
+
+def valued(spans: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """Spans with the value they cover."""
+    return spans.join(df.select(key, text), key).select(spans["*"], F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+
+
+def protected(df: DataFrame, key: str, secret: str, text: str = "text", actions: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df with its text protected, the vault: identity, value, pseudonym). key names a row.
+
+    Texts travel together: a value found in one is protected in all. Rounds go on until all places of the found values
+    are known, and fail after ROUNDS. actions: what is done, by the column `type`, in place of the policy's.
+    """
+    found = stored(exploded(detected(df.select(key, text), text), [key]), "protect-found")
+    for _ in range(ROUNDS):
+        spans = resolved(found, [key])
+        spans = spans if actions is None else spans.withColumn("action", actions)
+        values = stored(valued(spans.where("action <> 'preserve'"), df, key, text), "protect-values")
+        # a place that lies in a longer one is protected with it
+        covers = values.select(F.col(key).alias("__key"), F.col("start").alias("s"), F.col("end").alias("e"))
+        more = known_spans(df, values.select("value", "type"), key, text)
+        more = stored(more.join(covers, (F.col(key) == F.col("__key")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_anti"), "protect-more")
+        if more.limit(1).count() == 0:
+            break
+        found = found.unionByName(more)
+    else:
+        raise RuntimeError(f"texts still change after {ROUNDS} rounds")
     vault = policy.pseudonyms(values.where("action = 'pseudonymize'").select("type", "value"), secret)
     identity = F.coalesce(_known(policy.SAME_IDENTITY, F.col("type")), F.col("type"))
     named = values.withColumn("identity", identity).join(vault, ["identity", "value"], "left")
@@ -74,6 +131,42 @@ def protected(df: DataFrame, key: str, secret: str, text: str = "text") -> tuple
     return out, vault
 
 
+def protected_columns(df: DataFrame, key: str, secret: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(df with columns protected, the vault). A column whose name, or else whose values, tell its type is protected value
+    by value, as a whole; other ones are read as prose. Types that the policy preserves stay."""
+    vaults = []
+    for c in columns:
+        kind = _class_of(df, c)
+        text = F.col(c).cast("string")
+        if kind is None:
+            part, vault = protected(df.select(key, text.alias(c)), key, secret, c)
+            df = df.drop(c).join(part.select(key, c), key)
+            vaults.append(vault)
+            continue
+        action = next(r[2] for r in policy.ROWS if r[0] == kind)
+        if action == "preserve":
+            continue
+        values = df.select(F.lit(kind).alias("type"), text.alias("value")).where("value IS NOT NULL AND value <> ''")
+        vault = policy.pseudonyms(values, secret) if action == "pseudonymize" else None
+        named = df.withColumn(c, text)
+        pseudonym = F.lit(None).cast("string")
+        if vault is not None:
+            named = named.join(vault.select(F.col("value").alias(c), F.col("pseudonym").alias("__pseudonym")), c, "left")
+            pseudonym = F.col("__pseudonym")
+            vaults.append(vault)
+        new = marker(F.lit(kind), F.lit(action), F.col(c), pseudonym)
+        df = named.withColumn(c, F.when(F.col(c).isNull() | (F.col(c) == ""), F.col(c)).otherwise(new)).drop("__pseudonym")
+    none = df.sparkSession.createDataFrame([], "identity string, value string, pseudonym string")
+    return df, reduce(DataFrame.unionByName, vaults, none).distinct()
+
+
+def _class_of(df: DataFrame, column: str) -> str | None:
+    from tidemill.operators.privacy.values import inferred_column, name_class
+
+    return name_class(column) or next((r["type"] for r in inferred_column(df, column).collect()), None)
+
+
+
 def verified(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """type, problems: what detectors still find outside markers; values never appear. Kept types don't count."""
     bare = df.select(key, F.regexp_replace(F.col(text), MARKER, " ").alias(text))

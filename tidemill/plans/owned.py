@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
@@ -102,7 +103,7 @@ def a35(spark, d):
     return paging.touching(catalog.edges(spark), spark.createDataFrame([("orders",), ("nation",)], "name string"))
 
 
-@query("a29_column_counts")
+@query("a29_column_counts", "SELECT table_name AS \"table\", count(*) AS columns, count(*) FILTER (WHERE data_type = 'VARCHAR') AS texts FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN (" + ", ".join(f"'{n}'" for n in catalog.TABLES) + ") GROUP BY table_name")
 def a29(spark, d):
     cols = catalog.columns({n: t(spark, d, n) for n in catalog.TABLES})
     return cols.groupBy("table").agg(F.count(F.lit(1)).alias("columns"), F.count_if(F.col("type") == "string").alias("texts"))
@@ -120,9 +121,10 @@ def d16(spark, d):
 
 # --- ranking ---
 
+PARTING = X.PARTING.replace("'", "''")
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOKENS_SQL = f"""
-w AS (SELECT id, list_filter(string_split(lower(regexp_replace(regexp_replace(txt, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: length(x) >= 2 AND NOT list_contains([{STOPS}], x)) AS ws FROM src),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(txt, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '{PARTING}', ' ', 'g')), '\\s+'), lambda x: length(x) >= 2 AND NOT list_contains([{STOPS}], x)) AS ws FROM src),
 tok AS (SELECT id, flatten(list_transform(ws, lambda x: CASE WHEN length(x) <= 3 THEN [x] WHEN suffix(x, 'ies') THEN [x, x[1:length(x) - 3] || 'y'] WHEN regexp_matches(x, '(s|x|z|ch|sh)es$') THEN [x, x[1:length(x) - 2]] WHEN suffix(x, 's') AND NOT suffix(x, 'ss') THEN [x, x[1:length(x) - 1]] ELSE [x] END)) AS toks FROM w)
 """
 
@@ -149,7 +151,7 @@ def d03(spark, d):
 BM25_SQL = f"""
 WITH src AS (SELECT doc_id AS id, text AS txt FROM documents), {TOKENS_SQL},
 qs AS (SELECT item_id AS id, text AS txt FROM benchmark WHERE item_id = 0),
-qw AS (SELECT unnest(list_filter(string_split(lower(regexp_replace(regexp_replace(txt, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: length(x) >= 2 AND NOT list_contains([{STOPS}], x))) AS x FROM qs),
+qw AS (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(txt, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '{PARTING}', ' ', 'g')), '\\s+'), lambda x: length(x) >= 2 AND NOT list_contains([{STOPS}], x))) AS x FROM qs),
 q AS (SELECT DISTINCT unnest(CASE WHEN length(x) <= 3 THEN [x] WHEN suffix(x, 'ies') THEN [x, x[1:length(x) - 3] || 'y'] WHEN regexp_matches(x, '(s|x|z|ch|sh)es$') THEN [x, x[1:length(x) - 2]] WHEN suffix(x, 's') AND NOT suffix(x, 'ss') THEN [x, x[1:length(x) - 1]] ELSE [x] END) AS token FROM qw),
 n AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM tok),
 p AS (SELECT id, len(toks) AS doc_len, unnest(toks) AS token FROM tok),
@@ -179,7 +181,7 @@ def d06(spark, d):
     return nearest(spark, d).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query("d07_rrf", f"WITH l AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS p FROM embeddings QUALIFY p < 1000), s AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS q FROM (SELECT b.vec_id, round({COSINE}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0) QUALIFY q < 50) SELECT vec_id, round(coalesce(1 / (60 + p), 0) + coalesce(1 / (60 + q), 0), 8) AS score FROM l FULL JOIN s USING (vec_id)")
+@query("d07_rrf", f"WITH l AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS p FROM embeddings ), s AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS q FROM (SELECT b.vec_id, round({COSINE}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0) QUALIFY q < 50) SELECT vec_id, round(coalesce(1 / (60 + p), 0) + coalesce(1 / (60 + q), 0), 8) AS score FROM l FULL JOIN s USING (vec_id)")
 def d07(spark, d):
     lexical = t(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("score"))
     semantic = nearest(spark, d).select("vec_id", F.round("score", 5).alias("score"))
@@ -214,6 +216,18 @@ def d07_all(spark, d):
     return ranking.fused(lexical, all_nearest(spark, d), "vec_id", queries=asked).withColumn("score", F.round("score", 8))
 
 
+@query("d08_whole_schema", "SELECT n_name AS name, CAST(ceil(length(n_name) / 4) AS BIGINT) AS tokens FROM nation WHERE (SELECT sum(ceil(length(n_name) / 4)) FROM nation) <= 100000")
+def d08(spark, d):
+    return ranking.whole_schema(t(spark, d, "nation").select(F.col("n_name").alias("name"), X.token_estimate(F.col("n_name")).alias("tokens")), 100_000)
+
+
+@query("d09_boosts", "WITH s AS (SELECT source AS name, CAST(max(n_chars) AS DOUBLE) AS score FROM documents WHERE source IS NOT NULL GROUP BY source), m AS (SELECT max(score) AS top FROM s), k AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM s QUALIFY i < 3), r AS (SELECT max(name) AS name FROM s) SELECT s.name, round(score + top * (coalesce(1.5 - 0.05 * i, 0) + CASE WHEN r.name IS NULL THEN 0 ELSE 0.5 END), 6) AS score FROM s JOIN m ON true LEFT JOIN k ON k.name = s.name LEFT JOIN r ON r.name = s.name")
+def d09(spark, d):
+    scores = t(spark, d, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("name")).agg(F.max("n_chars").cast("double").alias("score"))
+    known = scores.orderBy("name").limit(3).select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("place"))
+    return ranking.boosted(scores, scores.agg(F.max("name").alias("name")), known).select("name", F.round("score", 6).alias("score"))
+
+
 @query("d10_hubs", f"WITH b AS (SELECT from_table AS name, to_table AS other FROM {EDGE_SQL} UNION SELECT to_table, from_table FROM {EDGE_SQL}) SELECT name, CAST(0 AS BIGINT) AS n_rows, count(DISTINCT other) AS degree FROM b GROUP BY name ORDER BY degree DESC, name LIMIT 8")
 def d10(spark, d):
     e = catalog.edges(spark)
@@ -349,7 +363,7 @@ def g06(spark, d):
 
 def spans_of(spark, d, kind):
     docs = t(spark, d, "documents").select("doc_id", "text")
-    rows = protect.exploded(detect.detected(docs), ["doc_id"]).where(F.col("type") == kind)
+    rows = protect.exploded(detect.detected(docs, types=[kind]), ["doc_id"])
     return rows.join(docs, "doc_id").select("doc_id", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
 
 
@@ -418,25 +432,51 @@ def g44(spark, d):
     return protect.protected(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "key")[0].select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("g45_verify", "SELECT 'x' AS type, CAST(0 AS BIGINT) AS problems WHERE false")
+MARKED_SQL = """
+WITH v AS (SELECT DISTINCT {identity} AS identity, {value} AS value FROM {table}), d AS (SELECT *, sha256('key' || chr(2) || sha256('key' || chr(1) || identity || chr(0) || value)) AS h FROM v),
+p AS (SELECT identity, value, CASE WHEN count(*) OVER (PARTITION BY h[1:6]) = 1 THEN h[1:6] ELSE h[1:24] END AS pseudonym FROM d)
+"""
+
+
+def planted(spark, d):
+    """A text for each customer, with a mail address that others mention without what would tell its kind, and a card."""
+    mail = lambda k: F.concat(F.lit("user"), k.cast("string"), F.lit("@example.com"))
+    key = F.col("c_custkey")
+    return t(spark, d, "customer").select(key, F.concat(F.lit("Write to "), mail(key), F.lit(" or ask "), mail(key % 10 + 1), F.lit(", card 4111 1111 1111 1111.")).alias("text"))
+
+
+@query("g44_planted", MARKED_SQL.format(identity="'EMAIL_ADDRESS'", value="'user' || k || '@example.com'", table="(SELECT c_custkey AS k FROM customer UNION SELECT c_custkey % 10 + 1 FROM customer)") + "SELECT c_custkey, 'Write to [[pii:EMAIL:' || a.pseudonym || ']] or ask [[pii:EMAIL:' || b.pseudonym || ']], card [[masked:CARD:1111]].' AS text FROM customer JOIN p a ON a.value = 'user' || c_custkey || '@example.com' JOIN p b ON b.value = 'user' || (c_custkey % 10 + 1) || '@example.com'")
+def g44_planted(spark, d):
+    return protect.protected(planted(spark, d), "c_custkey", "key")[0]
+
+
+@query("g45_verify", "SELECT 'EMAIL_ADDRESS' AS type, 2 * count(*) AS before, CAST(0 AS BIGINT) AS after FROM customer UNION ALL SELECT 'CREDIT_CARD_NUMBER', count(*), 0 FROM customer")
 def g45(spark, d):
-    return protect.verified(protect.protected(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "key")[0], "doc_id")
+    texts = planted(spark, d)
+    before = protect.verified(texts, "c_custkey").withColumnRenamed("problems", "before")
+    after = protect.verified(protect.protected(texts, "c_custkey", "key")[0], "c_custkey").withColumnRenamed("problems", "after")
+    return before.join(after, "type", "full").select("type", "before", F.coalesce("after", F.lit(0).cast("long")).alias("after"))
 
 
-@query("g46_restore", "SELECT doc_id, md5(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[0-9A-Z]')")
+@query("g46_restore", "SELECT doc_id, md5(text) AS digest FROM documents")
 def g46(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    out, vault = protect.protected(docs, "doc_id", "key")
-    return protect.restored(out, vault, "doc_id").where("NOT text RLIKE '[0-9A-Z]'").select("doc_id", F.md5("text").alias("digest"))
+    """Every document: with all that is found pseudonymized, all comes back."""
+    out, vault = protect.protected(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "key", actions=F.lit("pseudonymize"))
+    return protect.restored(out, vault, "doc_id").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("g46_restore_all")
 def g46_all(spark, d):
-    """Every document; what was redacted or masked can't come back, so its markers stay."""
+    """Every document by the policy; what was redacted or masked can't come back, so its markers stay."""
     out, vault = protect.protected(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "key")
     return protect.restored(out, vault, "doc_id").select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("g49_columns", MARKED_SQL.format(identity="'URL'", value="url", table="pages") + "SELECT page_id, CASE WHEN url = '' THEN url ELSE '[[pii:URL:' || pseudonym || ']]' END AS url FROM pages LEFT JOIN p ON value = url")
+def g49(spark, d):
+    return protect.protected_columns(t(spark, d, "pages").select("page_id", "url"), "page_id", "key", ["url"])[0].select("page_id", "url")
+
+
 @query("g51_report")
 def g51(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
@@ -488,7 +528,7 @@ def i03(spark, d):
     return names.select("declared", X.affinity(F.col("declared")).alias("affinity"))
 
 
-@query("i06_byte_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.0f B', CAST(n_chars AS DOUBLE)) ELSE printf('%.1f KB', n_chars / 1024) END AS size FROM documents")
+@query("i06_byte_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.0f B', CAST(n_chars AS DOUBLE)) ELSE printf('%.1f KB', floor(n_chars / 1024 * 10 + 0.5) / 10) END AS size FROM documents")
 def i06(spark, d):
     return t(spark, d, "documents").select("doc_id", X.byte_size(F.col("n_chars")).alias("size"))
 
@@ -499,6 +539,24 @@ def i07(spark, d):
     return cols.select("type", X.type_family(F.col("type")).alias("family")).distinct()
 
 
+@query("d21_compact_types", "SELECT * FROM (VALUES ('BIGINT', 'int'), ('character varying(20)', 'text'), ('timestamp with time zone', 'timestamptz'), ('timestamp without time zone', 'timestamp'), ('double precision', 'float'), ('numeric(10,2)', 'numeric'), ('boolean', 'bool'), ('my   type', 'my type'), ('', '')) v(declared, short)")
+def d21(spark, d):
+    names = ["BIGINT", "character varying(20)", "timestamp with time zone", "timestamp without time zone", "double precision", "numeric(10,2)", "boolean", "my   type", ""]
+    return spark.createDataFrame([(x,) for x in names], "declared string").select("declared", X.compact_type(F.col("declared")).alias("short"))
+
+
+@query("i01_storage_class", "SELECT event_id, CASE WHEN value IS NULL THEN 'NULL' WHEN value = floor(value) THEN 'INTEGER' ELSE 'REAL' END AS of_value, CASE WHEN props IS NULL THEN 'NULL' ELSE 'TEXT' END AS of_props, 'INTEGER' AS of_id FROM events")
+def i01(spark, d):
+    return t(spark, d, "events").select("event_id", X.storage_class("double", F.col("value")).alias("of_value"), X.storage_class("string", F.col("props")).alias("of_props"), X.storage_class("bigint", F.col("event_id")).alias("of_id"))
+
+
+@query("i05_same_value", "SELECT a.event_id, a.props IS NOT DISTINCT FROM b.props AS same FROM events a LEFT JOIN events b ON b.event_id = a.event_id + 1")
+def i05(spark, d):
+    e = t(spark, d, "events").select("event_id", "props")
+    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("props").alias("next"))
+    return e.join(after, "event_id", "left").select("event_id", X.same_value(F.col("props"), F.col("next")).alias("same"))
+
+
 @query("i13_clip", "SELECT event_id, props FROM (SELECT event_id, props, row_number() OVER (ORDER BY event_id) AS p, sum(length(props)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, props FROM events ORDER BY event_id LIMIT 50)) WHERE s <= 300")
 def i13(spark, d):
     e = t(spark, d, "events").select("event_id", "props", F.length("props").alias("size"), F.lit(0).alias("all")).orderBy("event_id").limit(50)
@@ -547,9 +605,13 @@ def f06(spark, d):
     return knowledge.learnt(e)
 
 
-@query("f16_outline", "SELECT 'x' AS name, 'x' AS domain WHERE false")
+@query("f16_outline", "WITH n AS (SELECT DISTINCT lang || '_' || source AS name, lang AS domain FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), s AS (SELECT *, count(*) OVER (PARTITION BY domain) AS n FROM n) SELECT name, domain FROM s WHERE n >= 2 UNION ALL SELECT 'alone', 'en' WHERE (SELECT count(*) FROM n WHERE domain = 'en') >= 2")
 def f16(spark, d):
-    return knowledge.outline(spark.createDataFrame([(n,) for n in catalog.TABLES], "name string"), catalog.edges(spark))
+    """A table for each language and source, and one that is linked to an English one only."""
+    names = t(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select(F.concat_ws("_", "lang", "source").alias("name")).distinct()
+    english = names.where("name LIKE 'en_%'").agg(F.min("name").alias("to_table"))
+    edges = english.select(F.lit("alone").alias("from_table"), F.lit("x").alias("from_column"), "to_table", F.lit("y").alias("to_column"))
+    return knowledge.outline(names.unionByName(names.sparkSession.createDataFrame([("alone",)], "name string")), edges)
 
 
 @query("f21_values", "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment = 'BUILDING'")
