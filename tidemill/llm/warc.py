@@ -2,8 +2,9 @@
 
 A package is a ZIP file whose members are stored: archive/data.warc.gz (each record a gzip member of its own) and
 indexes/index.cdx (a line of JSON for each record: where it lies, and what it is). Reading parses the package's
-central directory, or its ZIP64 form, finds the members and the index, and reads each record by its own range.
-Packages are rows (archive, content) of a table, or files of Spark's binaryFile source renamed so.
+central directory, or its ZIP64 form, finds the members and the index, and reads each record by its own range: nothing
+is extracted, and no more than a record is held. Packages are files in a folder that all tasks reach (by pyarrow's file
+systems); a table lists those of tasks that ended, so what a lost task wrote is never read.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored, table
+from tidemill.llm.common import shared_folder, stored, table
 
 REVISIT_BYTES, PACKAGE_BYTES, SALTS = 1000, 4 << 20, 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -125,8 +128,9 @@ class ByteRanges:
 class FileRanges:
     """Ranges of a seekable file."""
 
-    def __init__(self, file: io.BufferedIOBase):
-        self.file, self.size = file, file.seek(0, io.SEEK_END)
+    def __init__(self, file: io.BufferedIOBase | pa.NativeFile):
+        file.seek(0, io.SEEK_END)
+        self.file, self.size = file, file.tell()
 
     def read(self, start: int, length: int) -> bytes:
         if start < 0 or length < 0 or start + length > self.size:
@@ -222,16 +226,22 @@ def digested(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return met.unionByName(small)
 
 
-def packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Packages (archive, content) with a record for each page; a package takes package_bytes of records, or one."""
+def packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Packages with a record for each page, written to a folder: archive (the file), records and bytes of each. A package
+    takes package_bytes of records, or one. A task that runs again writes files of other names."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, number = Package(), 0, 0
-        name = lambda: f"package-{TaskContext.get().partitionId():06d}-{number:06d}.zip"
+        system, base = fs.FileSystem.from_uri(folder)
+        own, held = Package(), 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name()]), pa.array([own.bytes()], pa.binary())], names=["archive", "content"])
+            name = f"package-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zip"
+            content = own.bytes()
+            with system.open_output_stream(f"{base}/{name}") as f:
+                f.write(content)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(own.index)], pa.int64()), pa.array([len(content)], pa.int64())], names=["archive", "records", "bytes"])
 
+        system.create_dir(base)
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
@@ -239,33 +249,47 @@ def packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
                 held += len(payload)
                 if held >= package_bytes:
                     yield out()
-                    own, held, number = Package(), 0, number + 1
+                    own, held = Package(), 0
         if own.index:
             yield out()
 
-    return digested(pages).mapInArrow(write, "archive string, content binary")
+    return digested(pages).mapInArrow(write, "archive string, records long, bytes long")
 
 
 FIELDS = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
 
+BATCH_BYTES = 1 << 20
+
+
 def read_packages(archives: DataFrame) -> DataFrame:
-    """A row for each record of packages (content): FIELDS; the payload is null for revisits."""
+    """A row for each record of packages (archive): FIELDS; the payload is null for revisits."""
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, types)], names=FIELDS)
         for batch in batches:
-            for content in batch.column(0):
-                rows = list(records(ByteRanges(content.as_py())))
-                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, types)], names=FIELDS)
+            for archive in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(archive)
+                rows, held = [], 0
+                with system.open_input_file(path) as f:
+                    for r in records(FileRanges(f)):
+                        rows.append(r)
+                        held += r["payload_bytes"]
+                        if held >= BATCH_BYTES:
+                            yield made(rows)
+                            rows, held = [], 0
+                yield made(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return archives.select("content").mapInArrow(read, schema)
+    # files are of about the same size: they are dealt, not their rows' few bytes
+    return archives.select("archive").repartition(archives.sparkSession.sparkContext.defaultParallelism * 4, "archive").mapInArrow(read, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: pages written as packages, which are stored in the shared folder and read back."""
-    archives = stored(packages(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "packages")
+    """Contract query: pages written as packages in the shared folder, and read back by ranges."""
+    folder = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
+    archives = stored(packages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder), "packages-list")
     return read_packages(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
