@@ -69,7 +69,7 @@ def test_edits_to_null_and_of_one_row_twice(spark):
 def test_dropped_tables(spark):
     begin = mark()
     a, b = stored(spark.range(3), "one"), stored(spark.range(4), "two")
-    dropped(spark, begin, keep=[b])
+    dropped(spark, begin)
     assert b.count() == 4
     with pytest.raises(Exception):
         spark.read.parquet(a.inputFiles()[0])

@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths of stored tables, by session, in the order they were written.
+#: Paths of stored tables, in the order they were written.
 _PATHS: list[str] = []
 
 
@@ -39,11 +39,10 @@ def mark() -> int:
     return len(_PATHS)
 
 
-def dropped(spark: SparkSession, since: int, keep: list[DataFrame] | None = None) -> None:
-    """Deletes the tables stored since a mark, but for those that `keep` reads. No result that still reads them may be used after."""
-    used = {f.rsplit("/", 1)[0].split("/")[-1] for df in keep or [] for f in df.inputFiles()}
-    paths, _PATHS[since:] = _PATHS[since:], [p for p in _PATHS[since:] if p.split("/")[-1] in used]
+def dropped(spark: SparkSession, since: int, but: int = 1) -> None:
+    """Deletes the tables stored since a mark, but for the last ones. Nothing that still reads them may be used after."""
+    end = max(since, len(_PATHS) - but)
+    paths, _PATHS[since:end] = _PATHS[since:end], []
     for path in paths:
-        if path.split("/")[-1] not in used:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
