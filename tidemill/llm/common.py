@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.stored import dropped, mark, shared_folder, stored
+
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "clash_free", "dropped", "mark", "marked", "marks", "shared_folder", "stored", "table"]
+
 #: What separates words (the ASCII white space), and what a word is.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -17,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is taken and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder as Parquet and read again: cuts its lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clash_free(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns of df; those it lacks are null strings. Extra columns can't clash with own ones."""
     return df.select(*[F.col(f"`{n}`") if n in df.columns else F.lit(None).cast("string").alias(n) for n in names])

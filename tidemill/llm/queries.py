@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
 from tidemill.llm import chat, mixing, ngram_join, ogg, packing, paragraph_dedup, quality, suffix_dedup, toxicity, warc
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
@@ -16,7 +25,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_ogg": ogg.op10_ogg,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 #: Every string of 100 bytes as hex digits; those that are not the first of their kind are covered.
