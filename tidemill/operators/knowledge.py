@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.ranking import bm25
 from tidemill.operators.usage import TRUST
 
 HISTORY, CONFIRMED = 5, 0.05
@@ -95,3 +96,47 @@ def recalled_examples(queries: DataFrame, words: Column, saved: DataFrame, most:
     """Queries (shape, tokens, runs, errors, weight, question) that did not always fail and are not saved ones."""
     score = F.size(F.array_intersect(F.array_distinct("tokens"), words)) + F.col("weight") + F.col("question").isNotNull().cast("int")
     return queries.where("errors < runs").join(saved.select("shape"), "shape", "left_anti").withColumn("score", score).orderBy(F.desc("score"), "shape").limit(most)
+
+
+def recalled_runbook(entries: DataFrame, words: DataFrame, most: int = 3) -> DataFrame:
+    """name, hits, coverage, score of entries (name, tokens, runs, failures) that share two words or more of three letters
+    with a question (token), and three tenths of them; ranked as documents are. Entries that fail more than they run, and
+    three times or more, are left out."""
+    usable = entries.where("NOT (failures >= 3 AND failures > runs)")
+    asked = words.select("token").distinct().agg(F.collect_set(F.when(F.length("token") >= 3, F.col("token"))).alias("asked"))
+    hits = F.size(F.array_intersect(F.array_distinct("tokens"), F.col("asked")))
+    rows = usable.crossJoin(F.broadcast(asked)).withColumn("hits", hits).withColumn("coverage", F.col("hits") / F.greatest(F.size("asked"), F.lit(1)))
+    rows = rows.where("hits >= 2 AND coverage >= 0.3").join(bm25(usable, words, "name", "tokens"), "name", "left")
+    rows = rows.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rows.orderBy(F.desc("score"), F.desc("hits"), F.desc("runs"), "name").limit(most).select("name", "hits", "coverage", "score")
+
+
+def recalled_domains(domains: DataFrame, words: Column, seeds: DataFrame, most: int = 4) -> DataFrame:
+    """path, score, named of domains (path, tokens, tables, structural): 3 for each word that names one, 2 for each seed
+    (table) that it holds, and 1 if it was learnt. named: tables that it brings along, if it scores 3 or more."""
+    held = domains.select("path", F.explode("tables").alias("table")).join(seeds.select("table").distinct(), "table").groupBy("path").agg(F.countDistinct("table").alias("holds"))
+    hit = F.size(F.array_intersect(F.array_distinct("tokens"), words))
+    rows = domains.join(held, "path", "left").withColumn("holds", F.coalesce("holds", F.lit(0))).withColumn("hit", hit).where("hit > 0 OR holds > 0")
+    rows = rows.withColumn("score", 3 * F.col("hit") + 2 * F.col("holds") + F.when(F.col("structural"), 0).otherwise(1))
+    brought = F.when(F.col("score") >= 3, F.slice("tables", 1, 6)).otherwise(F.array().cast("array<string>"))
+    return rows.orderBy(F.desc("score"), "path").limit(most).select("path", "score", brought.alias("named"))
+
+
+def sections(parts: DataFrame, head: str, most: int = 6000) -> DataFrame:
+    """text: a head and parts (place, text) in order, each whole or, if it would not fit, not at all. Null without parts."""
+    rows = F.sort_array(F.collect_list(F.struct("place", "text")))
+    add = lambda a, p: F.when(F.length(a) + F.length(p["text"]) > most, a).otherwise(F.concat(a, F.lit("\n"), p["text"]))
+    return parts.agg(rows.alias("rows")).select(F.when(F.size("rows") > 0, F.aggregate("rows", F.lit(head), add)).alias("text"))
+
+
+def table_notes(domains: DataFrame, terms: DataFrame, runbook: DataFrame, links: DataFrame, table: str) -> DataFrame:
+    """place, note about a table: its domains (path, tables), six terms (name, table, weight), four runbook entries (name,
+    table, runs) and six links (a, b, weight) at most."""
+    pick = lambda df, order, n, note, place: df.orderBy(*order).limit(n).select(F.lit(place).alias("place"), note.alias("note"))
+    other = F.when(F.col("a") == table, F.concat(F.lit("feeds "), F.col("b"))).otherwise(F.concat(F.lit("fed by "), F.col("a")))
+    return (
+        pick(domains.where(F.array_contains("tables", table)), ["path"], 3, F.concat(F.lit("domain "), "path"), 0)
+        .unionByName(pick(terms.where(F.col("table") == table), [F.desc("weight"), "name"], 6, F.concat(F.lit("term "), "name"), 1))
+        .unionByName(pick(runbook.where(F.col("table") == table), [F.desc("runs"), "name"], 4, F.concat(F.lit("runbook "), "name"), 2))
+        .unionByName(pick(links.where((F.col("a") == table) | (F.col("b") == table)), [F.desc("weight"), "a", "b"], 6, other, 3))
+    )

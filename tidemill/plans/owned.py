@@ -10,7 +10,7 @@ from tidemill.functions import text as X
 from tidemill.functions import validators as V
 from tidemill.operators import edits, knowledge, paging, ranking, usage
 from tidemill.operators.privacy import detect, policy, protect, values
-from tidemill.plans import catalog
+from tidemill.plans import catalog, script
 from tidemill.streaming import answers
 
 QUERIES: dict[str, tuple] = {}
@@ -138,6 +138,13 @@ def d01(spark, d):
     return documents_tokens(spark, d).select("doc_id", F.size("toks").alias("n"), F.md5(F.array_join("toks", " ")).alias("digest"))
 
 
+@query("c21_functions", f"WITH src AS (SELECT doc_id AS id, text AS txt FROM documents), {TOKENS_SQL} SELECT id AS doc_id, CAST(len(toks) AS INTEGER) AS n, '4567' AS masked FROM tok")
+def c21(spark, d):
+    script.register_functions(spark)
+    t(spark, d, "documents").createOrReplaceTempView("__c21")
+    return spark.sql("SELECT doc_id, size(text_tokens(text)) AS n, mask_value('+1 234-4567') AS masked FROM __c21")
+
+
 @query("d02_token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")
 def d02(spark, d):
     return t(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
@@ -620,6 +627,30 @@ def f21(spark, d):
     return knowledge.recalled_values(known, F.lit("How many building customers?")).select("value")
 
 
+@query("f22_runbook")
+def f22(spark, d):
+    b = t(spark, d, "benchmark")
+    entries = b.select(F.col("item_id").alias("name"), X.tokens(F.col("text")).alias("tokens"), (F.col("item_id") % 5).alias("runs"), (F.col("item_id") % 7).alias("failures"))
+    words = b.where("item_id = 1").select(F.explode(F.slice(X.tokens(F.col("text")), 1, 12)).alias("token"))
+    return knowledge.recalled_runbook(entries, words).select("name", "hits", F.round("score", 6).alias("score"))
+
+
+@query("f23_domains", "WITH g AS (SELECT lang AS path, list_sort(list(DISTINCT source)) AS tables FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang), s AS (SELECT lang || '_' AS x, min(source) AS seed FROM documents WHERE lang = 'de' GROUP BY lang), h AS (SELECT path, tables, CASE WHEN path = 'fr' THEN 1 ELSE 0 END AS hit, CASE WHEN list_contains(tables, seed) THEN 1 ELSE 0 END AS holds FROM g LEFT JOIN s ON true) SELECT path, 3 * hit + 2 * holds + 1 AS score, CASE WHEN 3 * hit + 2 * holds + 1 >= 3 THEN array_to_string(tables[1:6], ' ') ELSE '' END AS named FROM h WHERE hit > 0 OR holds > 0 ORDER BY score DESC, path LIMIT 4")
+def f23(spark, d):
+    docs = t(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    domains = docs.groupBy(F.col("lang").alias("path")).agg(F.sort_array(F.collect_set("source")).alias("tables")).select("path", "tables", X.tokens(F.col("path")).alias("tokens"), F.lit(False).alias("structural"))
+    seeds = docs.where("lang = 'de'").agg(F.min("source").alias("table"))
+    return knowledge.recalled_domains(domains, F.array(F.lit("fr")), seeds).select("path", "score", F.array_join("named", " ").alias("named"))
+
+
+@query("f28_sections", "SELECT 'head' || chr(10) || string_agg(r_name, chr(10) ORDER BY r_regionkey) AS text FROM region WHERE r_regionkey IN (SELECT r_regionkey FROM region)")
+def f28(spark, d):
+    """Each region's name fits; a long part among them does not, and is left out whole."""
+    parts = t(spark, d, "region").select((F.col("r_regionkey") * 2).cast("int").alias("place"), F.col("r_name").alias("text"))
+    long = parts.where("place = 2").select(F.lit(3).alias("place"), F.repeat(F.lit("x"), 6000).alias("text"))
+    return knowledge.sections(parts.unionByName(long), "head")
+
+
 @query("g17_known_values", "WITH v AS (SELECT DISTINCT lang AS value FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) SELECT doc_id, w AS value, 'STATE' AS type, count(*) AS n FROM w WHERE w IN ('the', 'auch', 'pour') GROUP BY doc_id, w")
 def g17(spark, d):
     known = spark.createDataFrame([("the", "STATE"), ("auch", "STATE"), ("pour", "STATE"), ("de", "STATE")], "value string, type string")

@@ -9,8 +9,14 @@ import threading
 import uuid
 from dataclasses import dataclass
 
+import re
+
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.functions.text import PARTING, STOP_WORDS
 
 #: Plan classes at the root of statements that change something or run commands.
 _WRITES = ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Replace", "Set", "Add", "Rename", "Load", "Refresh", "Repair", "Analyze", "Cache", "Uncache", "Command")
@@ -25,6 +31,34 @@ class Result:
     message: str = ""
 
 
+def plain_tokens(text: str | None) -> list[str]:
+    """The words that functions.text.tokens gives."""
+    apart, out = re.sub(PARTING, " ", re.sub("([a-z0-9])([A-Z])", r"\1 \2", text or "")), []
+    for w in apart.lower().split():
+        if len(w) < 2 or w in STOP_WORDS:
+            continue
+        out.append(w)
+        if len(w) > 3 and w.endswith("ies"):
+            out.append(w[:-3] + "y")
+        elif len(w) > 3 and re.search("(s|x|z|ch|sh)es$", w):
+            out.append(w[:-2])
+        elif len(w) > 3 and w.endswith("s") and not w.endswith("ss"):
+            out.append(w[:-1])
+    return out
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Functions that statements may call: text_tokens, in Arrow batches, and mask_value, which is an expression."""
+
+    @F.pandas_udf("array<string>")
+    def text_tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(plain_tokens)
+
+    spark.udf.register("text_tokens", text_tokens)
+    bare = "regexp_replace(v, '[^\\\\p{L}\\\\p{N}]', '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_value(v STRING) RETURNS STRING RETURN CASE WHEN length({bare}) >= 8 THEN right({bare}, 4) ELSE '' END")
+
+
 def plan_class(spark: SparkSession, statement: str) -> str:
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     return plan.getClass().getSimpleName()
