@@ -100,22 +100,29 @@ TOKEN = "token long, item long, n int"
 def thinned(token: np.ndarray, item: np.ndarray, n: np.ndarray, most: int) -> pa.RecordBatch:
     """TOKEN rows of a chunk. Of a token with more than `most` items only the least goes on, and stands for them; each of
     the others is a row with n = -1, which links it to that one (in token's place)."""
-    order = np.lexsort((item, token))
+    order = np.argsort(token)
     token, item, n = token[order], item[order], n[order]
-    new = np.append(True, (token[1:] != token[:-1]) | (item[1:] != item[:-1]))[: len(token)]
-    token, item, n = token[new], item[new], n[new]
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(token)))
-    hot = np.repeat(sizes > most, sizes)
-    first = np.zeros(len(token), bool)
-    first[starts] = True
-    to, own = np.repeat(item[starts], sizes)[hot & ~first], item[hot & ~first]
-    order = np.lexsort((own, to))
-    to, own = to[order], own[order]
-    new = np.append(True, (to[1:] != to[:-1]) | (own[1:] != own[:-1]))[: len(to)]
-    keep = ~hot | first
-    n = np.where(hot, n + STANDS, n)[keep].astype(np.int32)
-    columns = [np.concatenate([token[keep], to[new]]), np.concatenate([item[keep], own[new]]), np.concatenate([n, np.full(new.sum(), -1, np.int32)])]
+    same = token[1:] == token[:-1]
+    shared = np.append(False, same) | np.append(same, False) if len(token) else np.zeros(0, bool)
+    out = [(token[~shared], item[~shared], n[~shared])]
+    if shared.any():
+        token, item, n = token[shared], item[shared], n[shared]
+        order = np.lexsort((item, token))
+        token, item, n = token[order], item[order], n[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (item[1:] != item[:-1]))
+        token, item, n = token[new], item[new], n[new]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        sizes = np.diff(np.append(starts, len(token)))
+        hot, first = np.repeat(sizes > most, sizes), np.zeros(len(token), bool)
+        first[starts] = True
+        keep = ~hot | first
+        out.append((token[keep], item[keep], np.where(hot, n + STANDS, n)[keep].astype(np.int32)))
+        to, own = np.repeat(item[starts], sizes)[hot & ~first], item[hot & ~first]
+        order = np.lexsort((own, to))
+        to, own = to[order], own[order]
+        new = np.append(True, (to[1:] != to[:-1]) | (own[1:] != own[:-1]))[: len(to)]
+        out.append((to[new], own[new], np.full(new.sum(), -1, np.int32)))
+    columns = [np.concatenate(c) for c in zip(*out)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "item", "n"])
 
 
@@ -145,10 +152,15 @@ def prefixes(docs: DataFrame, rare, k: int, percent: int, local: int = LOCAL) ->
 def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int = GROUP) -> DataFrame:
     """(a, b, hot) from TOKEN rows: items that share a token in every order (orders 1: any token), and the links of hot tokens."""
     every = (1 << orders) - 1
-    rows = tokens.repartition("token").sortWithinPartitions("token", "n", "item")
+    rows = tokens.repartition("token").sortWithinPartitions("token")
 
     def pairs(token: np.ndarray, item: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of whole groups, sorted."""
+        """Rows of whole groups, sorted by token."""
+        same = token[1:] == token[:-1]
+        shared = (np.append(False, same) | np.append(same, False) | (n < 0))[: len(token)]
+        token, item, n = token[shared], item[shared], n[shared]
+        order = np.lexsort((item, n, token))
+        token, item, n = token[order], item[order], n[order]
         link = n < 0
         out = [(np.minimum(token[link], item[link]), np.maximum(token[link], item[link]), np.full(link.sum(), every), np.full(link.sum(), True))]
         token, item, n = token[~link], item[~link], n[~link].astype(np.int64)

@@ -3,10 +3,10 @@
 Each set's values are read once. Then, with as few comparisons as connect the same:
 
 1. each item is compared with the least item that it is a candidate with: as many comparisons as items;
-2. candidates that are not in one component by then are compared, pair by pair;
-3. what hot tokens join (`hot`) stands for all pairs of its candidates' component. Such a component that is still in
-   pieces is compared with a few leaders, drawn anew each time, and what is left after that in blocks: the sets outside of
-   its largest piece with all that their size allows, each two blocks a task's work.
+2. candidates that are not in one component by then are compared, pair by pair; what hot tokens join (`hot`) stands for
+   all pairs of its candidates' component, and one that is in pieces meets one of its sets, drawn at random;
+3. what is in pieces still is compared in blocks: the sets outside of a component's largest piece with all that their
+   size allows, each two blocks a task's work.
 
 Steps 1 and 2 are joins, whose skewed keys are split by adaptive execution; a task of step 3 has two blocks, whatever the
 component's size. A block's links are thinned to as many as connect its sets.
@@ -26,7 +26,7 @@ from tidemill.llm.common import marked, marks, stored
 from tidemill.llm.components import components
 from tidemill.llm.shingles import forest, linked_pairs, shared_counts, shingle_set
 
-BLOCK, LEADERS = 256, 2
+BLOCK = 256
 #: Of a sorted set, arrays each of which shares a value with its counterpart of any similar set.
 Screen = Callable[[np.ndarray], list[np.ndarray]]
 
@@ -151,19 +151,17 @@ def similar_components(candidates: DataFrame, sets: DataFrame, percent: int, scr
     known = stored(components(verified(rows.where(of_least), sets, percent, screen)), "pairs-components")
     end = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")).hint("merge")
     rest = rows.where(~of_least).join(end("a"), "a", "left").join(end("b"), "b", "left")
-    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    known = grown(known, verified(rest, sets, percent, screen))
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "hot")
     if candidates.where("hot").limit(1).count() == 0:
-        return known
+        return grown(known, verified(rest, sets, percent, screen))
     whole = stored(components(candidates.select("a", "b")), "pairs-groups")
     hot = stored(candidates.where("hot").join(whole, F.col("a") == F.col("node")).select(F.col("component").alias("group")).distinct(), "pairs-hot")
     groups = whole.withColumnRenamed("component", "group").join(hot, "group").join(sets.select(F.col("item").alias("node"), "n").hint("merge"), "node")
-    members = pieces(stored(groups.select("group", F.col("node").alias("item"), "n"), "pairs-members"), known)
-    for turn in range(LEADERS):
-        if members.limit(1).count() == 0:
-            return known
-        leader = stored(members.groupBy("group").agg(F.min_by(F.struct("item", "piece"), F.xxhash64("item", F.lit(turn))).alias("l")), "pairs-leaders")
-        meet = members.join(leader, "group").where("piece <> l.piece").select(F.least("item", "l.item").alias("a"), F.greatest("item", "l.item").alias("b"), F.lit(True).alias("hot"))
-        known = grown(known, verified(meet, sets, percent, screen))
-        members = pieces(members.drop("piece"), known)
+    members = pieces(groups.select("group", F.col("node").alias("item"), "n"), known)
+    leader = stored(members.groupBy("group").agg(F.min_by(F.struct("item", "piece"), F.xxhash64("item")).alias("l")), "pairs-leaders")
+    meet = members.join(leader, "group").where("piece <> l.piece").select(F.least("item", "l.item").alias("a"), F.greatest("item", "l.item").alias("b"), F.lit(True).alias("hot"))
+    known = grown(known, verified(rest.unionByName(meet), sets, percent, screen))
+    members = pieces(members.drop("piece"), known)
+    if members.limit(1).count() == 0:
+        return known
     return grown(known, blockwise(members, sets, percent, screen, block))

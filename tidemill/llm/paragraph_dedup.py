@@ -10,8 +10,8 @@ no passages by themselves; `least_words` sets another bound.
 
 For passages that keep to no such boundaries there are windows of WINDOW words, placed by content: at the least shingle
 of each STEP successive ones, so that any run of WINDOW + STEP - 1 words that texts share has a window that they share.
-Windows, paragraphs too, are in one class if their words are equal. From a window that goes, the cut is widened by the
-words on either side that equal those of the window that stays, STEP - 1 at most, so a shared run goes whole.
+Windows, paragraphs too, are in one class if their words are equal. Of a longer run at most STEP - 1 words at each end
+are left, if no paragraph there goes by itself.
 
 Of each class the first unit (by doc_id and place) stays, and the others go from their texts, but for those that overlap
 the first. Equal units are one item from the start, so groups of copies cost little. A null text is empty; a null doc_id
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import marked, marks, stored, table
+from tidemill.llm.common import MARK_BITS, marked, marks, stored, table
 from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, thinned
 from tidemill.llm.pairs import item_sets, similar_components
 from tidemill.llm.shingles import mixed, shingles, word_hashes
 
-K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 32, 13
+K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 16, 13
 WINDOW, STEP = 26, 24
 #: n / (n + 1) is the most that unequal sets reach of which the smaller has n.
 LEAST_BANDED = PERCENT // (100 - PERCENT)
@@ -71,11 +71,7 @@ class Units(NamedTuple):
     sentence: np.ndarray
     first: np.ndarray  # shingles of it, from first to before last; first = last: under K words
     last: np.ndarray
-    word: np.ndarray  # words of it
-    end_word: np.ndarray
     grams: np.ndarray
-    hashes: np.ndarray  # of words
-    text_words: np.ndarray  # where each text's words begin, and the end
 
 
 def anchors(order: np.ndarray, step: int = STEP) -> np.ndarray:
@@ -149,7 +145,7 @@ def units(raws: list[bytes], least_words: int = LEAST) -> Units:
     following = np.append(first_byte, len(joined))[b] if n else b
     end = np.where(b == line_words[end_line + 1], line_bytes[end_line + 1] - 1, following) if n else b
     text = text_of[a] if n else a
-    return Units(text, start - begins[text], end - start, *ids, ~line & ~sentence, line, sentence, first, last, a, b, grams, hashes, text_words)
+    return Units(text, start - begins[text], end - start, *ids, ~line & ~sentence, line, sentence, first, last, grams)
 
 
 def band_keys(u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -204,75 +200,63 @@ def bands(docs: DataFrame, least_words: int = LEAST, local: int = LOCAL) -> Data
     return docs.select(F.col("text").cast("string")).mapInArrow(tasks, TOKEN)
 
 
-FOUND = "item long, more long, doc_id long, h long, start int, length int, window boolean, before binary, after binary"
+FOUND = "item long, more long, doc_id long, h long, start int, length int, window boolean"
 
 
-def found_units(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
-    """FOUND rows, one for each unit: where it lies (h: the text's hash), and the STEP - 1 words around a window, as 32-bit hashes."""
+def filter_bits(items: DataFrame) -> np.ndarray:
+    """Bits by the items' last bits, MARK_BITS / 8 bytes whatever the table's size: what may be among the items."""
+    x = F.pmod(F.col("item"), F.lit(MARK_BITS)) + 1
+    rows = items.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros((MARK_BITS // 32768, 4096), np.uint8)
+    for r in rows.collect():
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def found_units(docs: DataFrame, wanted: DataFrame, least_words: int = LEAST) -> DataFrame:
+    """FOUND rows, one for each unit that may be of the wanted items: where it lies (h: the text's hash)."""
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
         for batch in batches:
             for first, u in chunks(batch, least_words):
-                short = u.hashes.astype(np.uint32)
-                low, high = np.maximum(u.word - STEP + 1, u.text_words[u.text]), np.minimum(u.end_word + STEP - 1, u.text_words[u.text + 1])
-                before = [short[a:b].tobytes() if w else None for a, b, w in zip(low.tolist(), u.word.tolist(), u.window.tolist())]
-                after = [short[a:b].tobytes() if w else None for a, b, w in zip(u.end_word.tolist(), high.tolist(), u.window.tolist())]
-                at = pa.array(u.text + first)
-                columns = [pa.array(u.item), pa.array(u.more), batch.column(0).take(at), batch.column(1).take(at), pa.array(u.start.astype(np.int32)), pa.array(u.length.astype(np.int32)), pa.array(u.window)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=names)
+                at = u.item & (MARK_BITS - 1)
+                own = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                row = pa.array(u.text[own] + first)
+                columns = [pa.array(u.item[own]), pa.array(u.more[own]), batch.column(0).take(row), batch.column(1).take(row), pa.array(u.start[own].astype(np.int32)), pa.array(u.length[own].astype(np.int32)), pa.array(u.window[own])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
     return rows.mapInArrow(tasks, FOUND)
 
 
 def classes(docs: DataFrame, least_words: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(units of classes of several: FOUND without the item, and class, more_class; first unit of each class, with the words around)."""
+    """(units of classes of several: class, more_class, doc_id, h, start, length; the first unit of each class)."""
     items = stored(counted_items(docs, least_words), "dedup-items")
     pairs = stored(candidates(bands(docs, least_words), 0, orders=1), "dedup-candidates")
     in_pairs = stored(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "dedup-in-pairs")
-    wanted = items.select(F.col("item").alias("doc_id")).unionByName(in_pairs.select(F.col("item").alias("doc_id")))
-    named = found_units(docs, least_words).select(F.struct("*").alias("u"), F.col("item").alias("doc_id"))
-    found = stored(marked(named, marks(wanted, "dedup-wanted")).where("marked").select("u.*"), "dedup-units")
+    found = stored(found_units(docs, items.select("item").unionByName(in_pairs), least_words), "dedup-units")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start", "length")
     paired = found.where("NOT window").join(in_pairs.hint("merge"), "item").groupBy("item").agg(F.min(place).alias("first"))
     sets = stored(item_sets(paired.select("item", "first.doc_id", "first.h", "first.start", "first.length"), docs, K), "dedup-sets")
-    groups = similar_components(pairs, sets, PERCENT).withColumnRenamed("node", "item").withColumnRenamed("component", "class")
-    # units of an item that is in a class, and of one that repeats
-    several = found.join(groups.hint("merge"), "item", "left").join(items.withColumn("again", F.lit(True)).hint("merge"), ["item", "more"], "left").where("again OR class IS NOT NULL")
-    several = several.withColumn("more_class", F.when(F.col("class").isNull(), F.col("more")).otherwise(0)).withColumn("class", F.coalesce("class", "item"))
-    several = stored(several.drop("item", "more", "again"), "dedup-several")
-    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start", "length", "window", "before", "after")
-    firsts = stored(several.groupBy("class", "more_class").agg(F.min(first).alias("first")), "dedup-classes")
-    return several, firsts
+    groups = similar_components(pairs, sets, PERCENT).select(F.col("node").alias("item"), F.col("component").alias("class"))
+    # an item that is in a class, or that repeats; the latter by all its 128 bits
+    known = groups.join(items.hint("merge"), "item", "full").select("item", F.coalesce("class", "item").alias("class"), F.when(F.col("class").isNull(), F.col("more")).alias("again"))
+    known = stored(known.distinct(), "dedup-known")
+    several = found.join(known.hint("merge"), "item").where("again IS NULL OR again = more")
+    several = stored(several.select("class", F.coalesce("again", F.lit(0)).alias("more_class"), "doc_id", "h", "start", "length"), "dedup-several")
+    return several, stored(several.groupBy("class", "more_class").agg(F.min(place).alias("first")), "dedup-classes")
 
 
 def removals(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
-    """doc_id, h, and spans to remove: start, end in bytes, how many words more to the left and right, and first_doc_id that keeps them."""
+    """doc_id, h, and spans (start, end in bytes, first_doc_id that keeps what they hold) to remove."""
     several, firsts = classes(docs, least_words)
     hit = several.join(firsts.hint("merge"), ["class", "more_class"])
     same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("h") == F.col("first.h"))
     over = (F.col("start") < F.col("first.start") + F.col("first.length")) & (F.col("first.start") < F.col("start") + F.col("length"))
-    both = F.col("window") & F.col("first.window")
-    hit = hit.where(~(same & over)).select("doc_id", "h", "start", "length", F.col("first.doc_id").alias("first_doc_id"), *[F.when(both, c).alias(n) for n, c in (("b", F.col("before")), ("fb", F.col("first.before")), ("a", F.col("after")), ("fa", F.col("first.after")))])
-
-    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = lambda x: np.frombuffer(x or b"", np.uint32)
-
-        def alike(x: np.ndarray, y: np.ndarray) -> int:
-            n = min(len(x), len(y))
-            other = np.flatnonzero(x[:n] != y[:n])
-            return int(other[0]) if len(other) else n
-
-        for batch in batches:
-            b, fb, a, fa = (batch.column(i).to_pylist() for i in range(5, 9))
-            left = [alike(words(x)[::-1], words(y)[::-1]) for x, y in zip(b, fb)]
-            right = [alike(words(x), words(y)) for x, y in zip(a, fa)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["doc_id", "h", "start", "length", "first_doc_id", "left", "right"])
-
-    hit = hit.mapInArrow(widened, "doc_id long, h long, start int, length int, first_doc_id long, left int, right int")
-    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "left", "right", "first_doc_id")
-    return hit.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"), F.col("first.doc_id").alias("first_doc_id"))
+    return hit.where(~(same & over)).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_with array<long>, text string"
@@ -280,32 +264,12 @@ SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_with array<long>, tex
 
 def cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """What is left, the bytes removed, and in how many runs. A line that goes takes its newline along."""
-    if any(s["left"] or s["right"] for s in spans):
-        letters = np.frombuffer(raw, np.uint8)
-        inside = np.concatenate(([False], (letters != 32) & ((letters < 9) | (letters > 13))))
-        words = np.flatnonzero(inside[1:] & ~inside[:-1])  # where each begins
-
-        def wide(s: dict) -> tuple[int, int]:
-            a, b = s["start"], s["end"]
-            if s["left"]:
-                a = int(words[np.searchsorted(words, a) - s["left"]])
-            if s["right"]:
-                last = int(np.searchsorted(words, b)) + s["right"]
-                b = int(words[last]) if last < len(words) else len(raw)
-                done = a + len(raw[a:b].rstrip())
-                line = raw[done:b].find(b"\n")  # white space up to the next word goes too, but not beyond the line
-                b = done + line if line >= 0 else b
-            return a, b
-
-        ends = sorted(map(wide, spans))
-    else:
-        ends = [(s["start"], s["end"]) for s in spans]
     runs: list[list[int]] = []
-    for a, b in ends:
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
+    for s in spans:
+        if runs and s["start"] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], s["end"])
         else:
-            runs.append([a, b])
+            runs.append([s["start"], s["end"]])
     left, at, gone = [], 0, 0
     for a, b in runs:
         if (a == 0 or raw[a - 1 : a] == b"\n") and raw[b : b + 1] == b"\n":
