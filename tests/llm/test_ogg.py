@@ -44,6 +44,26 @@ def test_packets_go_on_over_pages():
     assert streams[7]["packets"] == [b"head", big, b"", b"x" * 255] and streams[7]["pages"] > 8
 
 
+def plain_feature(payload, media):
+    """The feature by counting one by one."""
+    n, packets = len(payload), -(-len(payload) // ogg.SAMPLES_PER_PACKET)
+    mean = sum(payload) * 100 // n
+    variance = (sum(b * b for b in payload) * n - sum(payload) ** 2) * 100 // (n * n)
+    cross = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+    serials = [media[i + 14] for i in range(len(media) - 3) if media[i : i + 4] == b"OggS"]
+    return f"ms={n * 1000 // 8000};mean100={mean};var100={variance};cross={cross};packets={packets};pages={serials.count(1)};streams=2"
+
+
+def test_times_and_feature():
+    for text in TEXTS:
+        payload, _ = ogg.padded(text)
+        media = ogg.write(payload, b"note")
+        streams = ogg.read(media)
+        assert ogg.features(payload, streams) == plain_feature(payload, media)
+        ends = [min(len(payload), i + ogg.SAMPLES_PER_PACKET) for i in range(0, len(payload), ogg.SAMPLES_PER_PACKET)]
+        assert ogg.packet_ends(streams[ogg.AUDIO_SERIAL]) == ends
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(i, t, b"mine") for i, t in enumerate(TEXTS)], "doc_id long, text string, media binary")
     rows = ogg.media_features(ogg.media_column(df, "text", ["doc_id", "media"])).collect()

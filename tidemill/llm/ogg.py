@@ -122,11 +122,22 @@ def read(media: bytes) -> dict[int, dict]:
     return streams
 
 
+def packet_ends(stream: dict) -> list[int]:
+    """The sample at which each packet after the head ends: what a page's granule position says of its last packet, less
+    the samples of those that follow on the page."""
+    ends, at = [], 0
+    for packet, granule in zip(stream["packets"][:0:-1], stream["granules"][:0:-1]):
+        at = granule if granule >= 0 else at
+        ends.append(at)
+        at -= len(packet)
+    return ends[::-1]
+
+
 def features(samples: bytes, streams: dict[int, dict]) -> str:
     """Length in ms by the last granule position, mean, spread and crossings of the samples, packets and pages."""
     x = np.frombuffer(samples, np.uint8)
     audio = streams[AUDIO_SERIAL]
-    ms = audio["granules"][-1] * 1000 // RATE
+    ms = packet_ends(audio)[-1] * 1000 // RATE
     high = x >= 128
     crossings = int(np.count_nonzero(high[1:] != high[:-1]))
     counts = np.bincount(x, minlength=256).tolist()
@@ -156,10 +167,11 @@ def media_column(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Each row of df without its media, and what is read back from it. A damaged file raises OggError."""
+    """Each row of df without its media, and what is read back from it; packet_ms is when each packet ends. A damaged file
+    raises OggError."""
     keep = [c for c in df.columns if c != media]
     pick = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`").alias("__media"))
-    added = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    added = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("packet_ms", pa.list_(pa.int64()))])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +180,11 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
                 for m in part.column(part.num_columns - 1).to_pylist():
                     streams = read(m)
                     samples = b"".join(streams[AUDIO_SERIAL]["packets"][1:])
-                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), features(samples, streams)))
+                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), features(samples, streams), [e * 1000 // RATE for e in packet_ends(streams[AUDIO_SERIAL])]))
                 cols = list(zip(*rows)) or [[]] * len(added)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c, f.type) for c, f in zip(cols, added)]], names=[*keep, *added.names])
 
-    return pick.mapInArrow(load, pick.drop("__media").selectExpr("*", "0L AS payload_bytes", "'' AS payload_sha256", "0L AS tail_crc32", "0L AS media_bytes", "'' AS media_sha256", "'' AS feature").schema)
+    return pick.mapInArrow(load, pick.drop("__media").selectExpr("*", "0L AS payload_bytes", "'' AS payload_sha256", "0L AS tail_crc32", "0L AS media_bytes", "'' AS media_sha256", "'' AS feature", "array(0L) AS packet_ms").schema)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
