@@ -49,6 +49,21 @@ def test_hints_lose_nothing():
     assert len([r for r in detect.RULES if r.hint]) > 25
 
 
+CASES = [
+    ("the password hunter22x! is old", "password-bare", "hunter22x!"), ("password protected files", None, None), ("Visa card, expires March 2027", "card-expiry-long", "March 2027"),
+    ("milk expires March 2027", None, None), ("medical license number: MD-123456", "medical-license", "MD-123456"), ("device id: A1B2-C3D4", "device-id", "A1B2-C3D4"),
+    ("VIN: 1M8GDM9A1KP042788", "vin-labelled", "1M8GDM9A1KP042788"), ("call 030 1234 5678 now", "phone-grouped", "030 1234 5678"), ("ratio 030 1234 5678", None, None),
+    ("she lives at 12 Baker Street", "lives-at", "12 Baker Street"), ("he works for Acme Corp today", "works-at", "Acme Corp"), ("my wife Anna Lee left", "relative-name", "Anna Lee"),
+    ("Dear John Smith, thanks", "greeted-name", "John Smith"), ("Dear customer", None, None), ("меня зовут Иван Петров.", "introduced-script", "Иван Петров"),
+]
+
+
+@pytest.mark.parametrize("text,rule,value", CASES)
+def test_rules(text, rule, value):
+    got = {(s["detector"], text[s["start"] : s["end"]]) for s in detect.found(text)}
+    assert (rule, value) in got if rule else not got
+
+
 def test_full_ranking_and_boosts(spark):
     scores = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "id long, score double")
     want = {i: p for p, (_, i) in enumerate(sorted((-float(i % 7), i) for i in range(500)))}

@@ -162,6 +162,17 @@ RULES = [
     _rule("ca-postcode", "POSTAL_CODE", 0.8, r"\b(?P<v>[ABCEGHJ-NPRSTVXY]\d[A-Z] ?\d[A-Z]\d)\b", digit=True),
     _rule("titled-name", "PERSON_NAME", 0.9, r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? (?P<v>[A-Z][\w'-]+(?: [A-Z][\w'-]+){0,2})", hint=("Mr", "Ms", "Dr", "Prof",)),
     _rule("introduced-name", "PERSON_NAME", 0.85, r"\b(?:[Mm]y name is|[Nn]amed|[Nn]ame:) (?P<v>[A-Z][\w'-]+(?: [A-Z][\w'-]+){0,2})", hint=("y name is", "amed", "ame:",)),
+    _rule("password-bare", "PASSWORD", 0.8, r"\b(?:password|passcode|pwd)\s+(?P<v>(?=[^\s\"',;]{0,63}\d)(?=[^\s\"',;]{0,63}[A-Za-z])[^\s\"',;]{6,64})", lambda v: not v.isalnum() or sum(map(str.isdigit, v)) > 1, flags=_I, hint=("pass", "pwd"), digit=True),
+    _rule("card-expiry-long", "CARD_EXPIRATION", 0.8, r"\b(?:exp(?:iry|ires|iration)?(?: date)?|valid (?:thru|until))\b\.?\s*(?:is|on|:|=)?\s*(?P<v>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6}\.? \d{4})\b", near=_CARD_WORDS, before=80, flags=_I, hint=("exp", "valid"), digit=True),
+    _rule("medical-license", "MEDICAL_LICENSE", 0.85, r"\b(?:medical|physician|nursing|dea) (?:licen[sc]e|registration)" + _LABEL + r"(?P<v>[A-Z]{0,3}-?\d{4,10})\b", flags=_I, hint=("licen", "registration"), digit=True),
+    _rule("device-id", "DEVICE_ID", 0.8, r"\b(?:device|serial|android|advertising) ?(?:id|identifier|number)\b\s*(?:is|:|=|#)?\s*(?P<v>[A-Za-z0-9][A-Za-z0-9:-]{6,40})", has_digit, flags=_I, hint=("device", "serial", "android", "advertising"), digit=True),
+    _rule("vin-labelled", "VEHICLE_IDENTIFIER", 0.8, r"\b(?:vin|chassis)" + _LABEL + r"(?P<v>[A-HJ-NPR-Z0-9]{11,17})\b", has_digit, flags=_I, hint=("vin", "chassis"), digit=True),
+    _rule("phone-grouped", "PHONE_NUMBER", 0.7, r"(?<![\w.-])(?P<v>0\d{1,4}(?:[ /-]\d{2,5}){1,4})(?![\w-])", lambda v: 8 <= len(_digits(v)) <= 12, near=_PHONE_WORDS, before=48, after=16, digit=True),
+    _rule("lives-at", "LOCATION", 0.7, r"\b(?:lives?|living|resides?|residing|located) (?:at|in|on) (?P<v>\d{0,5} ?[A-Z][\w'-]{1,24}(?: [A-Z][\w'-]{1,24}){0,3})", hint=("liv", "resid", "located")),
+    _rule("works-at", "EMPLOYER", 0.7, r"\b(?:works?|working|employed) (?:at|for|by) (?P<v>[A-Z][\w&'-]{1,24}(?: [A-Z&][\w&'-]{0,24}){0,3})", hint=("work", "employed")),
+    _rule("relative-name", "RELATIVE_NAME", 0.85, r"\b(?:[Mm]y|[Hh]is|[Hh]er|[Tt]heir|[Oo]ur) (?:wife|husband|son|daughter|mother|father|sister|brother|partner|spouse|uncle|aunt|cousin)(?:,| is| named| called)? (?P<v>[A-Z][\w'-]+(?: [A-Z][\w'-]+)?)", hint=("wife", "husband", "son", "daughter", "mother", "father", "sister", "brother", "partner", "spouse", "uncle", "aunt", "cousin")),
+    _rule("greeted-name", "PERSON_NAME", 0.75, r"\b(?:Dear|Hello|Hi|Regards,|Thanks,|Sincerely,)\s+(?P<v>[A-Z][a-z][\w'-]* [A-Z][\w'-]+)", hint=("Dear", "Hello", "Hi", "Regards", "Thanks", "Sincerely")),
+    _rule("introduced-script", "PERSON_NAME", 0.7, r"(?:меня зовут|我叫|私の名前は|اسمي)\s*(?P<v>[^\W\d_]{2,20}(?: [^\W\d_]{2,20})?)", hint=("зовут", "我叫", "名前", "اسمي")),
 ]
 
 
