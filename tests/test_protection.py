@@ -64,6 +64,12 @@ def test_rules(text, rule, value):
     assert (rule, value) in got if rule else not got
 
 
+def test_column_names(spark):
+    names = {"cardExpiry": "CARD_EXPIRATION", "patient_npi": "MEDICAL_LICENSE", "home_latitude": "LOCATION", "licensePlate": "LICENSE_PLATE", "account_id": "ACCOUNT_ID", "job_title": "OCCUPATION", "o_comment": None, "flat": None, "template": None}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.k for r in df.select("n", detect.column_class(F.col("n")).alias("k")).collect()} == names
+
+
 def test_full_ranking_and_boosts(spark):
     scores = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "id long, score double")
     want = {i: p for p, (_, i) in enumerate(sorted((-float(i % 7), i) for i in range(500)))}

@@ -234,6 +234,9 @@ NAME_RULES = [
     ("CREDIT_CARD_NUMBER", "card_number credit_card cc_number pan"), ("CVV", "cvv cvc"), ("IBAN", "iban"), ("ROUTING_NUMBER", "routing_number aba"), ("BANK_ACCOUNT_NUMBER", "bank_account account_number"),
     ("IP_ADDRESS", "ip ip_address client_ip"), ("MAC_ADDRESS", "mac mac_address"), ("DEVICE_ID", "device_id imei"), ("VEHICLE_IDENTIFIER", "vin"), ("DATE_OF_BIRTH", "dob birthdate birthday date_of_birth"), ("AGE", "age"),
     ("USERNAME", "username login user_name handle"), ("EMPLOYEE_ID", "employee_id"), ("CUSTOMER_ID", "custkey customer_id"), ("STREET_ADDRESS", "address street street_address"), ("POSTAL_CODE", "zip zipcode postcode postal_code"),
+    ("CARD_EXPIRATION", "card_expiry card_exp expiry exp_date exp_month exp_year"), ("HEALTH_INSURANCE_ID", "insurance_id policy_number subscriber_id member_id"), ("MEDICAL_LICENSE", "npi dea_number medical_license"),
+    ("LICENSE_PLATE", "plate plate_number license_plate number_plate"), ("ACCOUNT_ID", "account_id acct_id"), ("BIOMETRIC_IDENTIFIER", "biometric fingerprint_template face_id voiceprint retina_scan"),
+    ("LOCATION", "latitude longitude lat lng lon geolocation coordinates gps"), ("EMPLOYER", "employer company organization organisation workplace"), ("OCCUPATION", "occupation profession job_title"), ("STATE", "province state_code county"),
     ("CITY", "city town"), ("COUNTRY", "country nation"), ("URL", "url website homepage"), ("PERSON_NAME", "first_name last_name full_name surname fullname"),
 ]
 
