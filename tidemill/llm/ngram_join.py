@@ -32,6 +32,8 @@ ORDERS, BUCKETS, PARTS, GROUP, LOCAL, SALTS = 2, 1 << 22, 16, 32, 8, 16
 CHUNK_ROWS = 2000
 #: Added to a row's size: it stands for more rows with its token.
 STANDS = 1 << 30
+#: In place of a size: a link, a counted item, and one counted already.
+LINK, COUNTED, SEVERAL = -1, -2, -3
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -99,7 +101,7 @@ TOKEN = "token long, item long, n int"
 
 def thinned(token: np.ndarray, item: np.ndarray, n: np.ndarray, most: int) -> pa.RecordBatch:
     """TOKEN rows of a chunk. Of a token with more than `most` items only the least goes on, and stands for them; each of
-    the others is a row with n = -1, which links it to that one (in token's place)."""
+    the others is a row with n = LINK, which links it to that one (in token's place)."""
     order = np.argsort(token)
     token, item, n = token[order], item[order], n[order]
     same = token[1:] == token[:-1]
@@ -121,7 +123,7 @@ def thinned(token: np.ndarray, item: np.ndarray, n: np.ndarray, most: int) -> pa
         order = np.lexsort((own, to))
         to, own = to[order], own[order]
         new = np.append(True, (to[1:] != to[:-1]) | (own[1:] != own[:-1]))[: len(to)]
-        out.append((to[new], own[new], np.full(new.sum(), -1, np.int32)))
+        out.append((to[new], own[new], np.full(new.sum(), LINK, np.int32)))
     columns = [np.concatenate(c) for c in zip(*out)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "item", "n"])
 
@@ -149,21 +151,37 @@ def prefixes(docs: DataFrame, rare, k: int, percent: int, local: int = LOCAL) ->
     return docs.select(F.col("text").cast("string")).mapInArrow(tasks, TOKEN)
 
 
+def tallied(item: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """TOKEN rows that count a chunk's items by all their 128 bits (the rest in token's place): n is COUNTED, or SEVERAL if
+    the chunk has several."""
+    order = np.lexsort((item, more))
+    item, more = item[order], more[order]
+    starts = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (more[1:] != more[:-1]))[: len(item)])
+    n = np.where(np.diff(np.append(starts, len(item))) > 1, SEVERAL, COUNTED).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(more[starts]), pa.array(item[starts]), pa.array(n)], names=["token", "item", "n"])
+
+
 def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int = GROUP) -> DataFrame:
-    """(a, b, hot) from TOKEN rows: items that share a token in every order (orders 1: any token), and the links of hot tokens."""
+    """(a, b, hot) from TOKEN rows: items that share a token in every order (orders 1: any token), and the links of hot
+    tokens. Counted items that there are several of come too, with hot null: a is the item, b its rest."""
     every = (1 << orders) - 1
     rows = tokens.repartition("token").sortWithinPartitions("token")
 
     def pairs(token: np.ndarray, item: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of whole groups, sorted by token."""
         same = token[1:] == token[:-1]
-        shared = (np.append(False, same) | np.append(same, False) | (n < 0))[: len(token)]
+        shared = (np.append(False, same) | np.append(same, False) | (n == LINK) | (n == SEVERAL))[: len(token)]
         token, item, n = token[shared], item[shared], n[shared]
         order = np.lexsort((item, n, token))
         token, item, n = token[order], item[order], n[order]
-        link = n < 0
-        out = [(np.minimum(token[link], item[link]), np.maximum(token[link], item[link]), np.full(link.sum(), every), np.full(link.sum(), True))]
-        token, item, n = token[~link], item[~link], n[~link].astype(np.int64)
+        link, counted = n == LINK, n <= COUNTED
+        out = [(np.minimum(token[link], item[link]), np.maximum(token[link], item[link]), np.full(link.sum(), every), np.full(link.sum(), 1))]
+        t, i, several = token[counted], item[counted], n[counted] == SEVERAL
+        order = np.lexsort((several, i, t))  # of equal ones the last tells if the chunks had several
+        t, i, several = t[order], i[order], several[order]
+        again = np.append(False, (t[1:] == t[:-1]) & (i[1:] == i[:-1]))[: len(t)] | several
+        tally = i[again], t[again], np.full(again.sum(), every), np.full(again.sum(), -1)
+        token, item, n = token[n >= 0], item[n >= 0], n[n >= 0].astype(np.int64)
         stands, n = n >= STANDS, n % STANDS
         if len(token):
             new = np.append(True, (token[1:] != token[:-1]) | (item[1:] != item[:-1]))
@@ -173,7 +191,7 @@ def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int
             mask = 1 << (token % orders) if orders > 1 else np.ones(len(token), np.int64)
             large = np.repeat((sizes > group) | np.logical_or.reduceat(stands, starts), sizes)
             least = np.repeat(np.minimum.reduceat(item, starts), sizes)
-            out.append((least[large], item[large], np.full(large.sum(), every), np.full(large.sum(), True)))
+            out.append((least[large], item[large], np.full(large.sum(), every), np.full(large.sum(), 1)))
             small = np.flatnonzero(~large & (np.repeat(sizes, sizes) > 1))
             token, item, n, mask = token[small], item[small], n[small], mask[small]
             for d in range(1, group):
@@ -181,10 +199,11 @@ def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int
                 if not len(same):
                     break
                 same = same[100 * n[same] >= percent * n[same + d]]
-                out.append((np.minimum(item[same], item[same + d]), np.maximum(item[same], item[same + d]), mask[same], np.zeros(len(same), bool)))
+                out.append((np.minimum(item[same], item[same + d]), np.maximum(item[same], item[same + d]), mask[same], np.zeros(len(same), np.int64)))
         a, b, m, hot = (np.concatenate(x) for x in zip(*out))
         keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(m[keep].astype(np.int32)), pa.array(hot[keep])], names=["a", "b", "mask", "hot"])
+        a, b, m, hot = (np.concatenate((x[keep], y)) for x, y in zip((a, b, m, hot), tally))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m.astype(np.int32)), pa.array(hot > 0, mask=hot < 0)], names=["a", "b", "mask", "hot"])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -205,7 +224,7 @@ def candidates(tokens: DataFrame, percent: int, orders: int = ORDERS, group: int
             yield from pairs(*held)
 
     found = rows.mapInArrow(tasks, "a long, b long, mask int, hot boolean")
-    found = found.groupBy("a", "b").agg(F.bit_or("mask").alias("mask"), F.bool_or("hot").alias("hot"))
+    found = found.groupBy("a", "b", F.col("hot").isNull().alias("tally")).agg(F.bit_or("mask").alias("mask"), F.bool_or("hot").alias("hot"))
     return found.where(F.col("mask") == every).select("a", "b", "hot")
 
 

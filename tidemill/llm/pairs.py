@@ -4,7 +4,7 @@ Each set's values are read once. Then, with as few comparisons as connect the sa
 
 1. each item is compared with the least item that it is a candidate with: as many comparisons as items;
 2. candidates that are not in one component by then are compared, pair by pair; what hot tokens join (`hot`) stands for
-   all pairs of its candidates' component, and one that is in pieces meets one of its sets, drawn at random;
+   all pairs of its candidates' component, and one that is in pieces meets LEADERS of its sets, drawn at random;
 3. what is in pieces still is compared in blocks: the sets outside of a component's largest piece with all that their
    size allows, each two blocks a task's work.
 
@@ -26,7 +26,7 @@ from tidemill.llm.common import marked, marks, stored
 from tidemill.llm.components import components
 from tidemill.llm.shingles import forest, linked_pairs, shared_counts, shingle_set
 
-BLOCK = 256
+BLOCK, LEADERS = 256, 8
 #: Of a sorted set, arrays each of which shares a value with its counterpart of any similar set.
 Screen = Callable[[np.ndarray], list[np.ndarray]]
 
@@ -158,7 +158,8 @@ def similar_components(candidates: DataFrame, sets: DataFrame, percent: int, scr
     hot = stored(candidates.where("hot").join(whole, F.col("a") == F.col("node")).select(F.col("component").alias("group")).distinct(), "pairs-hot")
     groups = whole.withColumnRenamed("component", "group").join(hot, "group").join(sets.select(F.col("item").alias("node"), "n").hint("merge"), "node")
     members = pieces(groups.select("group", F.col("node").alias("item"), "n"), known)
-    leader = stored(members.groupBy("group").agg(F.min_by(F.struct("item", "piece"), F.xxhash64("item")).alias("l")), "pairs-leaders")
+    draw = F.pmod(F.xxhash64("item"), F.lit(LEADERS))
+    leader = stored(members.groupBy("group", draw.alias("draw")).agg(F.min_by(F.struct("item", "piece"), F.xxhash64("item", F.lit(1))).alias("l")).drop("draw"), "pairs-leaders")
     meet = members.join(leader, "group").where("piece <> l.piece").select(F.least("item", "l.item").alias("a"), F.greatest("item", "l.item").alias("b"), F.lit(True).alias("hot"))
     known = grown(known, verified(rest.unionByName(meet), sets, percent, screen))
     members = pieces(members.drop("piece"), known)

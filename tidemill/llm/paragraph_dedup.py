@@ -17,8 +17,8 @@ Of each class the first unit (by doc_id and place) stays, and the others go from
 the first. Equal units are one item from the start, so groups of copies cost little. A null text is empty; a null doc_id
 comes after all others; repeated rows (same id and text) share one decision, and so do not remove each other.
 
-Units are cut from many texts at once, and never stored but for those that have a counterpart: a first pass counts items
-(128-bit hashes), a second one gives bands, a third one the units of items that repeat or have candidates.
+Units are cut from many texts at once, and never stored but for those that have a counterpart: a first pass gives bands
+and counts items (128-bit hashes), a second one the units of items that repeat or have candidates.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.common import MARK_BITS, marked, marks, stored, table
-from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, thinned
+from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, tallied, thinned
 from tidemill.llm.pairs import item_sets, similar_components
 from tidemill.llm.shingles import mixed, shingles, word_hashes
 
@@ -176,26 +176,15 @@ def chunks(batch: pa.RecordBatch, least_words: int) -> Iterator[tuple[int, Units
             raws, size, first = [], 0, row + 1
 
 
-def counted_items(docs: DataFrame, least_words: int = LEAST) -> DataFrame:
-    """item, more: of units that there are several of."""
-
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, u in chunks(batch, least_words):
-                yield pa.RecordBatch.from_arrays([pa.array(u.item), pa.array(u.more)], names=["item", "more"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(tasks, "item long, more long")
-    return rows.groupBy("item", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item", "more")
-
-
 def bands(docs: DataFrame, least_words: int = LEAST, local: int = LOCAL) -> DataFrame:
-    """TOKEN rows: the band keys of the units that are banded. Sizes are left to the comparison."""
+    """TOKEN rows: the band keys of the units that are banded (sizes are left to the comparison), and counts of all units' items."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, u in chunks(batch, least_words):
+            for _, u in chunks(batch, least_words):
                 token, unit = band_keys(u)
                 yield thinned(token, u.item[unit], np.ones(len(token), np.int32), local)
+                yield tallied(u.item, u.more)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(tasks, TOKEN)
 
@@ -233,8 +222,8 @@ def found_units(docs: DataFrame, wanted: DataFrame, least_words: int = LEAST) ->
 
 def classes(docs: DataFrame, least_words: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(units of classes of several: class, more_class, doc_id, h, start, length; the first unit of each class)."""
-    items = stored(counted_items(docs, least_words), "dedup-items")
-    pairs = stored(candidates(bands(docs, least_words), 0, orders=1), "dedup-candidates")
+    met = stored(candidates(bands(docs, least_words), 0, orders=1), "dedup-candidates")
+    items, pairs = met.where("hot IS NULL").select(F.col("a").alias("item"), F.col("b").alias("more")), met.where("hot IS NOT NULL")
     in_pairs = stored(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct(), "dedup-in-pairs")
     found = stored(found_units(docs, items.select("item").unionByName(in_pairs), least_words), "dedup-units")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "start", "length")
