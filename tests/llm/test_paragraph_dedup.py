@@ -99,7 +99,7 @@ def test_units(least):
     assert len(set(by_words.values())) == len(by_words)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_all_pairs(spark, seed):
     rng = random.Random(seed)
     shared = [numbered(rng, rng.randrange(6, 25)) for _ in range(12)]

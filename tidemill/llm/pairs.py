@@ -5,10 +5,12 @@ Each set's values are read once. Then, with as few comparisons as connect the sa
 1. each item is compared with the least item that it is a candidate with: as many comparisons as items;
 2. candidates that are not in one component by then are compared, pair by pair; what hot tokens join (`hot`) stands for
    all pairs of its candidates' component, and one that is in pieces meets LEADERS of its sets, drawn at random;
-3. what is in pieces still is compared in blocks: the sets outside of a component's largest piece with all that their
-   size allows, each two blocks a task's work.
+3. of what is in pieces still, sets that share a shingle of their prefixes are compared, where shingles that are rare
+   among the component's sets come first: variants that differ in rare shingles enough share none;
+4. sets that hang together by prefix shingles of very many are compared in blocks: those outside of the largest piece
+   with all that their size allows, each two blocks a task's work.
 
-Steps 1 and 2 are joins, whose skewed keys are split by adaptive execution; a task of step 3 has two blocks, whatever the
+Steps 1 and 2 are joins, whose skewed keys are split by adaptive execution; a task of step 4 has two blocks, whatever the
 component's size. A block's links are thinned to as many as connect its sets.
 """
 
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.llm.common import marked, marks, stored
 from tidemill.llm.components import components
@@ -130,6 +133,41 @@ def blockwise(members: DataFrame, sets: DataFrame, percent: int, screen: Screen
     return tasks.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
+def group_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """token, item, n: of each member's prefix, rare ones among its group first, the shingles that others have too."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shingles = pa.array(np.frombuffer(batch.column(3)[i].as_py(), np.int64))
+                own = pa.array(np.full(len(shingles), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), shingles], names=["group", "item", "n", "shingle"])
+
+    held = members.join(sets.select("item", "values").hint("merge"), "item").select("group", "item", "n", "values")
+    rows = stored(held.mapInArrow(spread, "group long, item long, n int, shingle long"), "pairs-shingles")
+    counts = stored(rows.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "pairs-counts")
+    shared = rows.join(counts.hint("merge"), ["group", "shingle"])
+    of_item = Window.partitionBy("group", "item")
+    rank = F.row_number().over(of_item.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(of_item)  # those that no other has come first
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    return shared.withColumn("rank", rank).where(F.col("rank") <= prefix).select(F.xxhash64("group", "shingle").alias("token"), "item", "n")
+
+
+def left_over(members: DataFrame, sets: DataFrame, percent: int, screen: Screen | None, block: int) -> DataFrame:
+    """Links (a, b) between pieces of groups (members: group, item, n, piece), by prefixes, then by blocks."""
+    from tidemill.llm.ngram_join import candidates
+
+    found = stored(candidates(group_prefixes(members, sets, percent), percent, orders=1), "pairs-prefixes")
+    end = lambda x: members.select(F.col("item").alias(x), F.col("piece").alias(f"of_{x}")).hint("merge")
+    cross = found.where("NOT hot").join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select("a", "b", "hot")
+    links = verified(cross, sets, percent)
+    hot = found.where("hot").select("a", "b")
+    if hot.limit(1).count() == 0:
+        return links
+    groups = stored(components(hot), "pairs-blocked").select(F.col("node").alias("item"), F.col("component").alias("group"))
+    return links.unionByName(blockwise(members.drop("group").join(groups, "item"), sets, percent, screen, block))
+
+
 def grown(known: DataFrame, links: DataFrame) -> DataFrame:
     """node, component: known components, joined by more links."""
     return stored(components(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "pairs-components")
@@ -165,4 +203,4 @@ def similar_components(candidates: DataFrame, sets: DataFrame, percent: int, scr
     members = pieces(members.drop("piece"), known)
     if members.limit(1).count() == 0:
         return known
-    return grown(known, blockwise(members, sets, percent, screen, block))
+    return grown(known, left_over(members, sets, percent, screen, block))
