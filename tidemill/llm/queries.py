@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, mixing, ngram_join, ogg, packing, paragraph_dedup, quality, suffix_dedup, toxicity, warc
-
+from tidemill.llm import chat, lloyd, mixing, ngram_join, ogg, packing, paragraph_dedup, quality, records, resampling, suffix_dedup, toxicity, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +24,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality": quality.op9_quality,
     "op10_ogg": ogg.op10_ogg,
+    "op11_dual_tree": lloyd.op11_dual_tree,
+    "op12_records": records.op12_records,
+    "op13_resampling": resampling.op13_resampling,
     "pipeline": pipeline,
 }
 
@@ -57,4 +59,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_suffix_dedup": OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_ngram_join": OP8_SQL,
+    "op11_dual_tree": lloyd.OP11_SQL,
+    "op13_resampling": resampling.OP13_SQL,
 }
