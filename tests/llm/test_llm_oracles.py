@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("benchmark", "documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     r = con.execute(queries.ORACLE_SQL[name])
