@@ -28,6 +28,27 @@ def test_a_value_found_once_is_protected_everywhere(spark):
     assert [(r.identity, r.value) for r in vault.collect()] == [("EMAIL_ADDRESS", "bob@example.com")]
 
 
+def test_null_and_repeated_keys_stay_protected(spark):
+    rows = [(None, "mail amy@example.com now", 1), (None, "none here", 2), (7, "mail ben@example.com", 3), (7, "and amy@example.com too", 4), (8, "same cat@example.com", 5), (8, "same cat@example.com", 5)]
+    df = spark.createDataFrame(rows, "id long, text string, more int")
+    out, vault = protect.protected(df, "id", "key")
+    got = out.collect()
+    assert out.columns == df.columns and len(got) == len(rows) and not any("@" in r.text for r in got)
+    assert sorted((r.id is None, r.more) for r in got) == sorted((i is None, m) for i, _, m in rows)
+    assert sorted(map(repr, protect.restored(out, vault, "id").collect())) == sorted(map(repr, df.collect()))
+    with pytest.raises(ValueError):
+        protect.protected(df, "no_such", "key")
+
+
+def test_columns_keep_rows_and_order(spark):
+    rows = [(None, "amy@example.com", 30, "mail ben@example.com"), (1, "ben@example.com", 40, None), (1, None, 50, "x")]
+    df = spark.createDataFrame(rows, "id long, email string, size int, notes string")
+    out, _ = protect.protected_columns(df, "id", "key", ["notes", "email"])
+    got = out.collect()
+    assert out.columns == df.columns and len(got) == 3 and "@" not in repr(got)
+    assert {r["size"]: r.notes for r in got}[30].startswith("mail [[pii:EMAIL:")
+
+
 def test_columns(spark):
     rows = [(1, "bob@example.com", "call +1 202 555 0101", "Paris"), (2, "", "nothing", "Rome"), (3, None, None, None), (4, "bob@example.com", "", "Bonn")]
     df = spark.createDataFrame(rows, "id long, email string, notes string, city string")

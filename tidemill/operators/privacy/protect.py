@@ -103,20 +103,39 @@ def valued(spans: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     return spans.join(df.select(key, text), key).select(spans["*"], F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
 
 
+#: The column that names a row while its texts are protected: keys may be null or repeat.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df, stored, with a number for each row."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "protect-rows")
+
+
 def protected(df: DataFrame, key: str, secret: str, text: str = "text", actions: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(df with its text protected, the vault: identity, value, pseudonym). key names a row.
+    """(df with its text protected, the vault: identity, value, pseudonym).
 
     Texts travel together: a value found in one is protected in all. Rounds go on until all places of the found values
-    are known, and fail after ROUNDS. actions: what is done, by the column `type`, in place of the policy's.
+    are known, and fail after ROUNDS. actions: what is done, by the column `type`, in place of the policy's. Every row is
+    protected by itself and stays, whatever its key is: null, repeated, or on rows that are equal. Columns keep their order.
     """
-    found = stored(exploded(detected(df.select(key, text), text), [key]), "protect-found")
+    if key not in df.columns:
+        raise ValueError(f"no column {key}")
+    out, vault = _protected(numbered(df), secret, text, actions)
+    return out.drop(ROW), vault
+
+
+def _protected(rows: DataFrame, secret: str, text: str, actions: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows have a ROW each."""
+    key = ROW
+    found = stored(exploded(detected(rows.select(key, text), text), [key]), "protect-found")
     for _ in range(ROUNDS):
         spans = resolved(found, [key])
         spans = spans if actions is None else spans.withColumn("action", actions)
-        values = stored(valued(spans.where("action <> 'preserve'"), df, key, text), "protect-values")
+        values = stored(valued(spans.where("action <> 'preserve'"), rows, key, text), "protect-values")
         # a place that lies in a longer one is protected with it
         covers = values.select(F.col(key).alias("__key"), F.col("start").alias("s"), F.col("end").alias("e"))
-        more = known_spans(df, values.select("value", "type"), key, text)
+        more = known_spans(rows, values.select("value", "type"), key, text)
         more = stored(more.join(covers, (F.col(key) == F.col("__key")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_anti"), "protect-more")
         if more.limit(1).count() == 0:
             break
@@ -126,21 +145,26 @@ def protected(df: DataFrame, key: str, secret: str, text: str = "text", actions:
     vault = policy.pseudonyms(values.where("action = 'pseudonymize'").select("type", "value"), secret)
     identity = F.coalesce(_known(policy.SAME_IDENTITY, F.col("type")), F.col("type"))
     named = values.withColumn("identity", identity).join(vault, ["identity", "value"], "left")
-    changes = named.select(key, F.struct("start", "end", marker(F.col("type"), F.col("action"), F.col("value"), F.col("pseudonym")).alias("new")).alias("c")).groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("changes"))
-    out = df.join(changes, key, "left").withColumn(text, F.when(F.col("changes").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("changes")))).drop("changes")
-    return out, vault
+    changes = named.select(key, F.struct("start", "end", marker(F.col("type"), F.col("action"), F.col("value"), F.col("pseudonym")).alias("new")).alias("c")).groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("__changes"))
+    new = F.when(F.col("__changes").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__changes")))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return rows.join(changes, key, "left").withColumn(text, new).select(*names), vault
 
 
 def protected_columns(df: DataFrame, key: str, secret: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(df with columns protected, the vault). A column whose name, or else whose values, tell its type is protected value
-    by value, as a whole; other ones are read as prose. Types that the policy preserves stay."""
-    vaults = []
+    by value, as a whole; other ones are read as prose. Types that the policy preserves stay. All rows stay, whatever their
+    keys are, and columns keep their order; protected ones are strings."""
+    if key not in df.columns:
+        raise ValueError(f"no column {key}")
+    vaults, order = [], df.columns
+    df = numbered(df)
     for c in columns:
         kind = _class_of(df, c)
         text = F.col(c).cast("string")
         if kind is None:
-            part, vault = protected(df.select(key, text.alias(c)), key, secret, c)
-            df = df.drop(c).join(part.select(key, c), key)
+            part, vault = _protected(df.select(ROW, text.alias(c)), secret, c)
+            df = df.drop(c).join(part, ROW)
             vaults.append(vault)
             continue
         action = next(r[2] for r in policy.ROWS if r[0] == kind)
@@ -157,7 +181,7 @@ def protected_columns(df: DataFrame, key: str, secret: str, columns: list[str])
         new = marker(F.lit(kind), F.lit(action), F.col(c), pseudonym)
         df = named.withColumn(c, F.when(F.col(c).isNull() | (F.col(c) == ""), F.col(c)).otherwise(new)).drop("__pseudonym")
     none = df.sparkSession.createDataFrame([], "identity string, value string, pseudonym string")
-    return df, reduce(DataFrame.unionByName, vaults, none).distinct()
+    return df.select(*[F.col(f"`{c}`") for c in order]), reduce(DataFrame.unionByName, vaults, none).distinct()
 
 
 def _class_of(df: DataFrame, column: str) -> str | None:
@@ -179,9 +203,10 @@ def restored(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> D
     marks = df.select(key, F.posexplode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(\[\[pii:[A-Z_]+:[0-9a-f]+\]\])"), F.lit(1)))).alias("i", "m"))
     marks = marks.withColumn("pseudonym", F.regexp_extract("m", r":([0-9a-f]+)\]\]", 1)).withColumn("tag", F.regexp_extract("m", r"pii:([A-Z_]+):", 1))
     known = vault.withColumn("tag", policy.looked_up(F.col("identity"), 1))
-    pairs = marks.join(known, ["pseudonym", "tag"]).groupBy(key).agg(F.collect_list(F.struct("m", "value")).alias("pairs"))
-    back = F.aggregate("pairs", F.col(text), lambda a, p: F.replace(a, p["m"], p["value"]))
-    return df.join(pairs, key, "left").withColumn(text, F.when(F.col("pairs").isNull(), F.col(text)).otherwise(back)).drop("pairs")
+    # rows that share a key, or have none, share their markers: a marker that a text lacks changes nothing there
+    pairs = marks.join(known, ["pseudonym", "tag"]).groupBy(F.col(key).alias("__key")).agg(F.collect_set(F.struct("m", "value")).alias("__pairs"))
+    back = F.aggregate("__pairs", F.col(text), lambda a, p: F.replace(a, p["m"], p["value"]))
+    return df.join(pairs, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(back)).drop("__pairs", "__key")
 
 
 def report(spans: DataFrame) -> DataFrame:
