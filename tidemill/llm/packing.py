@@ -13,7 +13,9 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -116,11 +118,18 @@ class Open:
         return out
 
 
+#: Punctuation that is apart from a letter before it (an apostrophe may not be).
+_ENDS = b".,!?;:#$%&|*<>()-"
+#: How byte-level vocabularies write bytes as letters: printable ones stand for themselves, others follow from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_AS_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
 class WordTokens:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never joins over it, so a text's ids are those of its words, which repeat;
-    up to CACHE_WORDS of them are remembered. A letter and a full stop or comma after it are always apart too.
+    up to CACHE_WORDS of them are remembered. A letter and the punctuation at the word's end are always apart too.
     """
 
     def __init__(self, path: str):
@@ -131,37 +140,43 @@ class WordTokens:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        stems, cut = set(), {}
+        known, stems, cut = self.known, set(), {}
         for w in words:
-            s = w.rstrip(b".,")
-            if s != w and s and s[-1:].isalpha():
-                cut[w] = s, w[len(s) :]
-                stems.update(cut[w])
+            s = w.rstrip(_ENDS)
+            if s != w and s and (s[-1:].isalpha() or s[-1] >= 0x80 and s.decode()[-1].isalpha()) and b"<|" not in w:
+                end = w[len(s) :]
+                cut[w] = s, end
+                stems.add(s)
+                stems.add(end)
             else:
                 stems.add(w)
-        stems = {s for s in stems if s not in self.known}
-        plain = [s for s in stems if s.isalpha() and s.islower()]
-        for s in plain:
-            self.known[s] = np.array([t.id for t in self.tokenizer.model.tokenize(s.decode())], "<u4").tobytes()
-        rest = list(stems.difference(plain))
-        for s, e in zip(rest, self.tokenizer.encode_batch_fast([s.decode() for s in rest], add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, "<u4").tobytes()
+        rest, texts = [], []
+        tokenize = self.tokenizer.model.tokenize
+        for s in stems:
+            if s in known:
+                continue
+            text = s.decode()
+            # letters that no normalizer changes are one piece of the vocabulary's first cut
+            if text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                known[s] = array("I", [t.id for t in tokenize(text if text.isascii() else s.decode("latin-1").translate(_AS_LETTERS))]).tobytes()
+            else:
+                rest.append(s)
+                texts.append(text)
+        for s, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            known[s] = array("I", e.ids).tobytes()
         for w, (s, end) in cut.items():
-            self.known[w] = self.known[s] + self.known[end]
+            known[w] = known[s] + known[end]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         # lower case early where no special token's string can come of it
         split = [[] if not t else (raw if b"<|" in raw else raw.lower()).split() for t in texts for raw in [(t or "").encode()]]
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-                self.learn({w for w in words if w not in self.known})
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        met = set().union(*split)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = {w for w in met if w not in self.known}
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def packed(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = SIZE, end_id: int = END_ID, ids: bool = True) -> DataFrame:
