@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths of stored tables, in the order they were written.
+#: Paths of stored tables and scratch folders, in the order they were made.
 _PATHS: list[str] = []
 
 
@@ -34,6 +34,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for files of other formats; dropped() deletes it as it does tables."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
 def mark() -> int:
     """A place in the list of stored tables, for dropped()."""
     return len(_PATHS)

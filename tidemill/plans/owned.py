@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
 from tidemill.operators import edits, knowledge, paging, ranking, usage
-from tidemill.operators.privacy import detect, policy, protect, values
+from tidemill.operators.privacy import detect, markers, policy, protect, values
+from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
-from tidemill.streaming import answers
+from tidemill.streaming import answers, stateful
 
 QUERIES: dict[str, tuple] = {}
 
@@ -596,6 +597,63 @@ def j07(spark, d):
     return answers.windowed_counts(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("j05_held_back", "SELECT conv_id || ':' || turn AS stream, md5(coalesce(text, '') || ' name-' || conv_id || ':' || turn || ' ' || coalesce(text, '')) AS digest, CAST(0 AS BIGINT) AS cut, true AS finished FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL")
+def j05(spark, d):
+    """Each turn as a stream of its own: its text, a marker and its text again, in three events cut at any place, the second
+    within the marker; their bytes in chunks that come out of order in three batches. No piece ends within a marker, and
+    all pieces, restored one by one, make the text."""
+    c = t(spark, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    rows = c.select(F.concat_ws(":", "conv_id", "turn").alias("stream"), F.coalesce("text", F.lit("")).alias("said"))
+    rows = rows.withColumn("id", F.substring(F.sha2("stream", 256), 1, 24))
+    whole = F.concat("said", F.lit(" [[pii:PERSON:"), "id", F.lit("]] "), "said")
+    cuts = [F.lit(1), F.floor(F.length("said") / 3) + 1, F.length("said") + 3 + F.pmod(F.xxhash64("stream"), F.lit(40)), F.lit(1 << 30)]
+    event = lambda i: F.concat(F.lit("event: x\r\ndata: "), F.to_json(F.struct(F.substr("whole", cuts[i].cast("int"), (cuts[i + 1] - cuts[i]).cast("int")).alias("delta"))), F.lit("\r\n\r\n"))
+    rows = rows.withColumn("whole", whole).withColumn("body", F.concat(*[event(i) for i in range(3)], F.lit('data: {"done": true}\n\nrest')))
+    size = (F.pmod(F.xxhash64("stream", F.lit(1)), F.lit(200)) + 60).cast("int")
+    chunks = rows.withColumn("size", size).withColumn("n", F.ceil(F.length("body") / F.col("size")).cast("int"))
+    chunks = chunks.select("stream", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"), "n", "size", "body")
+    chunks = chunks.select("stream", F.col("seq").cast("long").alias("seq"), F.substr("body", F.col("seq") * F.col("size") + 1, F.col("size")).alias("chunk"), F.least(F.lit(2), F.floor((3 * F.col("seq") + F.pmod(F.xxhash64("stream", "seq"), F.lit(2))) / F.col("n"))).alias("batch"))
+    folder, schema = scratch(spark, "answers"), "stream string, seq long, chunk string"
+    for i in range(3):
+        chunks.where(F.col("batch") == i).drop("batch").repartition(8).write.mode("append").parquet(f"{folder}/chunks")
+    found = stateful.streamed(folder, schema, f"{folder}/chunks", spark, files=8).withColumn("piece", F.concat_ws("#", "stream", "place"))
+    vault = rows.select(F.lit("PERSON_NAME").alias("identity"), F.concat(F.lit("name-"), "stream").alias("value"), F.col("id").alias("pseudonym"))
+    back = protect.restored(found, vault, "piece").groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("p"), F.count_if(F.col("text").rlike(r"\[\[pii(:[A-Z]*(:[0-9a-f]*)?)?$")).alias("cut"), F.bool_or("finished").alias("finished"))
+    return back.select("stream", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("digest"), "cut", "finished")
+
+
+# --- damaged markers ---
+
+
+def marked_customers(spark, d):
+    return t(spark, d, "customer").select("c_custkey", "c_name", F.concat(F.lit("[[pii:PERSON:"), F.substring(F.sha2(F.concat(F.lit("k"), F.col("c_custkey").cast("string")), 256), 1, 24), F.lit("]]")).alias("m"))
+
+
+@query("g39_damaged", "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 AND c_custkey // 3 % 39 = 0 THEN 'Ask #' ELSE 'Ask ' END || c_name || CASE WHEN c_custkey % 3 = 1 AND c_custkey // 3 % 39 = 38 THEN '# now' ELSE ' now' END AS text FROM customer")
+def g39(spark, d):
+    """A marker for each customer, with a letter that is missing, changed or too many, at each place in turn: all are read."""
+    rows = marked_customers(spark, d)
+    at, kind = F.floor(F.col("c_custkey") / 3) % 39, F.col("c_custkey") % 3
+    bent = F.concat(F.substr("m", F.lit(1), at.cast("int")), F.when(kind > 0, "#").otherwise(""), F.substr("m", (at + F.when(kind == 2, 1).otherwise(2)).cast("int")))
+    texts = rows.select("c_custkey", F.concat(F.lit("Ask "), bent, F.lit(" now")).alias("text"))
+    vault = rows.select(F.lit("PERSON_NAME").alias("identity"), F.col("c_name").alias("value"), F.substring("m", 14, 24).alias("pseudonym"))
+    return protect.restored(markers.mended(texts, vault, "c_custkey"), vault, "c_custkey")
+
+
+@query("g40_safe_slice", "WITH c AS (SELECT c_custkey, c_name, '[[pii:PERSON:' || sha256('k' || c_custkey)[1:24] || ']]' AS m, c_custkey % 50 AS n FROM customer), x AS (SELECT *, m || c_name || m AS s, length(c_name) AS l FROM c) SELECT c_custkey, s[1:CASE WHEN n > 0 AND n < 39 THEN 0 WHEN n > 39 + l AND n < 78 + l THEN 39 + l ELSE n END] AS text FROM x")
+def g40(spark, d):
+    rows = marked_customers(spark, d)
+    return rows.select("c_custkey", markers.safe_slice(F.concat("m", "c_name", "m"), (F.col("c_custkey") % 50).cast("int")).alias("text"))
+
+
+@query("g23_clipped", "WITH c AS (SELECT c_custkey, c_custkey % 40 AS s, length(c_name) AS l FROM customer), x AS (SELECT *, s + 12 AS e FROM c) SELECT c_custkey, s AS \"start\", CASE WHEN e <= l + 1 THEN e ELSE l END AS \"end\" FROM x WHERE s < l OR s = l AND e <= l + 1")
+def g23(spark, d):
+    """A span of 12 characters somewhere in a name, a space and a marker."""
+    rows = marked_customers(spark, d)
+    spans = F.array(F.struct((F.col("c_custkey") % 40).cast("int").alias("start"), (F.col("c_custkey") % 40 + 12).cast("int").alias("end")))
+    return rows.select("c_custkey", F.explode(markers.clipped(spans, F.concat("c_name", F.lit(" "), "m"))).alias("s")).select("c_custkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
 # --- knowledge and known values ---
 
 
