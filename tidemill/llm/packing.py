@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,12 @@ class WordTokens:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """A worker's tokens: the words that a task has met are known to the next one."""
+    return WordTokens(path)
+
+
 def packed(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = SIZE, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """Pieces of documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the token ids if wanted.
 
@@ -187,7 +194,7 @@ def packed(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = SIZ
     """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(vocabulary() if callable(vocabulary) else vocabulary)
+        tokens = word_tokens(vocabulary() if callable(vocabulary) else vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes]] = []

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import clash_free, shared_folder, stored, table
 from tidemill.llm.files import file_system
-from tidemill.llm.packing import WordTokens, word_vocabulary
+from tidemill.llm.packing import word_tokens, word_vocabulary
 
 END_ID, FILE_BYTES, RANGE_BYTES, BATCH_TOKENS = 2, 1 << 28, 1 << 22, 1 << 20
 #: Fixed values of the framing: the checksum's polynomial (reflected) and what masking adds.
@@ -177,7 +177,7 @@ def written(docs: DataFrame, folder: str, vocabulary: str | Callable[[], str], e
     """Writes documents (doc_id, text) to a folder; lists the files: file, records, tokens, bytes, first (tokens before it)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, crc, number, own = WordTokens(vocabulary() if callable(vocabulary) else vocabulary), Crc32c(), 0, None
+        tokens, crc, number, own = word_tokens(vocabulary() if callable(vocabulary) else vocabulary), Crc32c(), 0, None
         end = np.array([end_id], "<u4").tobytes()
 
         def listed() -> pa.RecordBatch:
