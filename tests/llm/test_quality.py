@@ -50,15 +50,25 @@ def statistics(n, seed, lang, source, first):
 SCHEMA = "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in quality.STATS)
 
 
-def plain_estimate(x):
-    """Concentration steps in numpy, from both starts, until the determinant stands; and the scale."""
+def weights(cell):
+    """1 for the SHARE nearest rows; of the cell in which the last ones lie, what makes the share exact."""
+    order = np.sort(cell)
+    half = int(np.ceil(quality.SHARE * len(cell)))
+    last = order[half - 1]
+    return np.where(cell < last, 1.0, np.where(cell == last, (half - (cell < last).sum()) / (cell == last).sum(), 0.0))
 
-    def moments(near):
-        return near.mean(0), np.cov(near.T, bias=True).reshape(5, 5) + np.eye(5) * quality.FLOOR**2
+
+def moments(x, w):
+    m = (w[:, None] * x).sum(0) / w.sum()
+    return m, ((x - m) * w[:, None]).T @ (x - m) / w.sum() + np.eye(5) * quality.FLOOR**2
+
+
+def plain_estimate(x, trace=None):
+    """Concentration steps in numpy, from both starts, until no step lowers the determinant; and the scale."""
 
     def cells(m, c):
         d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
-        return np.floor(quality.GRID * np.log2(np.maximum(d, 1e-4)) + 1e-9), d
+        return np.floor(quality.GRID * np.log2(np.maximum(d, 1e-4)) + 1e-9)
 
     half = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
     med = half(x)
@@ -67,16 +77,17 @@ def plain_estimate(x):
     u = u / np.maximum(np.linalg.norm(u, axis=1), 1e-9)[:, None]
     best = None
     for c in (np.diag(sd**2), 5 * u.T @ u / len(x) * np.outer(sd, sd) + np.eye(5) * quality.FLOOR**2):
-        m = med
-        for _ in range(60):
-            cell, _ = cells(m, c)
-            m, c = moments(x[cell <= np.sort(cell)[int(np.ceil(quality.SHARE * len(x))) - 1]])
+        m, c = moments(x, weights(cells(med, c)))
+        while True:
+            new = moments(x, weights(cells(m, c)))
+            if np.linalg.slogdet(new[1])[1] >= np.linalg.slogdet(c)[1] - quality.STANDS:
+                break
+            m, c = new
         det = np.linalg.slogdet(c)[1]
         if best is None or det < best[0] - 1e-9:
             best = det, m, c
     _, m, c = best
-    cell, _ = cells(m, c)
-    return m, c, min(1.0, quality.CHI2_HALF / 2 ** ((half(cell) + 1) / quality.GRID))
+    return m, c, min(1.0, quality.CHI2_HALF / 2 ** ((half(cells(m, c)) + 1) / quality.GRID))
 
 
 def plain_distances(rows):
@@ -97,10 +108,10 @@ def test_distances_and_outliers(spark):
     """Against numpy; a tenth of each group lies far off and is found, in groups of any size."""
     rows = statistics(600, 1, "en", "a", 0) + statistics(60, 5, "en", "few", 700) + statistics(400, 2, None, None, 1000) + statistics(150, 3, "fr", "x", 2000) + statistics(150, 4, "fr", "y", 3000) + statistics(2, 6, "xx", "z", 4000)
     df = spark.createDataFrame(rows, SCHEMA)
-    levels, groups = quality.grouped(df)
-    assert groups.count() == 6 and levels.count() == 3 * len(rows)
-    estimates = quality.blended(groups, quality.estimated(levels))
-    far = quality._distance(quality.joined(df.withColumn("g0", quality.group(0)), estimates, "g0")).collect()
+    levels, groups, few = quality.grouped(df)
+    assert groups.count() == 6 and levels.count() == 3 * len(rows) and few
+    estimates = quality.blended(groups, quality.estimated(levels, few))
+    far = quality._distance(quality.joined(df.withColumn("g0", quality.group(0)), estimates, "g0", few)).collect()
     want = plain_distances(rows)
     assert len(far) == len(rows)
     for r in far:
@@ -112,18 +123,41 @@ def test_step_is_the_estimate_of_the_nearest_rows(spark):
     rows = statistics(500, 7, "en", "a", 0)
     df = spark.createDataFrame(rows, SCHEMA)
     good = df.withColumn("g", quality.group(0)).cache()
-    start = quality.first_estimates(good)
-    step = {r.start: r for r in quality.concentrated(good, start).collect()}
+    start = quality.first_estimates(good, True)
+    step = {r.start: r for r in quality.concentrated(good, start, True).collect()}
     x = np.array([r[3:] for r in rows]) / quality.SCALE
     for e in start.collect():
         low = np.array([[e[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
         z = np.linalg.solve(low, (x - np.array([e[f"m_{i}"] for i in range(5)])).T)
         cell = np.floor(quality.GRID * np.log2(np.maximum((z * z).sum(0), 1e-4)))
-        most = next(c for c in np.unique(cell) if (cell <= c).sum() >= quality.SHARE * len(x))
-        near = x[cell <= most]
+        w = weights(cell)
+        assert np.isclose(w.sum(), np.ceil(quality.SHARE * len(x)))
+        m, c = moments(x, w)
         got = step[e.start]
-        assert np.allclose(near.mean(0), [got[f"m_{i}"] for i in range(5)])
-        assert np.isclose(np.linalg.slogdet(np.cov(near.T, bias=True) + np.eye(5) * quality.FLOOR**2)[1], got.logdet)
+        assert np.allclose(m, [got[f"m_{i}"] for i in range(5)])
+        assert np.isclose(np.linalg.slogdet(c)[1], got.logdet)
+
+
+def test_no_determinant_rises_and_steps_end(spark, monkeypatch):
+    """On groups whose rows lie in many lumps, where whole cells would swing: each start's determinants fall to the last."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        for i in range(rng.choice([3, 40, 300])):
+            lump = rng.choice([(500, 520, 0, 0, 0), (420, 500, 90, 0, 30), (610, 540, 0, 200, 120)])
+            rows.append((len(rows), "en", f"s{g}", *(v + int(rng.gauss(0, 6)) * (v > 0) for v in lump)))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("g", quality.group(0)).cache()
+    seen = []
+    step = quality.concentrated
+    monkeypatch.setattr(quality, "concentrated", lambda *a: (seen.append(a[1]), step(*a))[1])
+    end = {(r.g, r.start): r.logdet for r in quality.settled(df, quality.first_estimates(df, True), True).collect()}
+    assert len(end) == 24
+    was = {}
+    for estimates in seen[1:]:
+        for r in estimates.collect():
+            assert r.logdet < was.get((r.g, r.start), 1e9) - quality.STANDS
+            was[r.g, r.start] = r.logdet
+    assert was == end
 
 
 def test_tables(spark):

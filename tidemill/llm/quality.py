@@ -3,8 +3,9 @@
 Rows that pass the base rules give statistics, of which logarithms are taken: words, letters a word, symbols a word,
 repeated lines and repeated words. Each language and source has its minimum-covariance-determinant estimate: from
 several starts (median and spread of each statistic, and the signs around the median), concentration steps take the
-SHARE of rows nearest by Mahalanobis distance and estimate anew, until determinants stand; the start that ends with the
-least is kept. Languages and all rows together have estimates too: that of a group of n rows counts n / (n + PRIOR), and
+SHARE of rows nearest by Mahalanobis distance and estimate anew. Distances are counted on a fine grid; of the cell that the
+last ones lie in, as much counts as makes the share exact. A start goes on as long as a step lowers its determinant by
+STANDS or more (of its logarithm), and keeps the least; the start that ends with the least is taken. Languages and all rows together have estimates too: that of a group of n rows counts n / (n + PRIOR), and
 its language's, in the same way blended with that of all rows, the rest. So a source with few rows is judged much as its
 language is, one with many by itself, and nothing switches in between.
 
@@ -19,6 +20,7 @@ Nulls: a null text has no words; null language and source are values of their ow
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +32,7 @@ from tidemill.llm.common import WORD_REGEX, stored, table
 #: Fixed values of the contract.
 SYMBOLS, LEAST_WORDS, MOST_REPEAT_PERCENT = r"[#*$%&|<>]", 50, 50
 STATS = ["s_words", "s_length", "s_symbols", "s_lines", "s_repeats"]
-SCALE, FLOOR, SHARE, PRIOR, MOST_STEPS, STANDS = 100, 0.25, 0.75, 200, 20, 1e-3
+SCALE, FLOOR, SHARE, PRIOR, MOST_STEPS, STANDS = 100, 0.25, 0.75, 200, 100, 1e-3
 #: Quantiles 0.25, 0.5 and 0.75 of chi-square with 5 degrees of freedom.
 CHI2_LOW, CHI2_HALF, CHI2_HIGH = 2.6746, 4.3515, 6.6257
 CUTOFF = CHI2_HIGH * (CHI2_HIGH / CHI2_LOW) ** 3
@@ -104,17 +106,18 @@ def group(level: int) -> Column:
     return F.xxhash64(F.lit(level), *[x for n in names for x in (F.col(n).isNull(), F.coalesce(n, F.lit("")))])
 
 
-def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(g and STATS of rows, once for each of a row's groups; g0, g1, g2 and n0, n1, the numbers of rows of the first two)."""
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(g and STATS of rows, once for each of a row's groups; g0, g1, g2 and n0, n1, the numbers of rows of the first two;
+    whether the groups are few)."""
     keys = [group(i) for i in range(3)]
     groups = rows.select(*[k.alias(f"g{i}") for i, k in enumerate(keys)]).groupBy("g0", "g1", "g2").agg(F.count(F.lit(1)).alias("n0"))
     groups = stored(groups.withColumn("n1", F.sum("n0").over(Window.partitionBy("g1"))), "quality-groups")
-    return stored(rows.select(F.explode(F.array(*keys)).alias("g"), *STATS), "quality-rows"), groups
+    return stored(rows.select(F.explode(F.array(*keys)).alias("g"), *STATS), "quality-rows"), groups, groups.count() <= BROADCAST_GROUPS
 
 
-def joined(rows: DataFrame, groups: DataFrame, on, how: str = "inner") -> DataFrame:
+def joined(rows: DataFrame, groups: DataFrame, on, few: bool, how: str = "inner") -> DataFrame:
     """rows with their group's columns: by broadcast if the groups are few, else shuffled, the groups once for each salt."""
-    if groups.count() <= BROADCAST_GROUPS:
+    if few:
         return rows.join(F.broadcast(groups), on, how)
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = rows.withColumn("own_salt", F.pmod(F.xxhash64(*STATS), F.lit(SALTS)).cast("int")) if "s_words" in rows.columns else rows.withColumn("own_salt", F.lit(0))
@@ -161,7 +164,7 @@ def _cell(d2: Column) -> Column:
 ESTIMATE = ["g", "start"] + [f"m_{i}" for i in range(5)] + [f"l_{i}_{j}" for j, i in PAIRS] + ["logdet"]
 
 
-def first_estimates(rows: DataFrame) -> DataFrame:
+def first_estimates(rows: DataFrame, few: bool) -> DataFrame:
     """Two starts for each group: medians with spreads, and medians with the covariance of signs times the spreads."""
     tall = rows.select("g", F.posexplode(F.array(*STATS)).alias("i", "v"))
     cells = tall.groupBy("g", "i", "v").agg(F.count(F.lit(1)).alias("c"))
@@ -183,7 +186,7 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     plain = wide
     for i, j in PAIRS:
         plain = plain.withColumn(f"c_{i}_{j}", F.col(f"sd_{i}") * F.col(f"sd_{i}") if i == j else F.lit(0.0))
-    signs = joined(rows, wide, "g")
+    signs = joined(rows, wide, "g", few)
     for i in range(5):
         signs = signs.withColumn(f"u_{i}", (F.col(STATS[i]) / SCALE - F.col(f"m_{i}")) / F.col(f"sd_{i}"))
     norm = F.sqrt(sum((F.col(f"u_{i}") * F.col(f"u_{i}") for i in range(1, 5)), F.col("u_0") * F.col("u_0")))
@@ -199,35 +202,48 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     return stored(_cholesky(starts).select(*ESTIMATE), "quality-start")
 
 
-def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """One concentration step: means and covariances of the SHARE of rows nearest to each estimate."""
-    near = _distance(joined(rows, estimates, "g")).withColumn("cell", _cell(F.col("d2")))
+    near = _distance(joined(rows, estimates, "g", few)).withColumn("cell", _cell(F.col("d2")))
     sums = [F.sum(F.col(s).cast("decimal(20,0)")).alias(f"s_{i}") for i, s in enumerate(STATS)]
     squares = [F.sum((F.col(STATS[i]) * F.col(STATS[j])).cast("decimal(20,0)")).alias(f"q_{i}_{j}") for i, j in PAIRS]
     cells = near.groupBy("g", "start", "cell").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
     every = Window.partitionBy("g", "start")
-    before = F.sum("n").over(every.orderBy("cell")) - F.col("n")
-    inside = cells.withColumn("before", before).withColumn("total", F.sum("n").over(every)).where(F.col("before") < SHARE * F.col("total"))
+    half = F.ceil(SHARE * F.sum("n").over(every))
+    inside = cells.withColumn("part", (half - (F.sum("n").over(every.orderBy("cell")) - F.col("n"))) / F.col("n")).where("part > 0")
     names = [f"s_{i}" for i in range(5)] + [f"q_{i}_{j}" for i, j in PAIRS]
-    s = inside.groupBy("g", "start").agg(F.sum("n").alias("n"), *[F.sum(x).cast("double").alias(x) for x in names])
+    # whole cells are added up exactly; at most one counts in part
+    share = lambda x: (F.coalesce(F.sum(F.when(F.col("part") >= 1, F.col(x))), F.lit(0)).cast("double") + F.coalesce(F.max(F.when(F.col("part") < 1, F.col(x).cast("double") * F.col("part"))), F.lit(0.0))).alias(x)
+    s = inside.groupBy("g", "start").agg(share("n"), *[share(x) for x in names])
     for i in range(5):
         s = s.withColumn(f"m_{i}", F.col(f"s_{i}") / F.col("n") / SCALE)
     for i, j in PAIRS:
         c = F.col(f"q_{i}_{j}") / F.col("n") / SCALE / SCALE - F.col(f"m_{i}") * F.col(f"m_{j}")
         s = s.withColumn(f"c_{i}_{j}", c + (FLOOR * FLOOR if i == j else 0))
-    return stored(_cholesky(s).select(*ESTIMATE), "quality-step")
+    return _cholesky(s).select(*ESTIMATE)
 
 
-def estimated(rows: DataFrame) -> DataFrame:
-    """The estimate of each group of rows (g, STATS), with scale, which makes the median squared distance CHI2_HALF."""
-    estimates = first_estimates(rows)
+def settled(rows: DataFrame, first: DataFrame, few: bool) -> DataFrame:
+    """The estimate of each group and start when no step lowers its determinant any more. Those that stand take no part in
+    further steps. Every step that goes on lowers a determinant by STANDS, and none is under FLOOR's, so steps end."""
+    going = stored(concentrated(rows, first, few), "quality-step")
+    out = []
     for _ in range(MOST_STEPS):
-        last, estimates = estimates, concentrated(rows, estimates)
-        fell = last.select("g", "start", F.col("logdet").alias("was")).join(estimates, ["g", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        if fell is None or fell < STANDS:
-            break
+        was = going.select("g", "start", F.col("logdet").alias("was"))
+        lower = concentrated(rows, going, few).join(was, ["g", "start"]).where(F.col("logdet") < F.col("was") - STANDS)
+        lower = stored(lower.select(*ESTIMATE), "quality-step")
+        out.append(going.join(lower.select("g", "start"), ["g", "start"], "left_anti"))
+        going = lower
+        if going.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, out)
+    raise RuntimeError(f"estimates did not stand in {MOST_STEPS} steps")
+
+
+def estimated(rows: DataFrame, few: bool) -> DataFrame:
+    """The estimate of each group of rows (g, STATS), with scale, which makes the median squared distance CHI2_HALF."""
+    estimates = settled(rows, first_estimates(rows, few), few)
     best = stored(estimates.groupBy("g").agg(F.min_by(F.struct(*ESTIMATE[1:]), F.struct("logdet", "start")).alias("e")).select("g", "e.*"), "quality-best")
-    cells = _distance(joined(rows, best, "g")).withColumn("cell", _cell(F.col("d2"))).groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = _distance(joined(rows, best, "g", few)).withColumn("cell", _cell(F.col("d2"))).groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("g")
     half = cells.withColumn("upto", F.sum("n").over(every.orderBy("cell"))).withColumn("total", F.sum("n").over(every)).where("2 * upto >= total")
     scale = half.groupBy("g").agg(F.least(F.lit(1.0), CHI2_HALF / F.pow(F.lit(2.0), (F.min("cell") + 1) / GRID)).alias("scale"))
@@ -254,9 +270,9 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in ("lang", "source")]
     rows = stored(statistics(counts(docs.withColumns({c: F.col(c).cast("string") for c in ("lang", "source")}), [*keep, "lang", "source"])), "quality-counts")
     good = rows.where("NOT base_failed")
-    levels, groups = grouped(good)
-    estimates = blended(groups, estimated(levels))
-    far = _distance(joined(good.withColumn("g0", group(0)), estimates, "g0", "left")).withColumn("d2", F.col("d2") * F.col("scale"))
+    levels, groups, few = grouped(good)
+    estimates = blended(groups, estimated(levels, few))
+    far = _distance(joined(good.withColumn("g0", group(0)), estimates, "g0", few, "left")).withColumn("d2", F.col("d2") * F.col("scale"))
     names = [*keep, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = rows.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     bad = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
