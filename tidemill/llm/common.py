@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators.stored import dropped, mark, shared_folder, stored
+from tidemill.operators.stored import dropped, mark, scratch, shared_folder, stored
 
-__all__ = ["SPACE_CLASS", "WORD_REGEX", "clash_free", "dropped", "mark", "marked", "marks", "shared_folder", "stored", "table"]
+__all__ = ["SPACE_CLASS", "WORD_REGEX", "clash_free", "dropped", "filter_bits", "mark", "marked", "marks", "scratch", "shared_folder", "stored", "table"]
 
 #: What separates words (the ASCII white space), and what a word is.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -34,6 +35,16 @@ def marks(rows: DataFrame, name: str) -> DataFrame:
     return stored(bits, name)
 
 
+def filter_bits(rows: DataFrame, name: str = "item") -> np.ndarray:
+    """Bits by the last bits of a column of whole numbers, MARK_BITS / 8 bytes whatever the table's size: what may be among them."""
+    x = F.pmod(F.col(name), F.lit(MARK_BITS)) + 1
+    bits = rows.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros((MARK_BITS // 32768, 4096), np.uint8)
+    for r in bits.collect():
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
 def marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
     """docs with `marked`: false only if the row's doc_id is not among the marked ones."""
     x = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)) + 1

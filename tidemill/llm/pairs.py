@@ -4,9 +4,10 @@ Each set's values are read once. Then, with as few comparisons as connect the sa
 
 1. each item is compared with the least item that it is a candidate with: as many comparisons as items;
 2. candidates that are not in one component by then are compared, pair by pair; what hot tokens join (`hot`) stands for
-   all pairs of its candidates' component, and one that is in pieces meets LEADERS of its sets, drawn at random;
-3. of what is in pieces still, sets that share a shingle of their prefixes are compared, where shingles that are rare
-   among the component's sets come first: variants that differ in rare shingles enough share none;
+   all pairs of its candidates' component, and one that is in pieces meets LEADERS of its sets, those with the most
+   shingles that half of its sets have and the fewest others;
+3. of what is in pieces still, sets outside of the largest piece are compared with those that have a shingle of their
+   prefix, where shingles that are rare among the component's sets come first: variants that differ enough share none;
 4. sets that hang together by prefix shingles of very many are compared in blocks: those outside of the largest piece
    with all that their size allows, each two blocks a task's work.
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import marked, marks, stored
+from tidemill.llm.common import MARK_BITS, filter_bits, marked, marks, stored
 from tidemill.llm.components import components
 from tidemill.llm.shingles import forest, linked_pairs, shared_counts, shingle_set
 
@@ -133,31 +134,80 @@ def blockwise(members: DataFrame, sets: DataFrame, percent: int, screen: Screen
     return tasks.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def group_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """token, item, n: of each member's prefix, rare ones among its group first, the shingles that others have too."""
+def shingle_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """group, shingle, c: how many of a group's members (group, item) have each shingle, added up in each batch first."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(1)]
+            shingle = np.concatenate(own) if own else np.zeros(0, np.int64)
+            group = np.repeat(batch.column(0).to_numpy(), [len(v) for v in own])
+            order = np.lexsort((shingle, group))
+            group, shingle = group[order], shingle[order]
+            first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (shingle[1:] != shingle[:-1]))[: len(group)])
+            yield pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(shingle[first]), pa.array(np.diff(np.append(first, len(group))))], names=["group", "shingle", "c"])
+
+    held = members.join(sets.select("item", "values").hint("merge"), "item").select("group", "values")
+    return held.mapInArrow(tasks, "group long, shingle long, c long").groupBy("group", "shingle").agg(F.sum("c").alias("c"))
+
+
+def leaders(members: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """group, l (item, piece): of each of LEADERS parts of a group's members (group, item, piece) the one that is most of the
+    others' kind: most shingles that half of the group has, least others. What is similar to any member is so to such ones,
+    mostly. Shingles that half of a group has are twice as many as a member has, at most."""
+    size = stored(members.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "pairs-sizes")
+    common = counts.join(size, "group").where("2 * c >= size").groupBy("group").agg(F.sort_array(F.collect_list("shingle")).alias("common"))
+    common = stored(common, "pairs-common")
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                shingles = pa.array(np.frombuffer(batch.column(3)[i].as_py(), np.int64))
-                own = pa.array(np.full(len(shingles), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), shingles], names=["group", "item", "n", "shingle"])
-
-    held = members.join(sets.select("item", "values").hint("merge"), "item").select("group", "item", "n", "values")
-    rows = stored(held.mapInArrow(spread, "group long, item long, n int, shingle long"), "pairs-shingles")
-    counts = stored(rows.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "pairs-counts")
-    shared = rows.join(counts.hint("merge"), ["group", "shingle"])
+            score = [2 * int(np.isin(np.frombuffer(v.as_py(), np.int64), c.values.to_numpy()).sum()) - len(v.as_py()) // 8 if c.is_valid else -(len(v.as_py()) // 8) for v, c in zip(batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.int64())], names=["group", "item", "piece", "score"])
+
+    held = members.join(sets.select("item", "values").hint("merge"), "item").join(common.hint("merge"), "group", "left")
+    scored = held.select("group", "item", "piece", "values", "common").mapInArrow(tasks, "group long, item long, piece long, score long")
+    draw = F.pmod(F.xxhash64("item"), F.lit(LEADERS))
+    return scored.groupBy("group", draw.alias("draw")).agg(F.max_by(F.struct("item", "piece"), F.struct("score", "item")).alias("l")).drop("draw")
+
+
+def group_prefixes(members: DataFrame, sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """token, item, n: of each member outside of its group's largest piece, of its prefix (rare ones among the group first),
+    the shingles that others have too; and of all members those of their shingles that are among these."""
+    sizes = members.groupBy("group", "piece").agg(F.count(F.lit(1)).alias("rows"))
+    largest = stored(sizes.groupBy("group").agg(F.max_by("piece", F.struct("rows", "piece")).alias("largest")), "pairs-largest")
+    outside = members.join(largest, "group").where("piece <> largest").select("group", "item", "n")
+    names = ["group", "item", "n", "shingle"]
+
+    def spread(keep) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    shingles = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
+                    if keep is not None:
+                        at = shingles & (MARK_BITS - 1)
+                        shingles = shingles[(keep.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                    own = pa.array(np.full(len(shingles), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(shingles)], names=names)
+
+        return tasks
+
+    schema = "group long, item long, n int, shingle long"
+    valued = lambda rows: rows.join(sets.select("item", "values").hint("merge"), "item").select("group", "item", "n", "values")
+    shared = valued(outside).mapInArrow(spread(None), schema).join(counts.where("c > 1").hint("merge"), ["group", "shingle"])
     of_item = Window.partitionBy("group", "item")
     rank = F.row_number().over(of_item.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(of_item)  # those that no other has come first
     prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    return shared.withColumn("rank", rank).where(F.col("rank") <= prefix).select(F.xxhash64("group", "shingle").alias("token"), "item", "n")
+    own = stored(shared.withColumn("rank", rank).where(F.col("rank") <= prefix).select(*names), "pairs-outside")
+    bits = members.sparkSession.sparkContext.broadcast(filter_bits(own.select("shingle"), "shingle"))
+    met = valued(members.select("group", "item", "n")).mapInArrow(spread(bits), schema).join(own.select("group", "shingle").distinct().hint("merge"), ["group", "shingle"])
+    return met.select(F.xxhash64("group", "shingle").alias("token"), "item", "n")
 
 
-def left_over(members: DataFrame, sets: DataFrame, percent: int, screen: Screen | None, block: int) -> DataFrame:
+def left_over(members: DataFrame, sets: DataFrame, counts: DataFrame, percent: int, screen: Screen | None, block: int) -> DataFrame:
     """Links (a, b) between pieces of groups (members: group, item, n, piece), by prefixes, then by blocks."""
     from tidemill.llm.ngram_join import candidates
 
-    found = stored(candidates(group_prefixes(members, sets, percent), percent, orders=1), "pairs-prefixes")
+    found = stored(candidates(group_prefixes(members, sets, counts, percent), percent, orders=1), "pairs-prefixes")
     end = lambda x: members.select(F.col("item").alias(x), F.col("piece").alias(f"of_{x}")).hint("merge")
     cross = found.where("NOT hot").join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select("a", "b", "hot")
     links = verified(cross, sets, percent)
@@ -196,11 +246,11 @@ def similar_components(candidates: DataFrame, sets: DataFrame, percent: int, scr
     hot = stored(candidates.where("hot").join(whole, F.col("a") == F.col("node")).select(F.col("component").alias("group")).distinct(), "pairs-hot")
     groups = whole.withColumnRenamed("component", "group").join(hot, "group").join(sets.select(F.col("item").alias("node"), "n").hint("merge"), "node")
     members = pieces(groups.select("group", F.col("node").alias("item"), "n"), known)
-    draw = F.pmod(F.xxhash64("item"), F.lit(LEADERS))
-    leader = stored(members.groupBy("group", draw.alias("draw")).agg(F.min_by(F.struct("item", "piece"), F.xxhash64("item", F.lit(1))).alias("l")).drop("draw"), "pairs-leaders")
+    counts = stored(shingle_counts(members, sets), "pairs-counts")
+    leader = stored(leaders(members, sets, counts), "pairs-leaders")
     meet = members.join(leader, "group").where("piece <> l.piece").select(F.least("item", "l.item").alias("a"), F.greatest("item", "l.item").alias("b"), F.lit(True).alias("hot"))
     known = grown(known, verified(rest.unionByName(meet), sets, percent, screen))
     members = pieces(members.drop("piece"), known)
     if members.limit(1).count() == 0:
         return known
-    return grown(known, left_over(members, sets, percent, screen, block))
+    return grown(known, left_over(members, sets, counts, percent, screen, block))

@@ -5,8 +5,8 @@ near copies inside longer lines are met too. Each of LEAST words or more gets a
 shingles, in as many bands as tuned() finds for the recall wanted; those that collide in a band are compared exactly
 (Jaccard similarity of at least 80 percent), and what is similar, or similar to similar ones, is a class. Lines meet
 lines and sentences meet sentences, so that no line meets its own; a line of one sentence is both. Sets of under
-LEAST_BANDED shingles can only be similar if they are equal, and need no bands. Shorter paragraphs than LEAST words are
-no passages by themselves; `least_words` sets another bound.
+LEAST_BANDED shingles can only be similar if they are equal, and need no bands. Paragraphs of fewer words than a shingle
+has are phrases, and stay; `least_words` sets another bound.
 
 For passages that keep to no such boundaries there are windows of WINDOW words, placed by content: at the least shingle
 of each STEP successive ones, so that any run of WINDOW + STEP - 1 words that texts share has a window that they share.
@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import MARK_BITS, marked, marks, stored, table
+from tidemill.llm.common import MARK_BITS, filter_bits, marked, marks, stored, table
 from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, tallied, thinned
 from tidemill.llm.pairs import item_sets, similar_components
 from tidemill.llm.shingles import mixed, shingles, word_hashes
 
-K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 16, 13
-WINDOW, STEP = 26, 24
+K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 24, 5
+WINDOW, STEP = 16, 12
 #: n / (n + 1) is the most that unequal sets reach of which the smaller has n.
 LEAST_BANDED = PERCENT // (100 - PERCENT)
 CHUNK_BYTES = 1 << 20
@@ -192,16 +192,6 @@ def bands(docs: DataFrame, least_words: int = LEAST, local: int = LOCAL) -> Data
 FOUND = "item long, more long, doc_id long, h long, start int, length int, window boolean"
 
 
-def filter_bits(items: DataFrame) -> np.ndarray:
-    """Bits by the items' last bits, MARK_BITS / 8 bytes whatever the table's size: what may be among the items."""
-    x = F.pmod(F.col("item"), F.lit(MARK_BITS)) + 1
-    rows = items.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    out = np.zeros((MARK_BITS // 32768, 4096), np.uint8)
-    for r in rows.collect():
-        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
-
-
 def found_units(docs: DataFrame, wanted: DataFrame, least_words: int = LEAST) -> DataFrame:
     """FOUND rows, one for each unit that may be of the wanted items: where it lies (h: the text's hash)."""
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted))

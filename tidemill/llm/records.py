@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import clash_free, shared_folder, stored, table
+from tidemill.llm.common import clash_free, scratch, stored, table
 from tidemill.llm.files import file_system
 from tidemill.llm.packing import word_tokens, word_vocabulary
 
@@ -296,5 +296,5 @@ def read_records(listed: DataFrame, ids: bool = True) -> DataFrame:
 
 def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents written as records in the shared folder, and read back through the indexes."""
-    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    folder = scratch(spark, "records")
     return read_records(entries(written(table(spark, sf_dir, "documents"), folder, word_vocabulary)), ids=False)

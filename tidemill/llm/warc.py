@@ -20,12 +20,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import shared_folder, stored, table
+from tidemill.llm.common import scratch, stored, table
+from tidemill.llm.files import file_system
 
 REVISIT_BYTES, PACKAGE_BYTES, SALTS = 1000, 4 << 20, 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -231,7 +231,7 @@ def packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES)
     takes package_bytes of records, or one. A task that runs again writes files of other names."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = file_system(folder)
         own, held = Package(), 0
 
         def out() -> pa.RecordBatch:
@@ -270,7 +270,7 @@ def read_packages(archives: DataFrame) -> DataFrame:
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, types)], names=FIELDS)
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                system, path = fs.FileSystem.from_uri(archive)
+                system, path = file_system(archive)
                 rows, held = [], 0
                 with system.open_input_file(path) as f:
                     for r in records(FileRanges(f)):
@@ -288,7 +288,7 @@ def read_packages(archives: DataFrame) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: pages written as packages in the shared folder, and read back by ranges."""
-    folder = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
+    folder = scratch(spark, "packages")
     archives = stored(packages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder), "packages-list")
     return read_packages(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
