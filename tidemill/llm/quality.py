@@ -220,18 +220,17 @@ def concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     for i, j in PAIRS:
         c = F.col(f"q_{i}_{j}") / F.col("n") / SCALE / SCALE - F.col(f"m_{i}") * F.col(f"m_{j}")
         s = s.withColumn(f"c_{i}_{j}", c + (FLOOR * FLOOR if i == j else 0))
-    return _cholesky(s).select(*ESTIMATE)
+    return stored(_cholesky(s).select(*ESTIMATE), "quality-step")
 
 
 def settled(rows: DataFrame, first: DataFrame, few: bool) -> DataFrame:
     """The estimate of each group and start when no step lowers its determinant any more. Those that stand take no part in
     further steps. Every step that goes on lowers a determinant by STANDS, and none is under FLOOR's, so steps end."""
-    going = stored(concentrated(rows, first, few), "quality-step")
-    out = []
+    going, out = concentrated(rows, first, few), []
     for _ in range(MOST_STEPS):
         was = going.select("g", "start", F.col("logdet").alias("was"))
         lower = concentrated(rows, going, few).join(was, ["g", "start"]).where(F.col("logdet") < F.col("was") - STANDS)
-        lower = stored(lower.select(*ESTIMATE), "quality-step")
+        lower = stored(lower.select(*ESTIMATE), "quality-lower")
         out.append(going.join(lower.select("g", "start"), ["g", "start"], "left_anti"))
         going = lower
         if going.limit(1).count() == 0:
