@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
-from tidemill.operators import edits, knowledge, paging, ranking, usage
+from tidemill.operators import edits, knowledge, lineage, paging, ranking, usage
 from tidemill.operators.privacy import detect, markers, policy, protect, values
 from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
@@ -654,6 +654,27 @@ def g23(spark, d):
     return rows.select("c_custkey", F.explode(markers.clipped(spans, F.concat("c_name", F.lit(" "), "m"))).alias("s")).select("c_custkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
+# --- lineage ---
+
+
+@query("f18_closure", "WITH RECURSIVE o AS (SELECT o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS target FROM orders WHERE o_orderpriority = '1-URGENT'), l AS (SELECT * FROM o WHERE target IS NOT NULL), c(source, target, steps) AS (SELECT source, target, 1 FROM l UNION ALL SELECT c.source, l.target, steps + 1 FROM c JOIN l ON c.target = l.source) SELECT source, target, CAST(steps AS INTEGER) AS steps FROM c")
+def f18(spark, d):
+    """Each urgent order is followed by its customer's next one: all later ones, and how many orders on."""
+    o = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    links = o.select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("target")).where("target IS NOT NULL")
+    return lineage.closure(links)
+
+
+@query("f17_domains", "WITH x AS (SELECT DISTINCT source AS \"table\", lang AS path, 1 AS r, 1 AS depth FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL UNION SELECT DISTINCT source, lang || ' › ' || source, 1, 2 FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL UNION SELECT DISTINCT source, 'all', 2, 1 FROM documents WHERE source IS NOT NULL) SELECT \"table\", CAST(row_number() OVER (PARTITION BY \"table\" ORDER BY r DESC, depth DESC, path) AS INTEGER) AS place, path FROM x")
+def f17(spark, d):
+    """Sources as tables, in domains by language, by language and source, and in a trusted one of all."""
+    docs = t(spark, d, "documents").where("source IS NOT NULL")
+    some = docs.where("lang IS NOT NULL")
+    path = lambda rows, p, rank: rows.select(p.alias("path"), "source").groupBy("path").agg(F.collect_set("source").alias("tables")).withColumn("rank", F.lit(rank))
+    domains = path(some, F.col("lang"), 1).unionByName(path(some, F.concat("lang", F.lit(" › "), "source"), 1)).unionByName(path(docs, F.lit("all"), 2))
+    return lineage.domains_of(domains)
+
+
 # --- knowledge and known values ---
 
 
