@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
-from tidemill.operators import edits, knowledge, lineage, paging, ranking, usage
+from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, usage
 from tidemill.operators.privacy import detect, markers, policy, protect, values
 from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
@@ -654,6 +654,39 @@ def g23(spark, d):
     return rows.select("c_custkey", F.explode(markers.clipped(spans, F.concat("c_name", F.lit(" "), "m"))).alias("s")).select("c_custkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
+# --- folds of a log that can be undone ---
+
+
+FOLD_SQL = """
+WITH e AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, event_type AS value, event_id % 4 AS rank, CASE WHEN event_id % 7 = 3 THEN 'undo' WHEN event_id % 23 = 5 THEN 'forget' ELSE 'learn' END AS kind,
+  CASE WHEN event_id % 7 = 3 THEN CASE WHEN event_id % 49 = 10 THEN event_id - 7 ELSE event_id - 1 END END AS target FROM events),
+u AS (SELECT * FROM e WHERE kind = 'undo'), live AS (SELECT * FROM u WHERE seq NOT IN (SELECT target FROM u)),
+s AS (SELECT * FROM e WHERE kind <> 'undo' AND key IS NOT NULL AND seq NOT IN (SELECT target FROM live)),
+f AS (SELECT key, max(seq) AS upto FROM s WHERE kind = 'forget' GROUP BY key),
+v AS (SELECT key, value, max(rank * 1000000000000 + seq) AS top, count(*) AS n FROM s LEFT JOIN f USING (key) WHERE kind = 'learn' AND value IS NOT NULL AND (upto IS NULL OR seq > upto) GROUP BY key, value),
+"""
+
+
+def event_log(spark, d):
+    """Users learn event types; each seventh event is undone by the next, some of these undos are undone again, and some events make a user forget."""
+    i = F.col("event_id")
+    undo, redo = i % 7 == 3, i % 49 == 10
+    kind = F.when(undo, "undo").when(i % 23 == 5, "forget").otherwise("learn")
+    target = F.when(undo, F.when(redo, i - 7).otherwise(i - 1))
+    return folds.sanitised(t(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), i.alias("seq"), kind.alias("kind"), F.col("event_type").alias("value"), (i % 4).cast("int").alias("rank"), target.alias("target")))
+
+
+@query("f13_folds", FOLD_SQL + "r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY top DESC) AS i FROM v) SELECT key, max(CASE WHEN i = 1 THEN value END) AS value, CAST(max(CASE WHEN i = 1 THEN top // 1000000000000 END) AS INTEGER) AS rank, max(CASE WHEN i = 1 THEN top % 1000000000000 END) AS seq, max(CASE WHEN i = 1 THEN n END) AS uses, coalesce(string_agg(CASE WHEN i > 1 AND i <= 6 THEN value END, ' ' ORDER BY i), '') AS replaced FROM r GROUP BY key")
+def f13(spark, d):
+    return folds.state(event_log(spark, d)).withColumn("replaced", F.array_join("replaced", " "))
+
+
+@query("f10_domains", FOLD_SQL + "m AS (SELECT s.key, list_sort(list(DISTINCT 't' || seq % 5)) AS tables FROM s LEFT JOIN f USING (key) WHERE kind = 'learn' AND value IS NOT NULL AND (upto IS NULL OR seq > upto) GROUP BY s.key) SELECT v.key AS path, arg_max(value, top) AS description, CAST(max(top) // 1000000000000 AS INTEGER) AS rank, array_to_string(any_value(tables), ' ') AS tables FROM v JOIN m USING (key) GROUP BY v.key")
+def f10(spark, d):
+    members = t(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string")).alias("table"))
+    return folds.domains(event_log(spark, d), members.where("key IS NOT NULL")).withColumn("tables", F.array_join("tables", " "))
+
+
 # --- lineage ---
 
 
