@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
-from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, usage
+from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, usage, vectors
 from tidemill.operators.privacy import detect, markers, policy, protect, values
 from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
@@ -110,7 +110,10 @@ def a29(spark, d):
     return cols.groupBy("table").agg(F.count(F.lit(1)).alias("columns"), F.count_if(F.col("type") == "string").alias("texts"))
 
 
-@query("d13_schema_lines")
+TYPES_SQL = "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"
+
+
+@query("d13_schema_lines", f"WITH c AS (SELECT table_name AS t, ordinal_position AS i, column_name AS c, {TYPES_SQL} AS k FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN (" + ", ".join(f"'{n}'" for n in catalog.TABLES) + f")), r AS (SELECT from_table AS t, from_column AS c, ' fk->' || to_table AS ref FROM {EDGE_SQL}) SELECT t AS \"table\", t || '(' || string_agg(c || ' ' || k || coalesce(ref, ''), ', ' ORDER BY i) || ')' AS line FROM c LEFT JOIN r USING (t, c) GROUP BY t")
 def d13(spark, d):
     return catalog.lines(catalog.columns({n: t(spark, d, n) for n in catalog.TABLES}), catalog.edges(spark))
 
@@ -196,10 +199,20 @@ def d07(spark, d):
     return ranking.fused(lexical, semantic, "vec_id").select("vec_id", F.round("score", 8).alias("score"))
 
 
-# the same for every query row of the job: ids divisible by 20 (SQL above has the first of them)
+# the same for every query row of the job: ids divisible by 20
 
+BM25_ALL_SQL = f"""
+WITH src AS (SELECT doc_id AS id, text AS txt FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE item_id % 20 = 0), {TOKENS_SQL},
+q AS (SELECT DISTINCT -1 - id AS item_id, unnest(toks) AS token FROM tok WHERE id < 0), d AS (SELECT * FROM tok WHERE id >= 0),
+n AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM d),
+p AS (SELECT id, len(toks) AS doc_len, unnest(toks) AS token FROM d),
+tf AS (SELECT id, doc_len, token, count(*) AS tf FROM p WHERE token IN (SELECT token FROM q) GROUP BY id, doc_len, token),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+SELECT item_id, id AS doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS score FROM tf JOIN df USING (token) JOIN q USING (token), n GROUP BY item_id, id
+"""
 
-@query("d04_bm25_all")
+
+@query("d04_bm25_all", BM25_ALL_SQL)
 def d04_all(spark, d):
     q = t(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.explode(X.tokens(F.col("text"))).alias("token"))
     return ranking.bm25(documents_tokens(spark, d), q, "doc_id", "toks", "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
@@ -211,12 +224,12 @@ def all_nearest(spark, d):
     return found.withColumn("score", F.round("score", 5))
 
 
-@query("d06_cosine_all")
+@query("d06_cosine_all", f"SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
 def d06_all(spark, d):
     return all_nearest(spark, d)
 
 
-@query("d07_rrf_all")
+@query("d07_rrf_all", f"WITH l AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS p FROM embeddings), s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS q FROM (SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) QUALIFY q < 50), x AS (SELECT e.vec_id AS query_id, l.* FROM embeddings e, l WHERE e.vec_id % 20 = 0) SELECT query_id, vec_id, round(1 / (60 + p) + coalesce(1 / (60 + q), 0), 8) AS score FROM x LEFT JOIN s USING (query_id, vec_id)")
 def d07_all(spark, d):
     v = t(spark, d, "embeddings")
     lexical = v.select("vec_id", F.col("label").cast("double").alias("score"))
@@ -224,6 +237,13 @@ def d07_all(spark, d):
     return ranking.fused(lexical, all_nearest(spark, d), "vec_id", queries=asked).withColumn("score", F.round("score", 8))
 
 
+@query("d22_nearest", f"SELECT a.vec_id AS query, b.vec_id AS id, round({COSINE}, 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 6) DESC, b.vec_id) AS INTEGER) AS place FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY place <= 10")
+def d22(spark, d):
+    """The ten nearest vectors of each whose id is divisible by 20, among all, through the index."""
+    v = t(spark, d, "embeddings")
+    return vectors.Index(v, lists=64).search(v.where("vec_id % 20 = 0"), 10, exact=True)
+
+
 @query("d08_whole_schema", "SELECT n_name AS name, CAST(ceil(length(n_name) / 4) AS BIGINT) AS tokens FROM nation WHERE (SELECT sum(ceil(length(n_name) / 4)) FROM nation) <= 100000")
 def d08(spark, d):
     return ranking.whole_schema(t(spark, d, "nation").select(F.col("n_name").alias("name"), X.token_estimate(F.col("n_name")).alias("tokens")), 100_000)
