@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
 from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, usage, vectors
-from tidemill.operators.privacy import detect, markers, policy, protect, values
+from tidemill.operators.privacy import detect, markers, policy, protect, values, vault
 from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
 from tidemill.streaming import answers, stateful
@@ -707,6 +707,33 @@ def f10(spark, d):
     return folds.domains(event_log(spark, d), members.where("key IS NOT NULL")).withColumn("tables", F.array_join("tables", " "))
 
 
+# --- vaults ---
+
+VAULT_SQL = "WITH d AS (SELECT DISTINCT c_name AS value, sha256('key' || chr(2) || sha256('key' || chr(1) || 'PERSON_NAME' || chr(0) || c_name))[1:24] AS pseudonym, c_custkey FROM customer)"
+
+
+def vault_of(spark, d, where="true"):
+    return vault.named(t(spark, d, "customer").where(where).select(F.lit("PERSON_NAME").alias("type"), F.col("c_name").alias("value"), (F.col("c_custkey") % 10 != 3).alias("rehydrate")), "key")
+
+
+@query("g42_merged", VAULT_SQL + " SELECT 'PERSON_NAME' AS identity, value, pseudonym, bool_and(c_custkey % 10 <> 3) AS rehydrate FROM d GROUP BY value, pseudonym")
+def g42(spark, d):
+    """Three batches of customers that overlap, merged one after the other."""
+    parts = [vault_of(spark, d, w) for w in ("c_custkey % 3 = 1", "c_custkey % 2 = 0", "c_custkey % 3 <> 1 OR c_custkey % 5 = 0")]
+    return vault.merged(vault.merged(parts[2], parts[0]), parts[1])
+
+
+@query("g47_sealed_sql", "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name = (SELECT max(c_name) FROM customer WHERE c_custkey % 10 <> 3) OR c_name LIKE (SELECT min(c_name) FROM customer WHERE c_custkey % 10 <> 3) || '%'")
+def g47(spark, d):
+    """A statement about two customers, whose names it has as pseudonyms."""
+    names = vault_of(spark, d)
+    t(spark, d, "orders").createOrReplaceTempView("__g47_orders")
+    t(spark, d, "customer").createOrReplaceTempView("__g47_customer")
+    ends = names.where("rehydrate").agg(F.max_by("pseudonym", "value").alias("last"), F.min_by("pseudonym", "value").alias("first")).first()
+    sql = f"SELECT o_orderkey, o_custkey FROM __g47_orders JOIN __g47_customer ON o_custkey = c_custkey WHERE c_name = '[[pii:PERSON:{ends['last']}]]' OR c_name LIKE '[[pii:PERSON:{ends['first']}]]%'"
+    return vault.opened(spark, sql, names)
+
+
 # --- lineage ---
 
 
