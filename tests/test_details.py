@@ -61,3 +61,19 @@ def test_registered_function(spark):
     assert rows.t == ["customer", "orders", "order", "listed"] and rows.m == "1111"
     df = spark.createDataFrame([("a b",), (None,)], "x string").select(F.expr("text_tokens(x)").alias("t"))
     assert [r.t for r in df.collect()] == [[], []]
+
+
+FAMILIES = [
+    ("INTEGER", "int", "int"), ("bigint(20)", "int", "int"), ("int8", "int", "int"), ("tinyint", "int", "tinyint"), ("unsigned big int", "int", "unsigned big int"), ("bigserial", "int", "int"),
+    ("double precision", "float", "float"), ("numeric( 10 , 2 )", "float", "numeric"), ("DECIMAL(5,2)", "float", "numeric"), ("money", "float", "numeric"), ("number", "float", "number"),
+    ("timestamp(3) with time zone", "datetime", "timestamptz"), ("timestamp without  time zone", "datetime", "timestamp"), ("timestamp_ntz", "datetime", "timestamp_ntz"), ("date", "date", "date"), ("interval year to month", "time", "interval year to month"),
+    ("jsonb", "json", "jsonb"), ("bytea", "blob", "bytea"), ("uuid", "uuid", "uuid"), ("character varying(20)", "text", "text"), ("NVARCHAR(5)", "text", "text"), ("enum('a','b')", "text", "enum('a','b')"), ("text[]", "array", "text[]"), ("array<int>", "array", "array<int>"),
+    ("boolean", "bool", "bool"), ("my   type", "other", "my type"), ("", "other", ""), ("point", "other", "point"),
+]
+
+
+def test_type_families_and_short_names(spark):
+    from tidemill.functions import text as X
+
+    got = spark.createDataFrame([(i, d) for i, (d, _, _) in enumerate(FAMILIES)], "i int, d string").select("i", X.type_family(F.col("d")).alias("f"), X.compact_type(F.col("d")).alias("s")).orderBy("i").collect()
+    assert [(r.f, r.s) for r in got] == [(f, s) for _, f, s in FAMILIES]

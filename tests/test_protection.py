@@ -75,7 +75,10 @@ CASES = [
     ("milk expires March 2027", None, None), ("medical license number: MD-123456", "medical-license", "MD-123456"), ("device id: A1B2-C3D4", "device-id", "A1B2-C3D4"),
     ("VIN: 1M8GDM9A1KP042788", "vin-labelled", "1M8GDM9A1KP042788"), ("call 030 1234 5678 now", "phone-grouped", "030 1234 5678"), ("ratio 030 1234 5678", None, None),
     ("she lives at 12 Baker Street", "lives-at", "12 Baker Street"), ("he works for Acme Corp today", "works-at", "Acme Corp"), ("my wife Anna Lee left", "relative-name", "Anna Lee"),
-    ("Dear John Smith, thanks", "greeted-name", "John Smith"), ("Dear customer", None, None), ("меня зовут Иван Петров.", "introduced-script", "Иван Петров"),
+    ("Dear John Smith, thanks", "greeted-name", "John Smith"), ("Dear customer", None, None), ("call 07700 900123", "phone-uk-mobile", "07700 900123"), ("call 07700 900 123", "phone-uk-mobile", "07700 900 123"), ("07700900123x", None, None),
+    ("host fe80::1ff:fe23:4567:890a up", "ipv6", "fe80::1ff:fe23:4567:890a"), ("at 12:30:45 o'clock", None, None), ("mac 00:1B:44:11:3a:b7", "mac", "00:1B:44:11:3a:b7"), ("mac 00-1B:44-11:3a-b7", None, None),
+    ("Ottawa K1A 0B1", "ca-postcode", "K1A 0B1"), ("Ottawa D1A 0B1", None, None), ("to P.O. Box 1234", "po-box", "P.O. Box 1234"), ("IBAN DE89 3704 0044 0532 0130 00", "iban", "DE89 3704 0044 0532 0130 00"), ("IBAN DE89370400440532013000", "iban", "DE89370400440532013000"),
+    ("card 3782 822463 10005", "card", "3782 822463 10005"), ("card 4111-1111-1111-1111", "card", "4111-1111-1111-1111"), ("меня зовут Иван Петров.", "introduced-script", "Иван Петров"),
 ]
 
 

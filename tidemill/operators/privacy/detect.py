@@ -116,9 +116,9 @@ RULES = [
     _rule("password", "PASSWORD", 0.9, r"\b(?:password|passwd|pwd|passphrase)[\"']?\s*(?:is|:|=)\s*[\"']?(?P<v>[^\s\"',;]{3,100})", flags=_I, hint=("pass", "pwd",)),
     _rule("cvv", "CVV", 0.9, r"\b(?:cvv2?|cvc2?|security code)\b\s*(?:is|:|=|#)?\s*(?P<v>\d{3,4})\b", flags=_I, hint=("cvv", "cvc", "security code",), digit=True),
     _rule("card-expiry", "CARD_EXPIRATION", 0.85, r"\b(?:exp(?:iry|ires|iration)?(?: date)?|valid (?:thru|until))\b\.?\s*(?:is|:|=)?\s*(?P<v>(?:0[1-9]|1[0-2])\s?[/-]\s?(?:20)?\d{2})\b", flags=_I, hint=("exp", "valid",), digit=True),
-    _rule("card", "CREDIT_CARD_NUMBER", 0.97, r"(?<![\w.-])(?P<v>\d(?:[ -]?\d){12,18})(?![\w-])", card, validated=True, digit=True),
+    _rule("card", "CREDIT_CARD_NUMBER", 0.97, r"(?<![\w-])(?<!\.)(?P<v>\d{13,19}|\d{4}(?P<sep>[ -])(?:\d{6}(?P=sep)\d{4,5}|(?:\d{4}(?P=sep)){2}\d{4}(?:(?P=sep)\d{3})?))(?![\w-])", card, validated=True, digit=True),
     _rule("card-last4", "CREDIT_CARD_NUMBER", 0.7, r"\b(?:ending(?: in| with)?|last (?:four|4)(?: digits)?)\s*(?:are|is|:)?\s*(?P<v>\d{4})\b", near=_CARD_WORDS, before=60, flags=_I, hint=("ending", "last four", "last 4",), digit=True),
-    _rule("iban", "IBAN", 0.97, r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b", iban, validated=True, digit=True),
+    _rule("iban", "IBAN", 0.97, r"\b(?P<v>[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))\b", iban, validated=True, digit=True),
     _rule("routing", "ROUTING_NUMBER", 0.85, r"\b(?P<v>\d{9})\b", routing, near=r"routing|aba|rtn", before=40, digit=True),
     _rule("bank-account", "BANK_ACCOUNT_NUMBER", 0.8, r"\b(?:bank|checking|savings) (?:account|acct)" + _LABEL + r"(?P<v>\d[\d -]{5,20}\d)\b", flags=_I, hint=("account", "acct",), digit=True),
     _rule("ssn", "SSN", 0.9, r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])", ssn, validated=True, digit=True),
@@ -135,13 +135,13 @@ RULES = [
     _rule("email", "EMAIL_ADDRESS", 0.97, r"(?<![\w.+-])(?P<v>[A-Za-z0-9_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24})\b", lambda v: ".." not in v, validated=True, hint=("@",)),
     _rule("phone-international", "PHONE_NUMBER", 0.9, r"(?<![\w+])(?P<v>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4})\b", lambda v: 8 <= len(_digits(v)) <= 15, hint=("+",), digit=True),
     _rule("phone-nanp", "PHONE_NUMBER", 0.9, r"(?<![\w.-])(?P<v>(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4})(?![\w-])", digit=True),
-    _rule("phone-uk-mobile", "PHONE_NUMBER", 0.85, r"(?<!\w)(?P<v>07\d{3} ?\d{3} ?\d{3})\b", digit=True),
+    _rule("phone-uk-mobile", "PHONE_NUMBER", 0.85, r"(?<!\w)(?P<v>0(?=7)(?:\d{10}|\d{4} (?:\d{6}|\d{3} \d{3})))\b", digit=True),
     _rule("phone-local", "PHONE_NUMBER", 0.8, r"(?<![\w-])(?P<v>\d{3}[ .-]\d{4})(?![\w-])", near=_PHONE_WORDS, before=48, after=16, digit=True),
     _rule("phone-digits", "PHONE_NUMBER", 0.75, r"\b(?P<v>\d{10,11})\b", near=_PHONE_WORDS, before=48, after=16, digit=True),
     _rule("url", "URL", 0.9, r"\b(?P<v>(?:https?|ftp)://[^\s<>\"']{3,500}[^\s<>\"'.,;:!?)\]])", hint=("://",)),
     _rule("ipv4", "IP_ADDRESS", 0.95, r"(?<![\w.])(?P<v>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)", address, validated=True, digit=True),
-    _rule("ipv6", "IP_ADDRESS", 0.9, r"(?<![\w:])(?P<v>[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:])", address, validated=True, hint=(":",)),
-    _rule("mac", "MAC_ADDRESS", 0.9, r"(?<![\w:-])(?P<v>[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\2){4}[0-9A-Fa-f]{2})(?![\w:-])", validated=True),
+    _rule("ipv6", "IP_ADDRESS", 0.9, r"(?<![\w:.])(?P<v>(?=[^\s:]*:[^\s:]*:)[0-9A-Fa-f:]{3,39})(?![\w:])", address, validated=True, hint=(":",)),
+    _rule("mac", "MAC_ADDRESS", 0.9, r"(?<![\w:-])(?P<v>(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2})(?![\w:-])", validated=True),
     _rule("imei", "DEVICE_ID", 0.95, r"\bimei" + _LABEL + r"(?P<v>\d{15})\b", luhn, validated=True, flags=_I, hint=("imei",), digit=True),
     _rule("uuid", "OTHER_UNIQUE_IDENTIFIER", 0.85, r"\b(?P<v>[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", validated=True, flags=_I, hint=("-",)),
     _rule("vin", "VEHICLE_IDENTIFIER", 0.95, r"\b(?P<v>[A-HJ-NPR-Z0-9]{17})\b", vin, validated=True, digit=True),
@@ -155,11 +155,11 @@ RULES = [
     _rule("username", "USERNAME", 0.8, r"\b(?:user ?name|login|user id)\s*(?:is|:|=)\s*[\"']?(?P<v>[\w.-]{3,40})", flags=_I, hint=("user", "login",)),
     _rule("handle", "USERNAME", 0.7, r"(?<![\w@.])(?P<v>@[A-Za-z_]\w{2,29})\b(?!\.\w)", hint=("@",)),
     _rule("street-address", "STREET_ADDRESS", 0.85, r"\b(?P<v>\d{1,6} (?:[NSEW]\.? )?(?:[A-Z][\w'-]{1,20} ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Place|Pl|Terrace|Square)\b\.?)", digit=True),
-    _rule("po-box", "STREET_ADDRESS", 0.85, r"\b(?P<v>P\.? ?O\.? Box \d{1,7})\b", flags=_I, hint=("box",), digit=True),
+    _rule("po-box", "STREET_ADDRESS", 0.85, r"\b(?P<v>(?:post\s+office|p\.?\s?o\.?)\s+box\s+#?\d+)\b", flags=_I, hint=("box",), digit=True),
     _rule("zip-after-state", "POSTAL_CODE", 0.85, r"\b[A-Z][a-z]+,? [A-Z]{2} (?P<v>\d{5}(?:-\d{4})?)\b", digit=True),
     _rule("postal-labelled", "POSTAL_CODE", 0.85, r"\b(?:zip|postal|post) ?code\s*(?:is|:|=)?\s*(?P<v>[A-Z0-9][A-Z0-9 -]{2,9}[A-Z0-9])\b", has_digit, flags=_I, hint=("zip", "post",), digit=True),
     _rule("uk-postcode", "POSTAL_CODE", 0.8, r"\b(?P<v>[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2})\b", digit=True),
-    _rule("ca-postcode", "POSTAL_CODE", 0.8, r"\b(?P<v>[ABCEGHJ-NPRSTVXY]\d[A-Z] ?\d[A-Z]\d)\b", digit=True),
+    _rule("ca-postcode", "POSTAL_CODE", 0.8, r"\b(?P<v>(?![DFIOQUWZ])[A-Z]\d(?![DFIOQU])[A-Z] ?\d(?![DFIOQU])[A-Z]\d)\b", digit=True),
     _rule("titled-name", "PERSON_NAME", 0.9, r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? (?P<v>[A-Z][\w'-]+(?: [A-Z][\w'-]+){0,2})", hint=("Mr", "Ms", "Dr", "Prof",)),
     _rule("introduced-name", "PERSON_NAME", 0.85, r"\b(?:[Mm]y name is|[Nn]amed|[Nn]ame:) (?P<v>[A-Z][\w'-]+(?: [A-Z][\w'-]+){0,2})", hint=("y name is", "amed", "ame:",)),
     _rule("password-bare", "PASSWORD", 0.8, r"\b(?:password|passcode|pwd)\s+(?P<v>(?=[^\s\"',;]{0,63}\d)(?=[^\s\"',;]{0,63}[A-Za-z])[^\s\"',;]{6,64})", lambda v: not v.isalnum() or sum(map(str.isdigit, v)) > 1, flags=_I, hint=("pass", "pwd"), digit=True),
@@ -228,17 +228,49 @@ def detected(df: DataFrame, text: str = "text", spans: str = "spans", types: lis
 
 #: Last words and whole names of columns, and what they hold; the first rule that fits.
 NAME_RULES = [
-    ("PASSWORD", "password passwd pwd passphrase"), ("PRIVATE_KEY", "private_key ssh_key"), ("API_KEY", "api_key apikey secret_key client_secret"), ("ACCESS_TOKEN", "token access_token refresh_token session_token jwt"),
-    ("EMAIL_ADDRESS", "email email_address mail e_mail"), ("PHONE_NUMBER", "phone telephone mobile cell fax msisdn phone_number"), ("SSN", "ssn social_security_number"), ("NATIONAL_ID", "national_id nino citizen_id"),
-    ("PASSPORT_NUMBER", "passport passport_number passport_no"), ("DRIVER_LICENSE", "driver_license driving_licence drivers_license"), ("TAX_ID", "tax_id tin ein vat_number"), ("MEDICAL_RECORD_NUMBER", "mrn medical_record_number"),
-    ("CREDIT_CARD_NUMBER", "card_number credit_card cc_number pan"), ("CVV", "cvv cvc"), ("IBAN", "iban"), ("ROUTING_NUMBER", "routing_number aba"), ("BANK_ACCOUNT_NUMBER", "bank_account account_number"),
-    ("IP_ADDRESS", "ip ip_address client_ip"), ("MAC_ADDRESS", "mac mac_address"), ("DEVICE_ID", "device_id imei"), ("VEHICLE_IDENTIFIER", "vin"), ("DATE_OF_BIRTH", "dob birthdate birthday date_of_birth"), ("AGE", "age"),
-    ("USERNAME", "username login user_name handle"), ("EMPLOYEE_ID", "employee_id"), ("CUSTOMER_ID", "custkey customer_id"), ("STREET_ADDRESS", "address street street_address"), ("POSTAL_CODE", "zip zipcode postcode postal_code"),
-    ("CARD_EXPIRATION", "card_expiry card_exp expiry exp_date exp_month exp_year"), ("HEALTH_INSURANCE_ID", "insurance_id policy_number subscriber_id member_id"), ("MEDICAL_LICENSE", "npi dea_number medical_license"),
-    ("LICENSE_PLATE", "plate plate_number license_plate number_plate"), ("ACCOUNT_ID", "account_id acct_id"), ("BIOMETRIC_IDENTIFIER", "biometric fingerprint_template face_id voiceprint retina_scan"),
-    ("LOCATION", "latitude longitude lat lng lon geolocation coordinates gps"), ("EMPLOYER", "employer company organization organisation workplace"), ("OCCUPATION", "occupation profession job_title"), ("STATE", "province state_code county"),
-    ("CITY", "city town"), ("COUNTRY", "country nation"), ("URL", "url website homepage"), ("PERSON_NAME", "first_name last_name full_name surname fullname"),
-]
+    ("PASSWORD", ["password", "passwd", "pwd", "passphrase"]),
+    ("PRIVATE_KEY", ["private_key", "ssh_key"]),
+    ("API_KEY", ["api_key", "apikey", "secret_key", "client_secret"]),
+    ("ACCESS_TOKEN", ["token", "access_token", "refresh_token", "session_token", "jwt"]),
+    ("EMAIL_ADDRESS", ["email", "email_address", "mail", "e_mail"]),
+    ("PHONE_NUMBER", ["phone", "telephone", "mobile", "cell", "fax", "msisdn", "phone_number"]),
+    ("SSN", ["ssn", "social_security_number"]),
+    ("NATIONAL_ID", ["national_id", "nino", "citizen_id"]),
+    ("PASSPORT_NUMBER", ["passport", "passport_number", "passport_no"]),
+    ("DRIVER_LICENSE", ["driver_license", "driving_licence", "drivers_license"]),
+    ("TAX_ID", ["tax_id", "tin", "ein", "vat_number"]),
+    ("MEDICAL_RECORD_NUMBER", ["mrn", "medical_record_number"]),
+    ("CREDIT_CARD_NUMBER", ["card_number", "credit_card", "cc_number", "pan"]),
+    ("CVV", ["cvv", "cvc"]),
+    ("IBAN", ["iban"]),
+    ("ROUTING_NUMBER", ["routing_number", "aba"]),
+    ("BANK_ACCOUNT_NUMBER", ["bank_account", "account_number"]),
+    ("IP_ADDRESS", ["ip", "ip_address", "client_ip"]),
+    ("MAC_ADDRESS", ["mac", "mac_address"]),
+    ("DEVICE_ID", ["device_id", "imei"]),
+    ("VEHICLE_IDENTIFIER", ["vin"]),
+    ("DATE_OF_BIRTH", ["dob", "birthdate", "birthday", "date_of_birth"]),
+    ("AGE", ["age"]),
+    ("USERNAME", ["username", "login", "user_name", "handle"]),
+    ("EMPLOYEE_ID", ["employee_id"]),
+    ("CUSTOMER_ID", ["custkey", "customer_id"]),
+    ("STREET_ADDRESS", ["address", "street", "street_address"]),
+    ("POSTAL_CODE", ["zip", "zipcode", "postcode", "postal_code"]),
+    ("CARD_EXPIRATION", ["card_expiry", "card_exp", "expiry", "exp_date", "exp_month", "exp_year"]),
+    ("HEALTH_INSURANCE_ID", ["insurance_id", "policy_number", "subscriber_id", "member_id"]),
+    ("MEDICAL_LICENSE", ["npi", "dea_number", "medical_license"]),
+    ("LICENSE_PLATE", ["plate", "plate_number", "license_plate", "number_plate"]),
+    ("ACCOUNT_ID", ["account_id", "acct_id"]),
+    ("BIOMETRIC_IDENTIFIER", ["biometric", "fingerprint_template", "face_id", "voiceprint", "retina_scan"]),
+    ("LOCATION", ["latitude", "longitude", "lat", "lng", "lon", "geolocation", "coordinates", "gps"]),
+    ("EMPLOYER", ["employer", "company", "organization", "organisation", "workplace"]),
+    ("OCCUPATION", ["occupation", "profession", "job_title"]),
+    ("STATE", ["province", "state_code", "county"]),
+    ("CITY", ["city", "town"]),
+    ("COUNTRY", ["country", "nation"]),
+    ("URL", ["url", "website", "homepage"]),
+    ("PERSON_NAME", ["first_name", "last_name", "full_name", "surname", "fullname"]),
+]
 
 
 def name_words(name: Column) -> Column:
@@ -252,6 +284,6 @@ def column_class(name: Column) -> Column:
     whole = F.array_join(words, "_")
     out = None
     for kind, keys in NAME_RULES:
-        test = whole.rlike("(^|_)(" + "|".join(keys.split()) + ")$")
+        test = whole.rlike("(^|_)(" + "|".join(keys) + ")$")
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out

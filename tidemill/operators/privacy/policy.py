@@ -5,22 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entity types and the tags of their placeholders, by what is done to them.
-ACTIONS = {
-    "pseudonymize": (
-        "PERSON_NAME=PERSON RELATIVE_NAME=RELATIVE EMAIL_ADDRESS=EMAIL PHONE_NUMBER=PHONE STREET_ADDRESS=ADDRESS POSTAL_CODE=POSTCODE "
-        "LOCATION=LOCATION DATE_OF_BIRTH=DOB SSN=SSN NATIONAL_ID=NATIONAL_ID PASSPORT_NUMBER=PASSPORT DRIVER_LICENSE=DRIVER_LICENSE "
-        "TAX_ID=TAX_ID MEDICAL_RECORD_NUMBER=MRN HEALTH_INSURANCE_ID=INSURANCE_ID MEDICAL_LICENSE=MEDICAL_LICENSE "
-        "BANK_ACCOUNT_NUMBER=BANK_ACCOUNT ROUTING_NUMBER=ROUTING IBAN=IBAN IP_ADDRESS=IP MAC_ADDRESS=MAC DEVICE_ID=DEVICE_ID "
-        "LICENSE_PLATE=PLATE VEHICLE_IDENTIFIER=VIN USERNAME=USERNAME EMPLOYEE_ID=EMPLOYEE_ID CUSTOMER_ID=CUSTOMER_ID ACCOUNT_ID=ACCOUNT_ID "
-        "URL=URL EMPLOYER=EMPLOYER ORGANIZATION=ORG OTHER_UNIQUE_IDENTIFIER=ID UNKNOWN_SENSITIVE=SENSITIVE"
-    ),
-    "preserve": "CITY=CITY STATE=STATE COUNTRY=COUNTRY AGE=AGE OCCUPATION=OCCUPATION",
-    "mask": "CREDIT_CARD_NUMBER=CARD",
-    "redact": "CVV=CVV CARD_EXPIRATION=CARD_EXPIRY BIOMETRIC_IDENTIFIER=BIOMETRIC API_KEY=API_KEY ACCESS_TOKEN=TOKEN PASSWORD=PASSWORD PRIVATE_KEY=PRIVATE_KEY",
-}
 LEAST_CONFIDENCE = 0.5
-ROWS = [(e.split("=")[0], e.split("=")[1], action, action == "pseudonymize") for action, names in ACTIONS.items() for e in names.split()]
+#: Entity types, the tags of their placeholders, and what is done to them.
+TYPES = [
+    ("PERSON_NAME", "PERSON", "pseudonymize"),
+    ("RELATIVE_NAME", "RELATIVE", "pseudonymize"),
+    ("EMAIL_ADDRESS", "EMAIL", "pseudonymize"),
+    ("PHONE_NUMBER", "PHONE", "pseudonymize"),
+    ("STREET_ADDRESS", "ADDRESS", "pseudonymize"),
+    ("POSTAL_CODE", "POSTCODE", "pseudonymize"),
+    ("LOCATION", "LOCATION", "pseudonymize"),
+    ("DATE_OF_BIRTH", "DOB", "pseudonymize"),
+    ("SSN", "SSN", "pseudonymize"),
+    ("NATIONAL_ID", "NATIONAL_ID", "pseudonymize"),
+    ("PASSPORT_NUMBER", "PASSPORT", "pseudonymize"),
+    ("DRIVER_LICENSE", "DRIVER_LICENSE", "pseudonymize"),
+    ("TAX_ID", "TAX_ID", "pseudonymize"),
+    ("MEDICAL_RECORD_NUMBER", "MRN", "pseudonymize"),
+    ("HEALTH_INSURANCE_ID", "INSURANCE_ID", "pseudonymize"),
+    ("MEDICAL_LICENSE", "MEDICAL_LICENSE", "pseudonymize"),
+    ("BANK_ACCOUNT_NUMBER", "BANK_ACCOUNT", "pseudonymize"),
+    ("ROUTING_NUMBER", "ROUTING", "pseudonymize"),
+    ("IBAN", "IBAN", "pseudonymize"),
+    ("IP_ADDRESS", "IP", "pseudonymize"),
+    ("MAC_ADDRESS", "MAC", "pseudonymize"),
+    ("DEVICE_ID", "DEVICE_ID", "pseudonymize"),
+    ("LICENSE_PLATE", "PLATE", "pseudonymize"),
+    ("VEHICLE_IDENTIFIER", "VIN", "pseudonymize"),
+    ("USERNAME", "USERNAME", "pseudonymize"),
+    ("EMPLOYEE_ID", "EMPLOYEE_ID", "pseudonymize"),
+    ("CUSTOMER_ID", "CUSTOMER_ID", "pseudonymize"),
+    ("ACCOUNT_ID", "ACCOUNT_ID", "pseudonymize"),
+    ("URL", "URL", "pseudonymize"),
+    ("EMPLOYER", "EMPLOYER", "pseudonymize"),
+    ("ORGANIZATION", "ORG", "pseudonymize"),
+    ("OTHER_UNIQUE_IDENTIFIER", "ID", "pseudonymize"),
+    ("UNKNOWN_SENSITIVE", "SENSITIVE", "pseudonymize"),
+    ("CITY", "CITY", "preserve"),
+    ("STATE", "STATE", "preserve"),
+    ("COUNTRY", "COUNTRY", "preserve"),
+    ("AGE", "AGE", "preserve"),
+    ("OCCUPATION", "OCCUPATION", "preserve"),
+    ("CREDIT_CARD_NUMBER", "CARD", "mask"),
+    ("CVV", "CVV", "redact"),
+    ("CARD_EXPIRATION", "CARD_EXPIRY", "redact"),
+    ("BIOMETRIC_IDENTIFIER", "BIOMETRIC", "redact"),
+    ("API_KEY", "API_KEY", "redact"),
+    ("ACCESS_TOKEN", "TOKEN", "redact"),
+    ("PASSWORD", "PASSWORD", "redact"),
+    ("PRIVATE_KEY", "PRIVATE_KEY", "redact"),
+]
+#: type, tag, action, restorable
+ROWS = [(*row, row[2] == "pseudonymize") for row in TYPES]
+ACTIONS = {row[2] for row in TYPES}
 #: Names of the same people share their pseudonyms.
 SAME_IDENTITY = {"RELATIVE_NAME": "PERSON_NAME"}
 

@@ -13,7 +13,7 @@ from tidemill.operators.privacy.detect import NAME_RULES, detected
 from tidemill.operators.privacy.protect import exploded
 
 LEAST_LENGTH, SAMPLE, LEAST_VALUES = 3, 20, 3
-_CLASSES = [(kind, re.compile("(^|_)(" + "|".join(keys.split()) + ")$")) for kind, keys in NAME_RULES]
+_CLASSES = [(kind, re.compile("(^|_)(" + "|".join(keys) + ")$")) for kind, keys in NAME_RULES]
 _LABELS = (
     re.compile(r"\"(?P<k>[A-Za-z_][\w .-]{1,40})\"\s*:\s*\"(?P<v>(?:[^\"\\]|\\.){1,200})\""),
     re.compile(r"\b(?P<k>[A-Za-z_]\w{1,40})\s*=\s*'(?P<v>(?:[^']|''){1,200})'"),
