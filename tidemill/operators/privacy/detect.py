@@ -208,20 +208,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
 
 
-def detected(df: DataFrame, text: str = "text", spans: str = "spans", types: list[str] | None = None) -> DataFrame:
-    """df with the spans found in a text column, of the wanted types or all. Null texts have none."""
-    keep = [c for c in df.columns if c != spans]
+def detected(df: DataFrame, text: str = "text", spans: str = "spans", types: list[str] | None = None, errors: str | None = None, rules: list[Rule] = RULES) -> DataFrame:
+    """df with the spans found in a text column, of the wanted types or all. Null texts have none. With `errors`, a text
+    on which a rule fails has null spans and the error's class in that column, in place of failing the job."""
+    keep = [c for c in df.columns if c not in (spans, errors)]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("detector", pa.string()), ("validated", pa.bool_())]))
-    rules = [r for r in RULES if types is None or r.type in types]
+    rules = [r for r in rules if types is None or r.type in types]
+
+    def tried(t: str) -> tuple[list[dict] | None, str | None]:
+        try:
+            return found(t, rules), None
+        except Exception as e:  # whatever it is, the text counts as not looked at
+            return None, type(e).__name__
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([found(t or "", rules) for t in texts], kind)], names=[*keep, spans])
+            if errors:
+                both = [tried(t or "") for t in texts]
+                own = [pa.array([s for s, _ in both], kind), pa.array([e for _, e in both], pa.string())]
+            else:
+                own = [pa.array([found(t or "", rules) for t in texts], kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *own], names=[*keep, spans, errors][: len(keep) + len(own)])
 
     pick = spread(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")))
-    schema = pick.drop("__text").withColumn(spans, F.expr(f"CAST(NULL AS array<{SPAN}>)")).schema
-    return pick.mapInArrow(tasks, schema)
+    out = pick.drop("__text").withColumn(spans, F.expr(f"CAST(NULL AS array<{SPAN}>)"))
+    return pick.mapInArrow(tasks, (out.withColumn(errors, F.lit(None).cast("string")) if errors else out).schema)
 
 
 # --- columns by their names ---

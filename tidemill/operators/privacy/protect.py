@@ -125,10 +125,10 @@ def protected(df: DataFrame, key: str, secret: str, text: str = "text", actions:
     return out.drop(ROW), vault
 
 
-def _protected(rows: DataFrame, secret: str, text: str, actions: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows have a ROW each."""
+def _protected(rows: DataFrame, secret: str, text: str, actions: Column | None = None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows have a ROW each. found: spans by ROW, if they have been looked for before."""
     key = ROW
-    found = stored(exploded(detected(rows.select(key, text), text), [key]), "protect-found")
+    found = stored(exploded(detected(rows.select(key, text), text), [key]), "protect-found") if found is None else found
     for _ in range(ROUNDS):
         spans = resolved(found, [key])
         spans = spans if actions is None else spans.withColumn("action", actions)

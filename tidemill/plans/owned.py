@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
-from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, usage, vectors
-from tidemill.operators.privacy import detect, markers, policy, protect, values, vault
+from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, sampling, usage, vectors
+from tidemill.operators.privacy import detect, markers, policy, protect, requests, values, vault
 from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
 from tidemill.streaming import answers, stateful
@@ -707,6 +707,27 @@ def f10(spark, d):
     return folds.domains(event_log(spark, d), members.where("key IS NOT NULL")).withColumn("tables", F.array_join("tables", " "))
 
 
+# --- samples ---
+
+SHARE_SQL = "(CAST('0x' || sha256('s:' || {})[1:13] AS BIGINT) + 1) / 4503599627370496.0::DOUBLE"
+
+
+@query("c18_bernoulli", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {SHARE_SQL.format('l_orderkey')} <= 0.05")
+def c18(spark, d):
+    """All lines of a twentieth of the orders."""
+    return sampling.bernoulli(t(spark, d, "lineitem"), "l_orderkey", 0.05, "s").select("l_orderkey", "l_linenumber")
+
+
+@query("c18_weighted", f"WITH p AS (SELECT o_orderkey, o_totalprice, CAST(o_totalprice AS DOUBLE) / ({SHARE_SQL.format('o_orderkey')}) AS priority FROM orders WHERE o_totalprice > 0), r AS (SELECT *, row_number() OVER (ORDER BY priority DESC, o_orderkey) AS i FROM p) SELECT o_orderkey, round(greatest(CAST(o_totalprice AS DOUBLE), (SELECT coalesce(max(priority), 0) FROM r WHERE i = 501)), 4) AS estimate FROM r WHERE i <= 500")
+def c18_weighted(spark, d):
+    return sampling.weighted(t(spark, d, "orders"), "o_orderkey", "o_totalprice", 500, "s").select("o_orderkey", F.round("estimate", 4).alias("estimate"))
+
+
+@query("c18_stratified", f"SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {SHARE_SQL.format('o_orderkey')}, o_orderkey) <= 20")
+def c18_stratified(spark, d):
+    return sampling.stratified(t(spark, d, "orders"), "o_orderkey", "o_orderpriority", 20, "s").select("o_orderkey", "o_orderpriority")
+
+
 # --- vaults ---
 
 VAULT_SQL = "WITH d AS (SELECT DISTINCT c_name AS value, sha256('key' || chr(2) || sha256('key' || chr(1) || 'PERSON_NAME' || chr(0) || c_name))[1:24] AS pseudonym, c_custkey FROM customer)"
@@ -734,6 +755,17 @@ def g47(spark, d):
     return vault.opened(spark, sql, names)
 
 
+@query("g50_requests", MARKED_SQL.format(identity="'EMAIL_ADDRESS'", value="'user' || c_custkey || '@example.com'", table="customer") + "SELECT c_custkey, md5('system|' || CASE WHEN c_custkey % 3 = 0 THEN '[[pii:EMAIL:' || pseudonym || ']]' ELSE 'none' END || '|' || CASE WHEN c_custkey % 3 = 1 THEN 'to [[pii:EMAIL:' || pseudonym || ']] now' ELSE 'none' END || '|' || CASE WHEN c_custkey % 3 = 2 THEN 'to [[pii:EMAIL:' || pseudonym || ']].' ELSE 'none' END) AS digest, CAST(NULL AS VARCHAR) AS error FROM customer JOIN p ON value = 'user' || c_custkey || '@example.com'")
+def g50(spark, d):
+    """A request for each customer, with a mail address in an argument, in a message's part or in its text."""
+    mail = F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com"))
+    at = lambda i, c: F.when(F.col("c_custkey") % 3 == i, c).otherwise("none")
+    part = F.struct(at(1, F.concat(F.lit("to "), mail, F.lit(" now"))).alias("text"), F.create_map(F.lit("x"), at(2, F.concat(F.lit("to "), mail, F.lit(".")))).alias("args"))
+    asked = t(spark, d, "customer").select("c_custkey", F.struct(F.lit("system").alias("role"), F.array(part, part).alias("parts"), at(0, mail).alias("to")).alias("body"))
+    out = requests.protected_requests(asked, "key", ["body"])[0]
+    return out.select("c_custkey", F.md5(F.concat_ws("|", "body.role", "body.to", F.col("body.parts")[1]["text"], F.col("body.parts")[0]["args"]["x"])).alias("digest"), "error")
+
+
 # --- lineage ---
 
 
