@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidemill.functions import text as X
 from tidemill.functions import validators as V
 from tidemill.operators import edits, folds, knowledge, lineage, paging, ranking, sampling, usage, vectors
-from tidemill.operators.privacy import detect, markers, policy, protect, requests, values, vault
+from tidemill.operators.privacy import csvtext, detect, markers, policy, protect, requests, values, vault
 from tidemill.operators.stored import scratch
 from tidemill.plans import catalog, script
 from tidemill.streaming import answers, stateful
@@ -707,6 +707,18 @@ def f10(spark, d):
     return folds.domains(event_log(spark, d), members.where("key IS NOT NULL")).withColumn("tables", F.array_join("tables", " "))
 
 
+# --- tables inside texts ---
+
+
+@query("g16_csv_values", "WITH c AS (SELECT *, 'Hi ' || c_custkey || chr(10) || 'note;full_name;email' || chr(10) AS head, '\"say \"\"hi\"\"; now\";\"' AS a FROM customer), s AS (SELECT c_custkey, length(head) + length(a) AS p, c_name, 'u' || c_custkey || '@example.com' AS m FROM c) SELECT c_custkey, p AS \"start\", p + length(c_name) AS \"end\", 'PERSON_NAME' AS type, c_name AS value FROM s UNION ALL SELECT c_custkey, p + length(c_name) + 3, p + length(c_name) + 3 + length(m), 'EMAIL_ADDRESS', m FROM s")
+def g16(spark, d):
+    """A table of one row for each customer, whose first field has the delimiter and quotes in quotes."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("Hi "), key, F.lit('\nnote;full_name;email\n"say ""hi""; now";"'), "c_name", F.lit('"; u'), key, F.lit("@example.com \nbye, all\n"))
+    out = csvtext.csv_values(t(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
 # --- samples ---
 
 SHARE_SQL = "(CAST('0x' || sha256('s:' || {})[1:13] AS BIGINT) + 1) / 4503599627370496.0::DOUBLE"
