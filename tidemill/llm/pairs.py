@@ -172,7 +172,8 @@ def leaders(members: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame
 
 def group_prefixes(members: DataFrame, sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """token, item, n: of each member outside of its group's largest piece, of its prefix (rare ones among the group first),
-    the shingles that others have too; and of all members those of their shingles that are among these."""
+    the shingles that others have too, for each size that a similar set may have; and of all members those of their shingles
+    that are among these for their size."""
     sizes = members.groupBy("group", "piece").agg(F.count(F.lit(1)).alias("rows"))
     largest = stored(sizes.groupBy("group").agg(F.max_by("piece", F.struct("rows", "piece")).alias("largest")), "pairs-largest")
     outside = members.join(largest, "group").where("piece <> largest").select("group", "item", "n")
@@ -196,11 +197,22 @@ def group_prefixes(members: DataFrame, sets: DataFrame, counts: DataFrame, perce
     shared = valued(outside).mapInArrow(spread(None), schema).join(counts.where("c > 1").hint("merge"), ["group", "shingle"])
     of_item = Window.partitionBy("group", "item")
     rank = F.row_number().over(of_item.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(of_item)  # those that no other has come first
-    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    own = stored(shared.withColumn("rank", rank).where(F.col("rank") <= prefix).select(*names), "pairs-outside")
+    # a set of m values that has the prefix's i-th one and none before it shares n - i + 1 values at most, which is enough for
+    # similarity only if m is at most so large
+    most = F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent - F.col("n"))
+    most = F.least(most, F.floor(100 * F.col("n") / percent))
+    least = F.ceil(percent * F.col("n") / 100)
+    own = shared.withColumn("rank", rank).withColumn("most", most).where(F.col("most") >= least)
+    own = stored(own.select("group", "item", "n", "shingle", F.explode(F.sequence(size_step(least), size_step(F.col("most")))).alias("step")), "pairs-outside")
     bits = members.sparkSession.sparkContext.broadcast(filter_bits(own.select("shingle"), "shingle"))
-    met = valued(members.select("group", "item", "n")).mapInArrow(spread(bits), schema).join(own.select("group", "shingle").distinct().hint("merge"), ["group", "shingle"])
-    return met.select(F.xxhash64("group", "shingle").alias("token"), "item", "n")
+    met = valued(members.select("group", "item", "n")).mapInArrow(spread(bits), schema).withColumn("step", size_step(F.col("n")))
+    met = met.join(own.select("group", "shingle", "step").distinct().hint("merge"), ["group", "shingle", "step"])
+    return met.select(*own.columns).unionByName(own).select(F.xxhash64("group", "shingle", "step").alias("token"), "item", "n")
+
+
+def size_step(n):
+    """Steps of sizes, 5 percent each; small sizes have one of their own."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.05)) + 1e-9).cast("int")
 
 
 def left_over(members: DataFrame, sets: DataFrame, counts: DataFrame, percent: int, screen: Screen | None, block: int) -> DataFrame:
