@@ -106,8 +106,8 @@ def test_variants_that_are_not_similar(spark):
     members = spark.createDataFrame([(1, n, len(sets[n]), n) for n in names], "group long, item long, n int, piece long")
     want = {frozenset((names[a], names[b])) for a, b in S.linked_pairs([sets[x] for x in names], None, 80)}
     assert len(want) == 15
-    assert {frozenset((r.a, r.b)) for r in pairs.left_over(members, held, pairs.shingle_counts(members, held), 80, None, 256).collect()} == want
-    assert J.candidates(pairs.group_prefixes(members, held, pairs.shingle_counts(members, held), 80), 80, orders=1).count() < 60
+    assert {frozenset((r.a, r.b)) for r in pairs.left_over(members, held, pairs.common_shingles(members, held), 80, None, 256).collect()} == want
+    assert J.candidates(pairs.group_prefixes(members, held, pairs.common_shingles(members, held), 80), 80, orders=1).count() < 60
 
 
 def test_a_large_group_of_near_copies(spark):

@@ -7,7 +7,8 @@ Each set's values are read once. Then, with as few comparisons as connect the sa
    all pairs of its candidates' component, and one that is in pieces meets LEADERS of its sets, those with the most
    shingles that half of its sets have and the fewest others;
 3. of what is in pieces still, sets outside of the largest piece are compared with those that have a shingle of their
-   prefix, where shingles that are rare among the component's sets come first: variants that differ enough share none;
+   prefix, where what half of the component's sets have comes last, and of a size that what is left of the prefix allows:
+   variants that differ enough share none;
 4. sets that hang together by prefix shingles of very many are compared in blocks: those outside of the largest piece
    with all that their size allows, each two blocks a task's work.
 
@@ -24,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemill.llm.common import MARK_BITS, filter_bits, marked, marks, stored
 from tidemill.llm.components import components
-from tidemill.llm.shingles import forest, linked_pairs, shared_counts, shingle_set
+from tidemill.llm.shingles import forest, linked_pairs, mixed, shared_counts, shingle_set
 
 BLOCK, LEADERS = 256, 8
 #: Of a sorted set, arrays each of which shares a value with its counterpart of any similar set.
@@ -151,75 +151,94 @@ def shingle_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
     return held.mapInArrow(tasks, "group long, shingle long, c long").groupBy("group", "shingle").agg(F.sum("c").alias("c"))
 
 
-def leaders(members: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """group, l (item, piece): of each of LEADERS parts of a group's members (group, item, piece) the one that is most of the
-    others' kind: most shingles that half of the group has, least others. What is similar to any member is so to such ones,
-    mostly. Shingles that half of a group has are twice as many as a member has, at most."""
+def common_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """group, common: the shingles that half of a group's members or more have; twice as many as a member has, at most."""
     size = stored(members.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "pairs-sizes")
-    common = counts.join(size, "group").where("2 * c >= size").groupBy("group").agg(F.sort_array(F.collect_list("shingle")).alias("common"))
-    common = stored(common, "pairs-common")
+    half = shingle_counts(members, sets).join(size, "group").where("2 * c >= size")
+    return stored(half.groupBy("group").agg(F.sort_array(F.collect_list("shingle")).alias("common")), "pairs-common")
+
+
+def _held(members: DataFrame, sets: DataFrame, common: DataFrame, more: str) -> DataFrame:
+    rows = members.join(sets.select("item", "values").hint("merge"), "item").join(common.hint("merge"), "group", "left")
+    return rows.select("group", "item", more, "values", "common")
+
+
+def _common_to(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row's shingles, and which of them are common in its group."""
+    own = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
+    common = batch.column(4)[i]
+    return own, np.isin(own, common.values.to_numpy().view(np.uint64)) if common.is_valid else np.zeros(len(own), bool)
+
+
+def leaders(members: DataFrame, sets: DataFrame, common: DataFrame) -> DataFrame:
+    """group, l (item, piece): of each of LEADERS parts of a group's members (group, item, piece) the one that is most of the
+    others' kind: most common shingles, least others. What is similar to any member is so to such ones, mostly."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [2 * int(np.isin(np.frombuffer(v.as_py(), np.int64), c.values.to_numpy()).sum()) - len(v.as_py()) // 8 if c.is_valid else -(len(v.as_py()) // 8) for v, c in zip(batch.column(3), batch.column(4))]
+            score = [2 * int(shared.sum()) - len(own) for own, shared in (_common_to(batch, i) for i in range(batch.num_rows))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.int64())], names=["group", "item", "piece", "score"])
 
-    held = members.join(sets.select("item", "values").hint("merge"), "item").join(common.hint("merge"), "group", "left")
-    scored = held.select("group", "item", "piece", "values", "common").mapInArrow(tasks, "group long, item long, piece long, score long")
+    scored = _held(members, sets, common, "piece").mapInArrow(tasks, "group long, item long, piece long, score long")
     draw = F.pmod(F.xxhash64("item"), F.lit(LEADERS))
     return scored.groupBy("group", draw.alias("draw")).agg(F.max_by(F.struct("item", "piece"), F.struct("score", "item")).alias("l")).drop("draw")
 
 
-def group_prefixes(members: DataFrame, sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """token, item, n: of each member outside of its group's largest piece, of its prefix (rare ones among the group first),
-    the shingles that others have too, for each size that a similar set may have; and of all members those of their shingles
-    that are among these for their size."""
+def size_step(n: np.ndarray | int) -> np.ndarray:
+    """Steps of sizes, 5 percent each; small sizes have one of their own."""
+    return np.floor(np.log(n) / math.log(1.05) + 1e-9).astype(np.int64)
+
+
+def sized_tokens(group: int, shingles: np.ndarray, step: np.ndarray | int) -> np.ndarray:
+    own = mixed(np.array([group], np.int64).view(np.uint64), 51) ^ mixed(np.atleast_1d(step).astype(np.uint64), 53)
+    return mixed(shingles ^ own, 52).view(np.int64)
+
+
+def group_prefixes(members: DataFrame, sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """token, item, n: of each member outside of its group's largest piece, its prefix (what is not common in its group first),
+    for each size that a similar set may have; and of all members those of their shingles that are among these for their size."""
     sizes = members.groupBy("group", "piece").agg(F.count(F.lit(1)).alias("rows"))
     largest = stored(sizes.groupBy("group").agg(F.max_by("piece", F.struct("rows", "piece")).alias("largest")), "pairs-largest")
     outside = members.join(largest, "group").where("piece <> largest").select("group", "item", "n")
-    names = ["group", "item", "n", "shingle"]
-
-    def spread(keep) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shingles = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
-                    if keep is not None:
-                        at = shingles & (MARK_BITS - 1)
-                        shingles = shingles[(keep.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-                    own = pa.array(np.full(len(shingles), i))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(shingles)], names=names)
-
-        return tasks
-
-    schema = "group long, item long, n int, shingle long"
-    valued = lambda rows: rows.join(sets.select("item", "values").hint("merge"), "item").select("group", "item", "n", "values")
-    shared = valued(outside).mapInArrow(spread(None), schema).join(counts.where("c > 1").hint("merge"), ["group", "shingle"])
-    of_item = Window.partitionBy("group", "item")
-    rank = F.row_number().over(of_item.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(of_item)  # those that no other has come first
-    # a set of m values that has the prefix's i-th one and none before it shares n - i + 1 values at most, which is enough for
-    # similarity only if m is at most so large
-    most = F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent - F.col("n"))
-    most = F.least(most, F.floor(100 * F.col("n") / percent))
-    least = F.ceil(percent * F.col("n") / 100)
-    own = shared.withColumn("rank", rank).withColumn("most", most).where(F.col("most") >= least)
-    own = stored(own.select("group", "item", "n", "shingle", F.explode(F.sequence(size_step(least), size_step(F.col("most")))).alias("step")), "pairs-outside")
-    bits = members.sparkSession.sparkContext.broadcast(filter_bits(own.select("shingle"), "shingle"))
-    met = valued(members.select("group", "item", "n")).mapInArrow(spread(bits), schema).withColumn("step", size_step(F.col("n")))
-    met = met.join(own.select("group", "shingle", "step").distinct().hint("merge"), ["group", "shingle", "step"])
-    return met.select(*own.columns).unionByName(own).select(F.xxhash64("group", "shingle", "step").alias("token"), "item", "n")
-
-
-def size_step(n):
-    """Steps of sizes, 5 percent each; small sizes have one of their own."""
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.05)) + 1e-9).cast("int")
+    made = lambda token, item, n: pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), item, np.int64)), pa.array(np.full(len(token), n, np.int32))], names=["token", "item", "n"])
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (group, item) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                own, shared = _common_to(batch, i)
+                n = len(own)
+                least = -(-percent * n // 100)
+                own = own[np.lexsort((mixed(own, 54), shared))[: n - least + 1]]
+                # a set that has the i-th and none before it shares n - i values at most (i from 0), which is enough for
+                # similarity only if it is at most so large
+                most = np.minimum((n - np.arange(len(own))) * (100 + percent) // percent - n, 100 * n // percent)
+                own, most = own[most >= least], most[most >= least]
+                first, last = int(size_step(least)), size_step(most)
+                count = last - first + 1
+                at = np.repeat(np.arange(len(own)), count)
+                step = first + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                yield made(sized_tokens(group, own[at], step), item, n)
+
+    own = stored(_held(outside, sets, common, "n").mapInArrow(prefix, "token long, item long, n int"), "pairs-outside")
+    bits = members.sparkSession.sparkContext.broadcast(filter_bits(own, "token"))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, item, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                shingles = np.frombuffer(values.as_py(), np.uint64)
+                token = sized_tokens(group, shingles, size_step(max(1, len(shingles))))
+                at = token & (MARK_BITS - 1)
+                yield made(token[(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)], item, len(shingles))
+
+    met = members.join(sets.select("item", "values").hint("merge"), "item").select("group", "item", "values").mapInArrow(probe, "token long, item long, n int")
+    return own.unionByName(met)
 
 
-def left_over(members: DataFrame, sets: DataFrame, counts: DataFrame, percent: int, screen: Screen | None, block: int) -> DataFrame:
+def left_over(members: DataFrame, sets: DataFrame, common: DataFrame, percent: int, screen: Screen | None, block: int) -> DataFrame:
     """Links (a, b) between pieces of groups (members: group, item, n, piece), by prefixes, then by blocks."""
     from tidemill.llm.ngram_join import candidates
 
-    found = stored(candidates(group_prefixes(members, sets, counts, percent), percent, orders=1), "pairs-prefixes")
+    found = stored(candidates(group_prefixes(members, sets, common, percent), percent, orders=1), "pairs-prefixes")
     end = lambda x: members.select(F.col("item").alias(x), F.col("piece").alias(f"of_{x}")).hint("merge")
     cross = found.where("NOT hot").join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select("a", "b", "hot")
     links = verified(cross, sets, percent)
@@ -258,11 +277,11 @@ def similar_components(candidates: DataFrame, sets: DataFrame, percent: int, scr
     hot = stored(candidates.where("hot").join(whole, F.col("a") == F.col("node")).select(F.col("component").alias("group")).distinct(), "pairs-hot")
     groups = whole.withColumnRenamed("component", "group").join(hot, "group").join(sets.select(F.col("item").alias("node"), "n").hint("merge"), "node")
     members = pieces(groups.select("group", F.col("node").alias("item"), "n"), known)
-    counts = stored(shingle_counts(members, sets), "pairs-counts")
-    leader = stored(leaders(members, sets, counts), "pairs-leaders")
+    common = common_shingles(members, sets)
+    leader = stored(leaders(members, sets, common), "pairs-leaders")
     meet = members.join(leader, "group").where("piece <> l.piece").select(F.least("item", "l.item").alias("a"), F.greatest("item", "l.item").alias("b"), F.lit(True).alias("hot"))
     known = grown(known, verified(rest.unionByName(meet), sets, percent, screen))
     members = pieces(members.drop("piece"), known)
     if members.limit(1).count() == 0:
         return known
-    return grown(known, left_over(members, sets, counts, percent, screen, block))
+    return grown(known, left_over(members, sets, common, percent, screen, block))

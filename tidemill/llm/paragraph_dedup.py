@@ -37,7 +37,7 @@ from tidemill.llm.ngram_join import LOCAL, TOKEN, candidates, tallied, thinned
 from tidemill.llm.pairs import item_sets, similar_components
 from tidemill.llm.shingles import mixed, shingles, word_hashes
 
-K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 24, 5
+K, PERCENT, RECALL, MOST_HASHES, LEAST = 5, 80, 0.995, 16, 5
 WINDOW, STEP = 16, 12
 #: n / (n + 1) is the most that unequal sets reach of which the smaller has n.
 LEAST_BANDED = PERCENT // (100 - PERCENT)
