@@ -34,7 +34,7 @@ def test_gradients_are_right():
     _, trace = net.run(gates, index, trace=True)
     grads, d_x = net.gradients(gates, index, x, trace, up)
     grads["word"] = np.zeros_like(net.p["word"])
-    np.add.at(grads["word"], ids, d_x[:, : T.WORD_SIZE])
+    np.add.at(grads["word"], ids % T.WORDS, d_x[:, : T.WORD_SIZE])
     for name in ("in", "own", "bias", "look", "key", "out", "base", "word"):
         flat, g = net.p[name].reshape(-1), grads[name].reshape(-1)
         for i in np.argsort(-np.abs(g))[:4]:
@@ -80,3 +80,60 @@ def test_sample_leaves_out_held_out_rows(spark):
     assert T.Scorer(T.fitted(docs.limit(0), labels))(["a"])[0] < 0.5
     held = {r.doc_id for r in docs.where(T.held_out("doc_id")).collect()}
     assert held == {i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def plain_score(net, text):
+    """One text, window by window and word by word: two recurrent passes, attention, the largest logit."""
+    h, p = T.HIDDEN, net.p
+    words = T.words_of(text)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    best = -np.inf
+    for a, b in T.spans(len(words)):
+        if a == b:
+            best = max(best, float(p["base"][0]))
+            continue
+        x = [net.vectors(*T.features([w]))[0].astype(np.float64) for w in words[a:b]]
+        states = np.zeros((b - a, 2 * h))
+        for d in (0, 1):
+            state = np.zeros(h)
+            for t in range(b - a) if d == 0 else range(b - a - 1, -1, -1):
+                g = x[t] @ p["in"][d] + p["bias"][d]
+                z, r = sig(g[:h] + state @ p["own"][d][:, :h]), sig(g[h : 2 * h] + state @ p["own"][d][:, h : 2 * h])
+                c = np.tanh(g[2 * h :] + (r * state) @ p["own"][d][:, 2 * h :])
+                state = (1 - z) * state + z * c
+                states[t, d * h : (d + 1) * h] = state
+        e = np.exp(np.tanh(states @ p["look"]) @ p["key"])
+        best = max(best, float((e / e.sum()) @ states @ p["out"] + p["base"][0]))
+    return sig(best)
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    lexicon = [f"w{i}é" for i in range(60)]
+    for few in (False, True):
+        net = T.Network(2)
+        for k in ("word", "char", "out", "key"):
+            net.p[k] = net.p[k] * 3
+        if few:
+            net.p["odds"], net.p["char_odds"] = rng.normal(size=T.ODDS).astype(np.float32), rng.normal(size=T.TRIGRAMS).astype(np.float32)
+        texts = [" ".join(rng.choice(lexicon, n)) for n in (1, 2, 39, 40, 41, 69, 70, 71, 130, 5)] + ["", None, "x" * 200]
+        got = T.Scorer(net)(texts)
+        assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+        assert got.std() > 0.01
+
+
+def test_few_labels():
+    """With some forty toxic texts, half of those not trained on are found, and few others."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.execute(f"SELECT coalesce(text, ''), toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY md5(CAST(doc_id AS VARCHAR))").fetchall()
+    found = np.zeros((2, 2), int)
+    for k in (0, 1):
+        fit = [r for i, r in enumerate(rows) if i % 2 != k and len(r[0]) <= T.SAMPLE_CHARS]
+        rest = [r for i, r in enumerate(rows) if i % 2 == k]
+        p = T.Scorer(T.trained([t for t, _ in fit], [y for _, y in fit]))([t for t, _ in rest])
+        for score, (_, y) in zip(p, rest):
+            found[int(y), int(score >= 0.5)] += 1
+    print(found)
+    assert found[1, 1] >= 0.45 * found[1].sum() and found[0, 1] <= 0.05 * found[0].sum()

@@ -1,8 +1,11 @@
 """Toxicity by a small recurrent network, trained and run in numpy.
 
 A text's words enter as two vectors side by side: one of the word (hashed), and the mean of those of its character
-trigrams. A bidirectional gated recurrent network reads windows of WINDOW words, each STRIDE after the one before, so
-windows overlap and every word of a text is read; attention pools a window's states to a logit. A text's score is the
+trigrams. With under FEW toxic texts in the sample, vectors would be learnt by heart; then a word and each of its trigrams
+enter as one number, how much likelier toxic texts have them than others, where in training a text does not count for its
+own, so that they tell there what they tell of a new text.
+
+A bidirectional gated recurrent network reads windows of WINDOW words, each STRIDE after the one before, so windows overlap and every word of a text is read; attention pools a window's states to a logit. A text's score is the
 sigmoid of its largest logit. In training a text's logit is a soft maximum over its windows, so that only whole texts
 need labels.
 
@@ -26,6 +29,8 @@ from tidemill.llm.common import table
 
 WINDOW, STRIDE = 40, 30
 WORDS, TRIGRAMS, WORD_SIZE, CHAR_SIZE, HIDDEN, ATTEND = 1 << 13, 1 << 13, 8, 16, 12, 8
+#: Under FEW toxic texts: so many updates, the words' buckets, texts that halve what a word tells, and the most it tells.
+FEW, FEW_UPDATES, ODDS, ODDS_OF_FEW, MOST_ODDS = 150, 160, 1 << 17, 2.0, 4.0
 SAMPLE, SAMPLE_CHARS, UPDATES, BATCH, SHARP, RARE, DECAY = 1200, 6000, 240, 16, 2.0, 4, 1e-4
 LONGEST_WORD, CACHE_WORDS, MOST_WINDOWS = 48, 120_000, 2048
 _STRIP = b".,;:!?\"'()[]{}"
@@ -40,9 +45,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word; buckets of all their trigrams (with the blanks around a word), and where each word's begin."""
+    """Hash of each word; buckets of all their trigrams (with the blanks around a word), and where each word's begin."""
     bare = [w.strip(_STRIP) or w for w in words]
-    ids = np.fromiter((zlib.crc32(w) % WORDS for w in bare), np.int64, len(bare))
+    ids = np.fromiter(map(zlib.crc32, bare), np.int64, len(bare))
     data = np.frombuffer(b" " + b" ".join(bare) + b" ", np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, bare), np.int64, len(bare))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])) if len(bare) else np.zeros(0, np.int64)
@@ -69,13 +74,17 @@ class Network:
         self.p = {
             "word": draw(0.1, WORDS, WORD_SIZE), "char": draw(0.3, TRIGRAMS, CHAR_SIZE),
             "in": draw(size**-0.5, 2, size, 3 * h), "bias": np.zeros((2, 3 * h), np.float32), "own": draw(h**-0.5, 2, h, 3 * h),
-            "look": draw(h**-0.5, 2 * h, ATTEND), "key": draw(ATTEND**-0.5, ATTEND), "out": draw(h**-0.5, 2 * h), "base": np.full(1, -2, np.float32),
+            "odds": np.zeros(0, np.float32), "char_odds": np.zeros(0, np.float32), "look": draw(h**-0.5, 2 * h, ATTEND), "key": draw(ATTEND**-0.5, ATTEND), "out": draw(h**-0.5, 2 * h), "base": np.full(1, -2, np.float32),
         }
 
-    def vectors(self, ids, trigrams, offsets, keep=None) -> np.ndarray:
+    def vectors(self, ids, trigrams, offsets, keep=None, odds=None) -> np.ndarray:
         counts = np.diff(np.append(offsets, len(trigrams)))[:, None]
-        word = self.p["word"][ids]
-        return np.concatenate([word if keep is None else word * keep, np.add.reduceat(self.p["char"][trigrams], offsets) / counts], 1).astype(np.float32)
+        word = self.p["word"][ids % WORDS]
+        word = word if keep is None else word * keep
+        char = self.p["char"][trigrams]
+        if len(self.p["odds"]):  # vectors are zero then
+            word[:, 0], char[:, 0] = (self.p["odds"][ids % ODDS], self.p["char_odds"][trigrams]) if odds is None else odds
+        return np.concatenate([word, np.add.reduceat(char, offsets) / counts], 1).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """What words add to the gates: (2, words, 3 * HIDDEN)."""
@@ -162,6 +171,14 @@ def windows_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(owner)
 
 
+def odds_of(n: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The logarithm of how much likelier toxic texts (n[1] of texts[1] have a word) are to have it than others (n[0] of
+    texts[0]); what few texts tell counts less, and what none tells is 0."""
+    rate = [(n[i] + 0.5) / (texts[i] + 1.0) for i in (0, 1)]
+    total = n[0] + n[1]
+    return (np.clip(np.log(rate[1] / rate[0]), -MOST_ODDS, MOST_ODDS) * total / (total + ODDS_OF_FEW)).astype(np.float32)
+
+
 def trained(texts: list[str], labels: list[int], seed: int = 1, updates: int = UPDATES) -> Network:
     """Adam on the cross entropy of soft maxima; classes count alike. Without both labels the network says no to all."""
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -174,32 +191,46 @@ def trained(texts: list[str], labels: list[int], seed: int = 1, updates: int = U
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     # what fewer than RARE texts of the sample hold has no vector of its own: it would only be learnt by heart
     df = {"word": np.zeros(WORDS, np.int64), "char": np.zeros(TRIGRAMS, np.int64)}
-    for words in split:
+    have, chars, of = np.zeros((2, ODDS), np.float32), np.zeros((2, TRIGRAMS), np.float32), np.array([len(y) - y.sum(), y.sum()])
+    for words, label in zip(split, labels):
         if words:
             ids, trigrams, _ = features(list(dict.fromkeys(words)))
-            df["word"][np.unique(ids)] += 1
+            df["word"][np.unique(ids % WORDS)] += 1
             df["char"][np.unique(trigrams)] += 1
-    often = {k: (n >= RARE)[:, None].astype(np.float32) for k, n in df.items()}
+            have[int(label > 0), np.unique(ids % ODDS)] += 1
+            chars[int(label > 0), np.unique(trigrams)] += 1
+    few = y.sum() < FEW
+    if few:
+        net.p["odds"], net.p["char_odds"], updates = odds_of(have, of), odds_of(chars, of), min(updates, FEW_UPDATES)
+    often = {k: (n >= (np.inf if few else RARE))[:, None].astype(np.float32) for k, n in df.items()}
     for k, mask in often.items():
         net.p[k] *= mask
-    first = {k: np.zeros_like(v) for k, v in net.p.items()}
-    second = {k: np.zeros_like(v) for k, v in net.p.items()}
+    learnt = [k for k in net.p if k not in ("odds", "char_odds")]
+    first = {k: np.zeros_like(net.p[k]) for k in learnt}
+    second = {k: np.zeros_like(net.p[k]) for k in learnt}
     step, a_round = 0, -(-len(texts) // BATCH)
     total = -(-updates // a_round) * a_round
     for _ in range(total // a_round):  # small samples are seen more often
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            flat = [w for i in own for w in split[i]]
+            # with few texts a word is another one in texts of the other label
+            flat = [(w, few and y[i] > 0) for i in own for w in split[i]]
             known = {w: k for k, w in enumerate(dict.fromkeys(flat))}
             index, owner = windows_of([len(split[i]) for i in own])
             if not known:
                 continue
             place = np.fromiter((known[w] for w in flat), np.int64, len(flat))
             index = np.where(index >= 0, place[np.maximum(index, 0)], -1)
-            ids, trigrams, offsets = features(list(known))
+            ids, trigrams, offsets = features([w for w, _ in known])
             keep = (rng.random((len(ids), 1)) > 0.3).astype(np.float32)
-            x = net.vectors(ids, trigrams, offsets, keep)
+            odds = None
+            if few:
+                label = np.fromiter((label for _, label in known), bool, len(known))
+                less = np.stack([~label, label]).astype(np.float32)
+                each = np.repeat(less, np.diff(np.append(offsets, len(trigrams))), 1)
+                odds = odds_of(have[:, ids % ODDS] - less, of[:, None] - less), odds_of(chars[:, trigrams] - each, of[:, None] - each)
+            x = net.vectors(ids, trigrams, offsets, keep, odds)
             gates = net.gates(x)
             logits, trace = net.run(gates, index, trace=True)
             top = np.full(len(own), -np.inf)
@@ -211,12 +242,13 @@ def trained(texts: list[str], labels: list[int], seed: int = 1, updates: int = U
             d_logits = (d_doc[owner] * e / sums[owner]).astype(np.float32)
             grads, d_x = net.gradients(gates, index, x, trace, d_logits)
             grads["word"], grads["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grads["word"], ids, d_x[:, :WORD_SIZE] * keep)
+            np.add.at(grads["word"], ids % WORDS, d_x[:, :WORD_SIZE] * keep)
             counts = np.diff(np.append(offsets, len(trigrams)))
             np.add.at(grads["char"], trigrams, np.repeat(d_x[:, WORD_SIZE:] / counts[:, None], counts, 0))
             step += 1
             rate = 0.01 * min(1.0, step / 20) * (1 - 0.9 * step / total)
-            for k, v in net.p.items():
+            for k in learnt:
+                v = net.p[k]
                 gk = grads[k].astype(np.float32) + (DECAY * v if v.ndim > 1 else 0)
                 gk = gk * often[k] if k in often else gk
                 first[k] += 0.1 * (gk - first[k])
