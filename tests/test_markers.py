@@ -79,3 +79,14 @@ def test_mended_and_restored(spark):
     df = spark.createDataFrame(rows, "id long, text string, want string")
     out = protect.restored(M.mended(df, vault, "id"), vault, "id").collect()
     assert len(out) == len(rows) and all(r.text == r.want for r in out), out
+
+
+def test_vaults_are_not_broadcast(spark, tmp_path):
+    """However small their files look: a vault's ids are exploded, and it may have a row for each text."""
+    texts = spark.range(30).selectExpr("id", "concat('to [[pii:PERSON:', substring(sha2(cast(id AS string), 256), 1, 24), ']') AS text")
+    texts.write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    vault = texts.selectExpr("'PERSON_NAME' AS identity", "concat('name ', id) AS value", "regexp_extract(text, '([0-9a-f]{24})', 1) AS pseudonym")
+    out = protect.restored(M.mended(texts, vault, "id"), vault, "id")
+    assert {r.id: r.text for r in out.collect()} == {i: f"to name {i}" for i in range(30)}
+    assert "Broadcast" not in out._jdf.queryExecution().toString()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.privacy import policy
 from tidemill.operators.privacy.protect import MARKER, ROW, numbered, replaced
+from tidemill.operators.stored import apart
 
 #: A private-use character that no detector knows.
 FILLER = "\ue000"
@@ -228,12 +229,13 @@ def mended(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> Dat
     rows = numbered(df)
     found = damaged(rows.select(ROW, text), ROW, text).where("kind = 'pii'")
     known = vault.select(policy.looked_up(F.col("identity"), 1).alias("tag"), "pseudonym").distinct()
-    shorter = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(c, F.lit(""), i, F.lit(1))))))
-    met = found.select("*", shorter(F.col("id")).alias("part")).join(known.select("tag", "pseudonym", shorter(F.col("pseudonym")).alias("part")), ["tag", "part"])
-    met = met.where(F.levenshtein("id", "pseudonym", 1) >= 0)
+    # by hashes: what they confuse is told apart right after
+    shorter = lambda c: F.explode(F.array_distinct(F.transform(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(c, F.lit(""), i, F.lit(1)))), lambda p: F.xxhash64("tag", p))))
+    met = found.select(ROW, "start", "end", "tag", "id", shorter(F.col("id")).alias("part")).join(apart(known.select(F.col("tag").alias("__tag"), "pseudonym", shorter(F.col("pseudonym")).alias("part"))), "part")
+    met = met.where((F.col("tag") == F.col("__tag")) & (F.levenshtein("id", "pseudonym", 1) >= 0))
     one = met.groupBy(ROW, "start", "end", "tag").agg(F.max(F.when(F.col("id") == F.col("pseudonym"), F.col("id"))).alias("same"), F.min("pseudonym").alias("least"), F.max("pseudonym").alias("most"))
     one = one.where("same IS NOT NULL OR least = most").withColumn("p", F.coalesce("same", "least"))
     new = F.concat(F.lit("[[pii:"), "tag", F.lit(":"), "p", F.lit("]]"))
     changes = one.select(ROW, F.struct("start", "end", new.alias("new")).alias("c")).groupBy(ROW).agg(F.sort_array(F.collect_list("c")).alias("__changes"))
     back = F.when(F.col("__changes").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__changes")))
-    return rows.join(changes, ROW, "left").withColumn(text, back).select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.join(apart(changes), ROW, "left").withColumn(text, back).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.stored import apart
+
 LEAST_CONFIDENCE = 0.5
 #: Entity types, the tags of their placeholders, and what is done to them.
 TYPES = [
@@ -90,4 +92,4 @@ def pseudonyms(values: DataFrame, secret: str, least: int = 6) -> DataFrame:
     inner = F.sha2(F.concat(F.lit(secret + "\x01"), F.col("identity"), F.lit("\x00"), F.col("value")), 256)
     rows = rows.withColumn("digest", F.sha2(F.concat(F.lit(secret + "\x02"), inner), 256)).withColumn("short", F.substring("digest", 1, least))
     alone = rows.groupBy("short").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(alone, "short").select("identity", "value", F.when(F.col("n") == 1, F.col("short")).otherwise(F.substring("digest", 1, 4 * least)).alias("pseudonym"))
+    return rows.join(apart(alone), "short").select("identity", "value", F.when(F.col("n") == 1, F.col("short")).otherwise(F.substring("digest", 1, 4 * least)).alias("pseudonym"))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from tidemill.functions.validators import masked
 from tidemill.operators.privacy import policy
 from tidemill.operators.privacy.detect import detected
-from tidemill.operators.stored import stored
+from tidemill.operators.stored import apart, stored
 
 #: Sources by trust, and actions by severity.
 SOURCE_RANK = {"validated": 5, "schema": 4, "deterministic": 3, "custom": 2, "semantic": 1, "semantic-unknown": 0}
@@ -144,11 +144,11 @@ def _protected(rows: DataFrame, secret: str, text: str, actions: Column | None =
         raise RuntimeError(f"texts still change after {ROUNDS} rounds")
     vault = policy.pseudonyms(values.where("action = 'pseudonymize'").select("type", "value"), secret)
     identity = F.coalesce(_known(policy.SAME_IDENTITY, F.col("type")), F.col("type"))
-    named = values.withColumn("identity", identity).join(vault, ["identity", "value"], "left")
+    named = values.withColumn("identity", identity).join(apart(vault), ["identity", "value"], "left")
     changes = named.select(key, F.struct("start", "end", marker(F.col("type"), F.col("action"), F.col("value"), F.col("pseudonym")).alias("new")).alias("c")).groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("__changes"))
     new = F.when(F.col("__changes").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__changes")))
     names = [F.col(f"`{c}`") for c in rows.columns]
-    return rows.join(changes, key, "left").withColumn(text, new).select(*names), vault
+    return rows.join(apart(changes), key, "left").withColumn(text, new).select(*names), vault
 
 
 def protected_columns(df: DataFrame, key: str, secret: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -204,9 +204,9 @@ def restored(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> D
     marks = marks.withColumn("pseudonym", F.regexp_extract("m", r":([0-9a-f]+)\]\]", 1)).withColumn("tag", F.regexp_extract("m", r"pii:([A-Z_]+):", 1))
     known = vault.withColumn("tag", policy.looked_up(F.col("identity"), 1))
     # rows that share a key, or have none, share their markers: a marker that a text lacks changes nothing there
-    pairs = marks.join(known, ["pseudonym", "tag"]).groupBy(F.col(key).alias("__key")).agg(F.collect_set(F.struct("m", "value")).alias("__pairs"))
+    pairs = marks.join(apart(known), ["pseudonym", "tag"]).groupBy(F.col(key).alias("__key")).agg(F.collect_set(F.struct("m", "value")).alias("__pairs"))
     back = F.aggregate("__pairs", F.col(text), lambda a, p: F.replace(a, p["m"], p["value"]))
-    return df.join(pairs, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(back)).drop("__pairs", "__key")
+    return df.join(apart(pairs), F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(back)).drop("__pairs", "__key")
 
 
 def report(spans: DataFrame) -> DataFrame:

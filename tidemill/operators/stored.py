@@ -34,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is never sent whole to the driver and every executor. Spark guesses a side's size from
+    that of files, which knows neither how well these compress nor what is exploded from a row."""
+    return df.hint("merge")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, for files of other formats; dropped() deletes it as it does tables."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
