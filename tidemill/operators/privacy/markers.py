@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.privacy import policy
 from tidemill.operators.privacy.protect import MARKER, ROW, numbered, replaced
-from tidemill.operators.stored import apart
+from tidemill.operators.stored import apart, stored
 
 #: A private-use character that no detector knows.
 FILLER = "\ue000"
@@ -227,7 +227,7 @@ def mended(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> Dat
     if key not in df.columns:
         raise ValueError(f"no column {key}")
     rows = numbered(df)
-    found = damaged(rows.select(ROW, text), ROW, text).where("kind = 'pii'")
+    found = stored(damaged(rows.select(ROW, text), ROW, text).where("kind = 'pii'"), "mended-found")
     known = vault.select(policy.looked_up(F.col("identity"), 1).alias("tag"), "pseudonym").distinct()
     # by hashes: what they confuse is told apart right after
     shorter = lambda c: F.explode(F.array_distinct(F.transform(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(c, F.lit(""), i, F.lit(1)))), lambda p: F.xxhash64("tag", p))))

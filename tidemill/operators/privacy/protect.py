@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from tidemill.functions.validators import masked
 from tidemill.operators.privacy import policy
 from tidemill.operators.privacy.detect import detected
-from tidemill.operators.stored import apart, stored
+from tidemill.operators.stored import among, apart, are_few, stored
 
 #: Sources by trust, and actions by severity.
 SOURCE_RANK = {"validated": 5, "schema": 4, "deterministic": 3, "custom": 2, "semantic": 1, "semantic-unknown": 0}
@@ -74,11 +74,20 @@ ROUNDS = 4
 
 def known_spans(df: DataFrame, values: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Where values (value, type) that are known stand in texts, as whole words: key and the columns of a span. A text
-    meets only the values whose first word it has, and values without a word are searched in no text."""
-    word = "([\\p{L}\\p{N}_]+)"
-    some = values.where(F.length("value") >= LEAST_KNOWN).select("value", "type", F.regexp_extract("value", word, 1).alias("word")).where("word <> ''").distinct()
-    words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word), F.lit(1)))).alias("word"))
-    met = words.join(some, "word").groupBy(key).agg(F.collect_set(F.struct("value", "type")).alias("known")).join(df.select(key, F.col(text).alias("__text")), key)
+    meets only the values of which it has two words, one after the other (or the one of those that have no second): those
+    that the fewest other values have, so that values which begin alike don't meet each other's texts. Values without a word
+    are searched in no text. Words and texts that meet nothing are not shuffled."""
+    words = lambda c: F.regexp_extract_all(c, F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w") + 1), lambda a, b: F.xxhash64(a, b))
+    some = values.where(F.length("value") >= LEAST_KNOWN).select("value", "type").distinct().withColumn("w", words(F.col("value"))).where(F.size("w") > 0)
+    some = some.select("value", "type", F.posexplode(F.slice(pairs, F.lit(1), F.greatest(F.size("w") - 1, F.lit(1)))).alias("at", "met"))
+    shared = some.groupBy("met").agg(F.count(F.lit(1)).alias("n"))
+    some = stored(some.join(apart(shared), "met").groupBy("value", "type").agg(F.min_by("met", F.struct("n", "at")).alias("met")), "protect-known")
+    of = df.select(key, words(F.col(text)).alias("w"))
+    hits = of.select(key, F.explode(F.concat(F.transform("w", lambda a: F.xxhash64(a, F.lit(None).cast("string"))), pairs)).alias("met"))
+    hits = among(hits, some.select("met").distinct(), "met")
+    known = stored(hits.distinct().join(apart(some), "met").groupBy(key).agg(F.collect_set(F.struct("value", "type")).alias("known")), "protect-met")
+    met = among(df.select(key, F.col(text).alias("__text")), known.select(key), key).join(apart(known), key)
     names = ["start", "end", "type", "confidence", "source", "detector", "validated"]
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
 
@@ -100,7 +109,19 @@ def known_spans(df: DataFrame, values: DataFrame, key: str, text: str = "text")
 
 def valued(spans: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """Spans with the value they cover."""
-    return spans.join(df.select(key, text), key).select(spans["*"], F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+    return among(df.select(key, text), spans.select(key).distinct(), key).join(apart(spans), key).select(*spans.columns, F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+
+
+def changed(rows: DataFrame, changes: DataFrame, key: str, text: str, new: Column) -> DataFrame:
+    """rows, with the text that `new` makes of what changes (__key and more; stored) has for their key, null or not. While
+    changes are few, texts that stay are not shuffled."""
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    keys = changes.select("__key")
+    if not are_few(keys):
+        return rows.join(apart(changes), same, "left").withColumn(text, F.when(F.col("__key").isNull() & F.col(key).isNotNull(), F.col(text)).otherwise(F.coalesce(new, F.col(text)))).select(*names)
+    some = rows.join(F.broadcast(keys), same, "left_semi").join(apart(changes), same).withColumn(text, new).select(*names)
+    return some.unionByName(rows.join(F.broadcast(keys), same, "left_anti").select(*names))
 
 
 #: The column that names a row while its texts are protected: keys may be null or repeat.
@@ -132,11 +153,12 @@ def _protected(rows: DataFrame, secret: str, text: str, actions: Column | None =
     for _ in range(ROUNDS):
         spans = resolved(found, [key])
         spans = spans if actions is None else spans.withColumn("action", actions)
-        values = stored(valued(spans.where("action <> 'preserve'"), rows, key, text), "protect-values")
+        spans = stored(spans.where("action <> 'preserve'"), "protect-spans")
+        values = stored(valued(spans, rows, key, text), "protect-values")
         # a place that lies in a longer one is protected with it
         covers = values.select(F.col(key).alias("__key"), F.col("start").alias("s"), F.col("end").alias("e"))
         more = known_spans(rows, values.select("value", "type"), key, text)
-        more = stored(more.join(covers, (F.col(key) == F.col("__key")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_anti"), "protect-more")
+        more = stored(more.join(apart(covers), (F.col(key) == F.col("__key")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_anti"), "protect-more")
         if more.limit(1).count() == 0:
             break
         found = found.unionByName(more)
@@ -146,9 +168,8 @@ def _protected(rows: DataFrame, secret: str, text: str, actions: Column | None =
     identity = F.coalesce(_known(policy.SAME_IDENTITY, F.col("type")), F.col("type"))
     named = values.withColumn("identity", identity).join(apart(vault), ["identity", "value"], "left")
     changes = named.select(key, F.struct("start", "end", marker(F.col("type"), F.col("action"), F.col("value"), F.col("pseudonym")).alias("new")).alias("c")).groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("__changes"))
-    new = F.when(F.col("__changes").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__changes")))
-    names = [F.col(f"`{c}`") for c in rows.columns]
-    return rows.join(apart(changes), key, "left").withColumn(text, new).select(*names), vault
+    changes = stored(changes.withColumnRenamed(key, "__key"), "protect-changes")
+    return changed(rows, changes, key, text, replaced(F.col(text), F.col("__changes"))), vault
 
 
 def protected_columns(df: DataFrame, key: str, secret: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -205,8 +226,7 @@ def restored(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> D
     known = vault.withColumn("tag", policy.looked_up(F.col("identity"), 1))
     # rows that share a key, or have none, share their markers: a marker that a text lacks changes nothing there
     pairs = marks.join(apart(known), ["pseudonym", "tag"]).groupBy(F.col(key).alias("__key")).agg(F.collect_set(F.struct("m", "value")).alias("__pairs"))
-    back = F.aggregate("__pairs", F.col(text), lambda a, p: F.replace(a, p["m"], p["value"]))
-    return df.join(apart(pairs), F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(back)).drop("__pairs", "__key")
+    return changed(df, stored(pairs, "restore-pairs"), key, text, F.aggregate("__pairs", F.col(text), lambda a, p: F.replace(a, p["m"], p["value"])))
 
 
 def report(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that are sent to all executors, numbers or short texts; with more, both sides of a join are shuffled.
+FEW = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +44,15 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def are_few(keys: DataFrame) -> bool:
+    return keys.limit(FEW + 1).count() <= FEW
+
+
+def among(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows that have their `on` among keys (of that column; from a stored table). While keys are few, no row is shuffled."""
+    return rows.join(F.broadcast(keys) if are_few(keys) else apart(keys), on, "left_semi")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder, for files of other formats; dropped() deletes it as it does tables."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
