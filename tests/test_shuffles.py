@@ -1,8 +1,9 @@
-"""What protection and restoration send between tasks."""
+"""What queries send between tasks, and what tasks hold."""
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import stored
 from tidemill.operators.privacy import detect, protect
@@ -42,3 +43,14 @@ def test_values_that_begin_alike_meet_only_their_texts(spark):
     assert sorted((r.id, r.start, r.end) for r in got) == [(i, 6, 6 + len(f"https://www.example.com/page{i}/view")) for i in range(200)]
     met = next(p for p in stored._PATHS[begin:] if "protect-met" in p)
     assert max(len(r.known) for r in spark.read.parquet(met).collect()) == 1
+
+
+def test_tokens_need_no_python(spark):
+    from tidemill.functions import text as X
+    from tidemill.plans import script
+
+    script.register_functions(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    more = spark.createDataFrame([("It's camelCase, parties/boxes [lists] of 'glasses' bus\\path",), ("",), (" \u00c9t\u00e9s\tNIES ies es",)], "text string")
+    got = docs.union(more).select(F.expr("text_tokens(text)").alias("t"), X.tokens(F.col("text")).alias("want"))
+    assert all(r.t == r.want for r in got.collect()) and "Python" not in got._jdf.queryExecution().toString()

@@ -9,12 +9,8 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-import re
-
-import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.functions.text import PARTING, STOP_WORDS
 
@@ -31,30 +27,14 @@ class Result:
     message: str = ""
 
 
-def plain_tokens(text: str | None) -> list[str]:
-    """The words that functions.text.tokens gives."""
-    apart, out = re.sub(PARTING, " ", re.sub("([a-z0-9])([A-Z])", r"\1 \2", text or "")), []
-    for w in apart.lower().split():
-        if len(w) < 2 or w in STOP_WORDS:
-            continue
-        out.append(w)
-        if len(w) > 3 and w.endswith("ies"):
-            out.append(w[:-3] + "y")
-        elif len(w) > 3 and re.search("(s|x|z|ch|sh)es$", w):
-            out.append(w[:-2])
-        elif len(w) > 3 and w.endswith("s") and not w.endswith("ss"):
-            out.append(w[:-1])
-    return out
-
-
 def register_functions(spark: SparkSession) -> None:
-    """Functions that statements may call: text_tokens, in Arrow batches, and mask_value, which is an expression."""
-
-    @F.pandas_udf("array<string>")
-    def text_tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_tokens)
-
-    spark.udf.register("text_tokens", text_tokens)
+    """Functions that statements may call, text_tokens and mask_value: expressions, no Python. A null text has no tokens."""
+    stops, parting = ", ".join(f"'{w}'" for w in STOP_WORDS), PARTING.replace("\\", "\\\\").replace("'", "\\'")
+    apart = f"regexp_replace(regexp_replace(coalesce(v, ''), '([a-z0-9])([A-Z])', '$1 $2'), '{parting}', ' ')"
+    kept = f"filter(split(lower({apart}), '\\\\s+'), w -> length(w) >= 2 AND w NOT IN ({stops}))"
+    cut = lambda n: f"substring(w, 1, length(w) - {n})"
+    singular = f"CASE WHEN length(w) <= 3 THEN array(w) WHEN endswith(w, 'ies') THEN array(w, concat({cut(3)}, 'y')) WHEN w RLIKE '(s|x|z|ch|sh)es$' THEN array(w, {cut(2)}) WHEN endswith(w, 's') AND NOT endswith(w, 'ss') THEN array(w, {cut(1)}) ELSE array(w) END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_tokens(v STRING) RETURNS ARRAY<STRING> RETURN flatten(transform({kept}, w -> {singular}))")
     bare = "regexp_replace(v, '[^\\\\p{L}\\\\p{N}]', '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_value(v STRING) RETURNS STRING RETURN CASE WHEN length({bare}) >= 8 THEN right({bare}, 4) ELSE '' END")
 
