@@ -54,3 +54,14 @@ def test_tokens_need_no_python(spark):
     more = spark.createDataFrame([("It's camelCase, parties/boxes [lists] of 'glasses' bus\\path",), ("",), (" \u00c9t\u00e9s\tNIES ies es",)], "text string")
     got = docs.union(more).select(F.expr("text_tokens(text)").alias("t"), X.tokens(F.col("text")).alias("want"))
     assert all(r.t == r.want for r in got.collect()) and "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_intervals_are_dealt_by_their_number(spark, monkeypatch):
+    from tidemill.plans import owned, registry
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, registry.queries()["i10_span_merge"](spark, sf).collect()))
+    monkeypatch.setattr(owned, "INTERVALS", 500)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert owned.intervals(spark, sf).rdd.getNumPartitions() == -(-n // 500) > 4
+    assert sorted(map(tuple, registry.queries()["i10_span_merge"](spark, sf).collect())) == want

@@ -417,8 +417,15 @@ def g13(spark, d):
     return cols.select("table", "column", detect.column_class(F.col("column")).alias("type")).where("type IS NOT NULL")
 
 
+#: Rows that a task orders at once.
+INTERVALS = 500_000
+
+
 def intervals(spark, d):
-    return t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.floor(F.col("l_extendedprice")).cast("long").alias("start"), (F.floor(F.col("l_extendedprice")) + F.col("l_quantity")).cast("long").alias("end"))
+    """As many tasks as rows ask for: Spark joins small partitions by their compressed size, which copies make small."""
+    rows = t(spark, d, "lineitem")
+    n = max(1, -(-rows.count() // INTERVALS))
+    return rows.select(F.col("l_suppkey").alias("k"), F.floor(F.col("l_extendedprice")).cast("long").alias("start"), (F.floor(F.col("l_extendedprice")) + F.col("l_quantity")).cast("long").alias("end")).repartition(n, "k")
 
 
 INTERVAL_SQL = "WITH i AS (SELECT l_suppkey AS k, CAST(floor(l_extendedprice) AS BIGINT) AS s, CAST(floor(l_extendedprice) + l_quantity AS BIGINT) AS e FROM lineitem), r AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), c AS (SELECT *, sum(CASE WHEN reach IS NULL OR s {} reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e DESC ROWS UNBOUNDED PRECEDING) AS c FROM r) SELECT k, min(s) AS \"start\", max(e) AS \"end\", count(*) AS members FROM c GROUP BY k, c"
