@@ -83,3 +83,12 @@ def test_batches(spark):
 def test_query_equals_all_pairs(spark):
     got = registry.queries()["d22_nearest"](spark, "/root/testdata/sf0.001")
     assert got.count() > 0
+
+
+def test_batches_are_dealt_in_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["id"])
+    parts = list(V.sliced(iter([batch, batch.slice(0, 0)]), 64))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(10_000)) and max(p.num_rows * 64 for p in parts) <= 16_384
+    assert all(p.num_rows == 1 for p in V.sliced(iter([batch.slice(0, 9)]), 100_000))

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from tidemill.operators.knowledge import uncached
 from tidemill.operators.stored import stored
 
-SAMPLE, STEPS, BLOCK, OTHERS, SLACK = 16_384, 8, 512, -1, 1e-6
+SAMPLE, STEPS, BLOCK, OTHERS, SLACK, DEALT = 16_384, 8, 512, -1, 1e-6, 16_384
 BATCH_TEXTS, BATCH_CHARS = 100, 200_000
 
 
@@ -86,6 +86,14 @@ def _parted(rows: DataFrame, by: str) -> DataFrame:
     return out.select("list", F.col("size").alias(f"{by}_size"), F.col("r.id").alias(f"{by}_ids"), F.col("r.v").alias(f"{by}_vectors"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], times: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, of which each row may be repeated `times` and makes DEALT rows at most (or one row's)."""
+    step = max(1, DEALT // max(1, times))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _dealt(vectors: DataFrame, centroids: np.ndarray, key: str, vector: str, probes: int) -> DataFrame:
     """id, list, gap (distance of its unit vector to the list's centroid), place, size, v of each vector and its nearest lists;
     those off the sphere have the list OTHERS only."""
@@ -93,7 +101,7 @@ def _dealt(vectors: DataFrame, centroids: np.ndarray, key: str, vector: str, pro
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "list", "gap", "place", "size", "v"]
-        for batch in batches:
+        for batch in sliced(batches, min(probes, k)):
             raw = [np.array([np.nan if e is None else e for e in (v or [])], np.float64) for v in batch.column(1).to_pylist()]
             sound = np.array([k > 0 and len(v) == dims and bool(np.isfinite(v).all()) and bool(v.any()) for v in raw], bool)
             n = min(probes, k)
