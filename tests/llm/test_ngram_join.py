@@ -148,3 +148,22 @@ def test_linked_pairs_and_components(spark):
     got = by_component(spark.createDataFrame(chain, "a long, b long"))
     assert got == {0: set(range(61)), 100: {100, 200, 300}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_sets_of_pairs_are_shuffled(spark):
+    from tidemill.llm import pairs
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64)) for _ in range(300)]
+    sets[1] = sets[0]
+    held = pairs.stored(spark.createDataFrame([(n, len(s), bytearray(s.tobytes())) for n, s in enumerate(sets)], "item long, n int, values binary"), "test-sets")
+    met = spark.createDataFrame([(0, 1, False), (2, 3, False)], "a long, b long, hot boolean")
+    context, jvm = spark.sparkContext, spark._jvm
+
+    def sent():
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = sent()
+    assert [tuple(r) for r in pairs.verified(met, held, 80).collect()] == [(0, 1)]
+    assert sent() - before < 0.2 * sum(s.nbytes for s in sets)
