@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -118,3 +119,19 @@ def test_long_runs_of_one_key_go_in_slices(spark, monkeypatch):
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.text).hexdigest()) for r in D.deduplicated(df).collect()), key=repr)
     assert got == brute(rows, D.LENGTH)
     assert max([len(r.content) for r in met[0].collect()], default=0) <= 3000
+
+
+def test_memory_of_a_task():
+    """A worker's arrays are bounded by few bytes for each byte of its fragments."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij ", k=6)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=80)).encode() for _ in range(500)]
+    texts += [t[100:400] for t in texts[::3]]
+    tracemalloc.start()
+    try:
+        out = D.covered_starts(texts, np.arange(len(texts)) << 40)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, out)) == 167 * 201
+    assert peak < 75 * sum(map(len, texts))

@@ -131,23 +131,32 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` symbols at least (0..256), by doubling from packed prefixes of seven."""
     n = len(symbols)
     known = 7
-    padded = np.concatenate([symbols, np.zeros(known, np.int64)])
+    padded = np.concatenate([symbols, np.zeros(known, symbols.dtype)])
     rank = np.zeros(n, np.int64)
     for i in range(known):
-        rank = rank * 512 + padded[i : n + i]
+        rank *= 512
+        rank += padded[i : n + i]
     order = np.argsort(rank)
-    rank[order] = np.cumsum(np.append(0, rank[order[1:]] != rank[order[:-1]]))
+    rank = _ranks(rank, order)
     while known < depth and rank[order[-1]] < n - 1:
-        second = np.zeros(n, np.int64)
-        second[: n - known] = rank[known:] + 1
-        both = rank * (n + 1) + second
+        del order
+        both = rank * (n + 1)
+        both[: n - known] += rank[known:] + 1
+        del rank
         order = np.argsort(both)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, both[order[1:]] != both[order[:-1]]))
+        rank = _ranks(both, order)
         known *= 2
     return order
 
 
+def _ranks(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rank of each value, equal ones alike. order: sorts them."""
+    values = values[order]
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.cumsum(np.append(False, values[1:] != values[:-1]))
+    return rank
+
+
 def long_common_prefixes(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, far): suffixes in order, and whether each shares `length` symbols or more with the one before.
 
@@ -155,26 +164,28 @@ def long_common_prefixes(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.
     extended backward by each symbol that stands before one of them; where the new interval ends without a value, the
     value is l and the interval goes on. After `length` rounds, what has none is long.
     """
-    symbols = np.append(symbols + 1, 0)  # the end is unlike all else
+    symbols = np.append(symbols.astype(np.int16) + np.int16(1), np.int16(0))  # the end is unlike all else
     n = len(symbols)
-    order = sorted_suffixes(symbols, length)
+    place = np.int32 if n < 1 << 31 else np.int64
+    order = sorted_suffixes(symbols, length).astype(place)
     before = symbols[order - 1]  # the transform
-    to = np.empty(n, np.int64)
-    to[np.argsort(before.astype(np.uint16), kind="stable")] = np.arange(n)
+    to = np.empty(n, place)
+    to[np.argsort(before, kind="stable")] = np.arange(n, dtype=place)
     first = symbols[order]
     valued = np.zeros(n + 1, bool)
     valued[0] = valued[n] = True  # both ends
-    low, high = np.array([0]), np.array([n - 1])
-    owner = np.empty(n, np.int64)
+    low, high = np.array([0], place), np.array([n - 1], place)
+    owner = np.empty(n, place)
     for _ in range(length):
         if not len(low):
             break
         sizes = high - low + 1
-        which = np.repeat(np.arange(len(low)), sizes)
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - low, sizes)
+        at = np.arange(sizes.sum(), dtype=place)
+        at -= np.repeat((np.cumsum(sizes) - sizes - low).astype(place), sizes)
         held = to[at]
-        owner[held] = which
-        held = np.sort(held)
+        del at
+        owner[held] = np.repeat(np.arange(len(low), dtype=place), sizes)
+        held.sort()
         own = owner[held]
         new = np.append(True, (held[1:] != held[:-1] + 1) | (own[1:] != own[:-1]) | (first[held[1:]] != first[held[:-1]]))
         begin = np.flatnonzero(new)
@@ -189,11 +200,12 @@ def long_common_prefixes(symbols: np.ndarray, length: int = LENGTH) -> tuple[np.
 def covered_starts(texts: list[bytes], places: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each text the starts, in order, whose string of `length` bytes also starts at a lesser place. places: of the texts' first bytes."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    symbols = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8).astype(np.int64) + 1
+    symbols = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8).astype(np.int16) + np.int16(1)
     symbols[np.cumsum(sizes + 1) - 1] = 0  # what separates texts
     begins = np.cumsum(sizes + 1) - (sizes + 1)
     order, far = long_common_prefixes(symbols, length)
-    group = np.cumsum(~far)
+    shared = far | np.append(far[1:], False)[: len(far)]  # what shares nothing is no group
+    order, group = order[shared].astype(np.int64), np.cumsum(~far)[shared]
     text = np.searchsorted(begins, order, side="right") - 1
     offset = order - begins[text]
     whole = offset + length <= sizes[text]
