@@ -38,3 +38,17 @@ def test_shuffles_go_when_tables_are_stored(spark, monkeypatch):
             break
         time.sleep(0.5)
     assert held() - before < 10
+
+
+def test_workers_forget_words(spark):
+    def known(batches):
+        from tidemill.llm.packing import word_tokens
+
+        n = word_tokens.cache_info().currsize
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    docs = spark.range(400, numPartitions=4).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+    spark.range(4, numPartitions=4).mapInArrow(lambda b: (packing.word_tokens.cache_clear(), b)[1], "id long").count()
+    assert packing.packed(docs, packing.word_vocabulary, ids=False, keep=False).agg(F.sum("length")).first()[0] > 400
+    assert {r.n for r in spark.range(4, numPartitions=4).mapInArrow(known, "n long").collect()} == {0}

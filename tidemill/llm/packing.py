@@ -186,11 +186,12 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def packed(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = SIZE, end_id: int = END_ID, ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = SIZE, end_id: int = END_ID, ids: bool = True, keep: bool = True) -> DataFrame:
     """Pieces of documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the token ids if wanted.
 
     Null text counts as empty (the end id alone). Repeated rows are documents of their own. Sequences are numbered by
-    partition and within it, alike when a task runs again. An empty table has no pieces.
+    partition and within it, alike when a task runs again. An empty table has no pieces. Without `keep` a task forgets the
+    words that it met, where the worker goes on with other operators' work.
     """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +227,8 @@ def packed(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = SIZ
                         yield flush()
         if held:
             yield flush()
+        if not keep:
+            word_tokens.cache_clear()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tasks, schema)
