@@ -138,11 +138,16 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        known, stems, cut = self.known, set(), {}
+        known, stems, cut, bytes_of = self.known, set(), {}, self.bytes_of
+        tokenize = self.tokenizer.model.tokenize
         for w in words:
+            if w.islower() and w.isalpha():  # ASCII letters, the most frequent case
+                known[w] = b"".join([bytes_of[t.id] for t in tokenize(w.decode())])
+                continue
             s = w.rstrip(_ENDS)
             if s != w and s and (s[-1:].isalpha() or s[-1] >= 0x80 and s.decode()[-1].isalpha()) and b"<|" not in w:
                 end = w[len(s) :]
@@ -152,32 +157,35 @@ class WordTokens:
             else:
                 stems.add(w)
         rest, texts = [], []
-        tokenize = self.tokenizer.model.tokenize
         for s in stems:
             if s in known:
                 continue
             text = s.decode()
             # letters that no normalizer changes are one piece of the vocabulary's first cut
             if text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-                known[s] = array("I", [t.id for t in tokenize(text if text.isascii() else s.decode("latin-1").translate(_AS_LETTERS))]).tobytes()
+                known[s] = b"".join([bytes_of[t.id] for t in tokenize(text if text.isascii() else s.decode("latin-1").translate(_AS_LETTERS))])
             else:
                 rest.append(s)
                 texts.append(text)
-        for s, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for s, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
             known[s] = array("I", e.ids).tobytes()
         for w, (s, end) in cut.items():
             known[w] = known[s] + known[end]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        # lower case early where no special token's string can come of it
-        split = [[] if not t else (raw if b"<|" in raw else raw.lower()).split() for t in texts for raw in [(t or "").encode()]]
-        met = set().union(*split)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = {w for w in met if w not in self.known}
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        known, out = self.known, []
+        for t in texts:  # one by one: a text's words are near at hand still when they are looked up
+            raw = (t or "").encode()
+            # lower case early where no special token's string can come of it
+            words = (raw if b"<|" in raw else raw.lower()).split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                self.learn({w for w, x in zip(words, ids) if x is None})
+                ids = map(known.__getitem__, words)
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=1)
