@@ -27,6 +27,16 @@ def test_token_rows_go_in_pieces():
             assert t == 5 or of.setdefault(t, r["bucket"]) == r["bucket"]
 
 
+def test_pairs_that_cannot_be_similar_go_early(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64 - 1, 300, dtype=np.uint64)
+    sets = {1: base, 2: np.append(base[15:], rng.integers(0, 2**64 - 1, 15, dtype=np.uint64)), 3: np.append(base[:90], rng.integers(0, 2**64 - 1, 210, dtype=np.uint64)), 4: rng.integers(0, 2**64 - 1, 60_000, dtype=np.uint64)}
+    sets[5] = np.append(sets[4][100:], rng.integers(0, 2**64 - 1, 100, dtype=np.uint64))
+    known = spark.createDataFrame([(k, len(s), bytearray(J.sketch(s))) for k, s in sets.items()], "item long, n long, sketch binary")
+    pairs = spark.createDataFrame([(1, 2, False), (1, 3, False), (2, 3, True), (4, 5, False), (1, 4, False)], "a long, b long, hot boolean")
+    assert sorted((r.a, r.b, r.hot) for r in J.may_be_similar(pairs, known, 90).collect()) == [(1, 2, False), (2, 3, True), (4, 5, False)]
+
+
 def test_shuffles_go_when_tables_are_stored(spark, monkeypatch):
     monkeypatch.setattr(stored.swept, "__defaults__", (0,))
     held = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
