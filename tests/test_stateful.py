@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemill.streaming import answers
@@ -78,3 +79,38 @@ def test_state_goes_when_streams_end(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     assert [r[0] for r in left] == ["open"]
+
+
+def test_state_is_read_once_and_written_once():
+    """Whatever waits, a stream of a batch takes one read and one write of its state; one that ends at once writes none."""
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("at")
+
+        def update(self, value):
+            calls.append("update")
+            kept["at"] = value
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    class Handle:
+        def getValueState(self, name, schema, ttl=None):
+            return Value()
+
+    own = S.Answers()
+    own.init(Handle())
+    b = body(PARTS)
+    rows = [Row(seq=i, chunk=b[j : j + 9]) for i, j in enumerate(range(0, len(b), 9))]
+    got = []
+    for part in (rows[10:], rows[2:12], rows[:2]):  # the most comes before the first
+        calls.clear()
+        got += [r.text for r in own.handleInputRows(("s",), iter(part), None)]
+        assert len(calls) == 2 and calls[0] == "get"
+    assert "".join(got) == "".join(PARTS) and not kept
+    calls.clear()
+    assert list(own.handleInputRows(("t",), iter(rows), None))[-1].finished and calls == ["get"]

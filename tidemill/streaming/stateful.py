@@ -2,7 +2,8 @@
 ever cutting a marker.
 
 Each stream has a state between micro-batches: what follows its last whole event, the text that may be the beginning of a
-marker, chunks that came before their predecessors, and the number of the next chunk. It is dropped when the stream's last
+marker, chunks that came before their predecessors, and the number of the next chunk: one value, which is read once and
+written once for each stream of a batch, as each access is a call from Python to the store. It is dropped when the stream's last
 event comes; that of a stream which never ends expires, if `expires_ms` is set. Whatever the cuts, batches and order of chunks, the pieces of a
 stream make what its whole body makes (`answers.framed` and `answers.folded`).
 """
@@ -13,8 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: More than the longest marker that is written; what runs on longer is none.
@@ -61,17 +61,15 @@ class Answers(StatefulProcessor):
         self.expires_ms = expires_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "next long, place long, rest string, held string", self.expires_ms)
-        self.early = handle.getMapState("early", "seq long", "chunk string", self.expires_ms)
+        self.at = handle.getValueState("at", "next long, place long, rest string, held string, early string", self.expires_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         come: dict[int, str] = {}
-        for part in rows:
-            for seq, chunk in zip(part["seq"], part["chunk"]):
-                come.setdefault(int(seq), chunk if isinstance(chunk, str) else "")
-        number, place, rest, held = self.at.get() if self.at.exists() else (0, 0, "", "")
-        waiting = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
-        waiting_before = set(waiting)
+        for row in rows:
+            come.setdefault(row["seq"], row["chunk"] or "")
+        known = self.at.get()
+        number, place, rest, held, early = known or (0, 0, "", "", "")
+        waiting = dict(json.loads(early)) if early else {}
         for seq, chunk in come.items():  # those before `number` have been read
             if seq >= number:
                 waiting.setdefault(seq, chunk)
@@ -85,20 +83,15 @@ class Answers(StatefulProcessor):
                 n = 0 if done else held_back(text)
                 text, held = text[: len(text) - n], text[len(text) - n :]
                 if text or done:
-                    out.append((key[0], place, text, done))
+                    out.append(Row(stream=key[0], place=place, text=text, finished=done))
                     place += 1
                 if done:
                     break
-        if done:
+        if not done:
+            self.at.update((number, place, rest, held, json.dumps(list(waiting.items())) if waiting else ""))
+        elif known:
             self.at.clear()
-            self.early.clear()
-        else:
-            self.at.update((number, place, rest, held))
-            for seq in waiting_before - set(waiting):
-                self.early.removeKey((seq,))
-            for seq in set(waiting) - waiting_before:
-                self.early.updateValue((seq,), (waiting[seq],))
-        yield pd.DataFrame(out, columns=["stream", "place", "text", "finished"])
+        yield from out
 
     def close(self) -> None:
         pass
@@ -112,7 +105,7 @@ def pieces(chunks: DataFrame, expires_ms: int | None = EXPIRES_MS) -> DataFrame:
         chunks.select(chunks["stream"].cast("string").alias("stream"), chunks["seq"].cast("long").alias("seq"), chunks["chunk"].cast("string").alias("chunk"))
         .where("seq IS NOT NULL AND stream IS NOT NULL")
         .groupBy("stream")
-        .transformWithStateInPandas(Answers(expires_ms), outputStructType=PIECES, outputMode="Append", timeMode="None" if expires_ms is None else "ProcessingTime")
+        .transformWithState(Answers(expires_ms), outputStructType=PIECES, outputMode="Append", timeMode="None" if expires_ms is None else "ProcessingTime")
     )
 
 
