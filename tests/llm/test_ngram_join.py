@@ -167,3 +167,24 @@ def test_only_sets_of_pairs_are_shuffled(spark):
     before = sent()
     assert [tuple(r) for r in pairs.verified(met, held, 80).collect()] == [(0, 1)]
     assert sent() - before < 0.2 * sum(s.nbytes for s in sets)
+
+
+def test_few_rounds_and_no_tables_left(spark):
+    """What tasks and rounds leave is stars; links of one task need no round, and a round's tables go with it."""
+    from tidemill.llm import components as C
+    from tidemill.operators import stored
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 4000, (2, 3000))
+    node, least = C.stars(a, b)
+    want = S.forest([(int(x), int(y)) for x, y in zip(a, b)])
+    assert len(node) == len(want) and (least < node).all() and not set(node) & set(least) and len(set(node)) == len(node)
+    links = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    for parts in (1, 7):
+        begin = stored.mark()
+        got = {(r.node, r.component) for r in components(links.repartition(parts)).collect() if r.node != r.component}
+        assert got == set(zip(node.tolist(), least.tolist())) and len(stored._PATHS) - begin == 1
+    assert C.are_stars(spark.createDataFrame([(5, 1), (6, 1), (9, 8)], "a long, b long"))
+    assert not C.are_stars(spark.createDataFrame([(5, 1), (5, 2)], "a long, b long")) and not C.are_stars(spark.createDataFrame([(5, 3), (3, 1)], "a long, b long"))
+    many = [(r.a, r.b) for r in C.thinned(links.coalesce(1), 100).collect()]
+    assert sorted(map(sorted, by_component(spark.createDataFrame(many, "a long, b long")).values())) == sorted(map(sorted, by_component(links).values()))
