@@ -188,3 +188,46 @@ def test_few_rounds_and_no_tables_left(spark):
     assert not C.are_stars(spark.createDataFrame([(5, 1), (5, 2)], "a long, b long")) and not C.are_stars(spark.createDataFrame([(5, 3), (3, 1)], "a long, b long"))
     many = [(r.a, r.b) for r in C.thinned(links.coalesce(1), 100).collect()]
     assert sorted(map(sorted, by_component(spark.createDataFrame(many, "a long, b long")).values())) == sorted(map(sorted, by_component(links).values()))
+
+
+def shuffled_rows(spark, df):
+    """Rows that df's stages write to shuffles, and df's rows."""
+    def written():
+        none = spark._jvm.java.util.ArrayList()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(x.shuffleWriteRecords() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+    begin = written()
+    rows = df.collect()
+    return written() - begin, rows
+
+
+def test_near_copies_are_shuffled_as_groups(spark):
+    """Sets that share most tokens are pairs once, not for each token and task."""
+    tokens = [(t * 7919 * 32 + g, g * 100 + i, 300) for g in range(3) for t in range(200) for i in range(30) if (t + i) % 40]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n, rows = shuffled_rows(spark, J.candidates(spark.createDataFrame(tokens, J.TOKEN), 80, orders=1))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted((r.a, r.b, r.hot) for r in rows) == [(g * 100 + i, g * 100 + j, False) for g in range(3) for i in range(30) for j in range(i + 1, 30)]
+    assert n < 1.5 * len(tokens)
+
+
+def test_long_sets_are_kept_as_texts(spark):
+    """Long sets take half of their numbers' bytes at most, and are the same when read; short ones are numbers."""
+    from tidemill.llm import pairs
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["th", "er", "on", "in", "an", "de", "la"]) for _ in range(3)) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([5, 100, 600, 5000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = docs.selectExpr("doc_id AS item", "doc_id", "xxhash64(text) AS h", "0 AS start", "-1 AS length")
+    held = {r.item: r for r in pairs.item_sets(items, docs, 3).collect()}
+    for i, text in rows:
+        want = S.shingle_set(text, 3)
+        assert held[i].n == len(want) and (pairs.unpacked(bytes(held[i]["values"])) == want).all()
+        assert len(held[i]["values"]) == 8 * len(want) if len(want) < 200 else 2 * len(held[i]["values"]) <= 8 * len(want)
